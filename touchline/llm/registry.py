@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import quality_rules
+from touchline.llm import piece_codec, quality_rules, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_to_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op5_token_files, op7_piece_codec, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
