@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import piece_codec, quality_rules, token_files
+from touchline.llm import piece_codec, quality_rules, simhash, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,12 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False).drop("text")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_token_files, op7_piece_codec, op8_quality_rules)}
+    return {f.__name__: f for f in (op5_token_files, op7_piece_codec, op8_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
