@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import piece_codec, quality_rules, simhash, token_files
+from touchline.llm import line_dedup, mixing, piece_codec, quality_rules, simhash, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 9).alias("rate"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False).drop("text")
@@ -40,8 +50,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_token_files, op7_piece_codec, op8_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op2_mixing, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
