@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import line_dedup, mixing, nn_descent, piece_codec, quality_rules, simhash, token_files
+from touchline.llm import line_dedup, main_text, mixing, nn_descent, piece_codec, quality_rules, simhash, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_main_text, op2_mixing, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
