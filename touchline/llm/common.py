@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8 << 20
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -37,13 +40,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of tables made by stored() that nothing will read again."""
+    """Delete the files of tables made by stored() that nothing will read again.
+
+    Also asks the driver's JVM to collect garbage: only then does Spark delete the shuffle files of a loop's earlier rounds.
+    """
     jvm = spark.sparkContext._jvm
     for frame in frames:
         for name in {f.rpartition("/")[0] for f in frame.inputFiles()}:
             if "/touchline/" in name:
                 path = jvm.org.apache.hadoop.fs.Path(name)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", text.lower()).groups()
+    return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) if int(number) >= 0 else 1 << 62
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's bound on the bytes of an Arrow batch to BATCH_BYTES where it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

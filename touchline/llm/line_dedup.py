@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import bounded_batches
+
 WINDOW = 3
 BLANK = " \t\v\f\r"
 
@@ -51,7 +53,7 @@ def without(text: str | None, starts: list[int] | None, window: int = WINDOW) ->
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with text (and n_chars, if there) after removal, n_lines before it and n_removed."""
-    docs = docs.drop("n_lines", "n_removed", "_at", "_starts", "_of")
+    docs = bounded_batches(docs).drop("n_lines", "n_removed", "_at", "_starts", "_of")
     starts = later_windows(docs, window).select(F.col("doc_id").alias("_of"), F.col("at").alias("_at"), F.col("starts").alias("_starts"))
     marked = docs.join(starts, docs.doc_id.eqNullSafe(starts._of) & (F.xxhash64("text") == starts._at), "left").drop("_of", "_at")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

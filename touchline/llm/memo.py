@@ -1,41 +1,73 @@
-"""Encoding of whole texts piece by piece, each distinct piece encoded once per worker.
+"""Encoding of whole texts word by word, each distinct word encoded once per worker.
 
 A text is cut at single spaces between two non-white characters. Tokenizers whose pre-tokenizer (or whose pieces)
-never joins what stands on both sides of such a space give the same ids for the pieces as for the whole text.
+never joins what stands on both sides of such a space give the same ids for the words as for the whole text. Texts with
+other spacing are cut by a slower rule with the same property.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+GROUP = 2048
 
 
-class MemoEncoder:
-    """encode_batch: ids of each string. limit: pieces that one worker remembers at most; it then starts anew."""
+def space_starts(tokenizer) -> np.ndarray:
+    """By id, whether a byte-level tokenizer's token begins with a space (written as U+0120)."""
+    starts = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in tokenizer.get_vocab().items():
+        starts[i] = token.startswith("\u0120")
+    return starts
+
 
-    def __init__(self, encode_batch: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 300_000) -> None:
-        self.encode_batch, self.limit, self.memo = encode_batch, limit, {}
+def joined_batches(words: list[str], starts: np.ndarray, encode: Callable[[str], list[int]], single: Callable[[str], list[int]]) -> list[bytes]:
+    """Ids (little-endian, 32 bits) of each word with a space before it, many words at a time.
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-            new = list(pieces)
+    starts: by id, whether the token begins with a space; of a word without inner spaces only the first token does.
+    single: encodes one word (a group whose tokens do not fall apart so goes word by word).
+    """
+    out: list[bytes] = []
+    for at in range(0, len(words), GROUP):
+        some = words[at : at + GROUP]
+        ids = np.asarray(encode("".join(f" {x}" for x in some)), "<u4") if not any(" " in x for x in some) else np.zeros(0, "<u4")
+        edge = np.flatnonzero(starts[ids])
+        if len(edge) != len(some) or edge[0]:
+            out += [np.asarray(single(f" {x}"), "<u4").tobytes() for x in some]
         else:
-            new = [x for x in pieces if x not in self.memo]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, ids in zip(some, self.encode_batch(some), strict=True):
-                self.memo[piece] = np.asarray(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None], lead: str = " ") -> list[bytes]:
-        """Little-endian 32-bit ids of each text; lead stands before every piece but a text's first."""
-        cut = [CUT.split(x) if x else [] for x in texts]
-        if lead:
-            cut = [[x[0], *map(lead.__add__, x[1:])] if x else x for x in cut]
-        self.learn(set().union(*cut))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+            raw, cuts = ids.tobytes(), [*(4 * edge).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+class MemoEncoder:
+    """words: ids of words that stand after a space; heads: ids of the words that begin a text.
+
+    limit: words that one worker remembers; others are encoded anew for each batch.
+    """
+
+    def __init__(self, words: Callable[[list[str]], list[bytes]], heads: Callable[[list[str]], list[bytes]] | None, limit: int = 150_000) -> None:
+        self.words, self.heads, self.limit, self.memo = words, heads, limit, {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cut = [x.split(" ") if x else [] for x in texts]
+        odd = {x for x in set().union(*cut).difference(self.memo) if not x or x != x.strip()}
+        if odd:
+            cut = [x if odd.isdisjoint(x) else CUT.split(texts[i]) for i, x in enumerate(cut)]
+        first = [x.pop(0) for x in cut if x] if self.heads else []
+        lead = iter(self.heads(first) if first else [])
+        distinct = set().union(*cut)
+        new = list(distinct.difference(self.memo))
+        got = dict(zip(new, self.words(new), strict=True))
+        room = self.limit - len(self.memo)
+        self.memo |= got if len(got) <= room else dict(islice(got.items(), room))
+        known = self.memo if len(got) <= room else {x: self.memo[x] for x in distinct.intersection(self.memo)} | got
+        get = known.__getitem__
+        if not self.heads:
+            return [b"".join(map(get, x)) for x in cut]
+        return [next(lead) + b"".join(map(get, x)) if texts[i] else b"" for i, x in enumerate(cut)]

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from touchline.llm.common import small_batches
-from touchline.llm.memo import MemoEncoder
+from touchline.llm.common import bounded_batches, small_batches
+from touchline.llm.memo import CUT, MemoEncoder, joined_batches
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -113,7 +113,8 @@ class PieceCodec:
         self.odd: set[str] = set()
         inner = any(SPACE in p.lstrip(SPACE) for p, _, k in self.model["pieces"] if k in (NORMAL, USER))
         self.whole = inner or not self.model["dummy_prefix"] or bool(self.model["charsmap"]) or self.model["squeeze"]
-        self.memo = MemoEncoder(self.encode_batch)
+        starts = np.array([p.startswith(SPACE) for p, _, _ in self.model["pieces"]])
+        self.memo = MemoEncoder(lambda words: joined_batches(words, starts, self.encode_joined, self.encode_one), None)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids from the tokenizers library, checked against sentencepiece."""
@@ -124,15 +125,21 @@ class PieceCodec:
                 self.odd.add(text)
         return right
 
+    def encode_one(self, text: str) -> list[int]:
+        """Ids of a space and a word: those of the word at the beginning of a text."""
+        return self.encode_batch([text[1:]])[0]
+
+    def encode_joined(self, text: str) -> list[int]:
+        """Ids of many words if both libraries agree on them, else none, so that they are taken one by one."""
+        got = self.tokenizer.encode_batch_fast([text[1:]], add_special_tokens=False)[0].ids
+        return got if got == self.reference.encode(text[1:]) else []
+
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
         """Ids (little-endian, 32 bits) of each text and whether both libraries agreed on all of it."""
-        from touchline.llm.memo import CUT
-
-        self.odd.clear() if len(self.odd) > self.memo.limit else None
         if self.whole:
-            ids = self.encode_batch([x or "" for x in texts])
-            return [np.asarray(x, "<u4").tobytes() for x in ids], [(x or "") not in self.odd for x in texts]
-        ids = self.memo.encode(texts, "")
+            ids = [np.asarray(x, "<u4").tobytes() for x in self.encode_batch([x or "" for x in texts])]
+            return ids, [(x or "") not in self.odd for x in texts]
+        ids = self.memo.encode(texts)
         return ids, [not self.odd or not x or self.odd.isdisjoint(CUT.split(x)) for x in texts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -151,7 +158,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, keep_ids:
     decoded_ok: decoding the ids gives the text back.
     """
     extra = {"n_tokens": pa.int64(), "ids_crc32": pa.int64(), "parity": pa.bool_(), "decoded_ok": pa.bool_()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
-    kept = docs.drop("ids", *extra)
+    kept = bounded_batches(docs.drop("ids", *extra))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, keep_ids:
 
 def decode_pieces(encoded: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """encoded with text, decoded from ids (null ids: empty)."""
-    kept = encoded.drop("text")
+    kept = bounded_batches(encoded.drop("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,15 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import shared_dir, small_batches
-from touchline.llm.memo import MemoEncoder
+from touchline.llm.common import bounded_batches, shared_dir, small_batches
+from touchline.llm.memo import MemoEncoder, joined_batches, space_starts
 
 MAGIC = b"TLPLANE1"
 BLOCK = 1 << 16
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 HEAD = struct.Struct("<8sBIQIQ")  # magic, plane kind, block size, ids, documents, bytes of the document table
 KINDS = {"byte": 0, "bit": 1}
-SHARD_SCHEMA = "part int, seq int, n_ids long, payload binary"
+SHARD_SCHEMA = "part int, seq int, earlier long, n_ids long, payload binary"  # earlier: ids of the partition before this shard
 
 
 def planes(block: np.ndarray, kind: str) -> list[bytes]:
@@ -87,22 +87,35 @@ def unpack_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
+def word_encoder(tokenizer) -> MemoEncoder:
+    """A byte-level tokenizer's ids of whole texts, without special tokens added."""
+    starts = space_starts(tokenizer)
+
+    def encode(text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def heads(words: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    return MemoEncoder(lambda words: joined_batches(words, starts, encode, encode), heads)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs(doc_id, text) with a tokenizers file in ascending doc_id order and write shards of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        encoder = MemoEncoder(lambda some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        encoder = word_encoder(Tokenizer.from_file(tokenizer_path))
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        ids, streams, held = [], [], 0
+        ids, streams, held, earlier = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal seq
-            seq += 1
-            row = [[part], [seq], [held], [pack_shard(ids, streams, kind, block)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_ids", "payload"])
+            nonlocal seq, earlier
+            seq, earlier = seq + 1, earlier + held
+            row = [[part], [seq], [earlier - held], [held], [pack_shard(ids, streams, kind, block)]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "earlier", "n_ids", "payload"])
 
         for batch in small_batches(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
@@ -116,21 +129,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if held:
             yield shard()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bounded_batches(ordered).mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files, read back: doc_id, start, n_tokens and ids_crc32.
 
-    Starts: the sum of earlier partitions (one row each, a window over as many rows as the write had tasks) plus that
-    of earlier shards of the partition.
+    Starts: the ids of earlier partitions, one row for each task that wrote (which bounds the broadcast and the window over all of
+    them), plus those of earlier shards of the partition.
     """
-    shards = spark.read.parquet(path)
+    shards = bounded_batches(spark.read.parquet(path))
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_part"))
     parts = parts.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("before"))
-    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    starts = shards.select("part", "seq", "n_ids").withColumn("inner", inner).join(parts, "part").select("part", "seq", (F.col("before") + F.col("inner")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +154,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 doc_ids = pa.array(rows["doc_id"].astype(np.int64), mask=rows["null"].copy())
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "seq", "payload").join(starts, ["part", "seq"]).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(F.broadcast(parts), "part").select((F.col("before") + F.col("earlier")).alias("start"), "payload")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, kind: str = "byte") -> DataFrame:
