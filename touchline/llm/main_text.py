@@ -308,7 +308,7 @@ def judged(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def trained(depth: int = 6) -> tuple:
+def trained(depth: int = 8) -> tuple:
     return grow(*labelled_features(), depth)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import line_dedup, main_text, mixing, nn_descent, piece_codec, quality_rules, simhash, token_files
+from touchline.llm import edit_counts, line_dedup, lm_score, main_text, mixing, nn_descent, piece_codec, quality_rules, simhash, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -53,12 +58,19 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), keep_ids=False).drop("text")
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = edit_counts.trial_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edit_counts.count_edits(docs, vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_main_text, op2_mixing, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_main_text, op2_mixing, op3_lm_score, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op9_edit_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
