@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 
@@ -50,24 +49,27 @@ class MemoEncoder:
     limit: words that one worker remembers; others are encoded anew for each batch.
     """
 
-    def __init__(self, words: Callable[[list[str]], list[bytes]], heads: Callable[[list[str]], list[bytes]] | None, limit: int = 150_000) -> None:
+    def __init__(self, words: Callable[[list[str]], list[bytes]], heads: Callable[[list[str]], list[bytes]] | None, limit: int = 400_000) -> None:
         self.words, self.heads, self.limit, self.memo = words, heads, limit, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [x.split(" ") if x else [] for x in texts]
-        odd = {x for x in set().union(*cut).difference(self.memo) if not x or x != x.strip()}
+        new = set().union(*cut).difference(self.memo)
+        odd = {x for x in new if not x or x != x.strip()}
         if odd:
             cut = [x if odd.isdisjoint(x) else CUT.split(texts[i]) for i, x in enumerate(cut)]
+            new = set().union(*cut).difference(self.memo)
         first = [x.pop(0) for x in cut if x] if self.heads else []
         lead = iter(self.heads(first) if first else [])
-        distinct = set().union(*cut)
-        new = list(distinct.difference(self.memo))
-        got = dict(zip(new, self.words(new), strict=True))
-        room = self.limit - len(self.memo)
-        self.memo |= got if len(got) <= room else dict(islice(got.items(), room))
-        known = self.memo if len(got) <= room else {x: self.memo[x] for x in distinct.intersection(self.memo)} | got
-        get = known.__getitem__
-        if not self.heads:
-            return [b"".join(map(get, x)) for x in cut]
-        return [next(lead) + b"".join(map(get, x)) if texts[i] else b"" for i, x in enumerate(cut)]
+        made = list(new)
+        got = dict(zip(made, self.words(made), strict=True))
+        room = max(0, self.limit - len(self.memo))
+        self.memo |= got
+        get = self.memo.__getitem__
+        out = [b"".join(map(get, x)) for x in cut]
+        if self.heads:
+            out = [next(lead) + x if texts[i] else b"" for i, x in enumerate(out)]
+        for x in made[room:]:
+            del self.memo[x]
+        return out

@@ -48,7 +48,7 @@ def unplanes(parts: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(got.T).view("<u4").ravel()
 
 
-def pack_shard(doc_ids: list[int | None], streams: list[bytes], kind: str = "byte", block: int = BLOCK, level: int = 3) -> bytes:
+def pack_shard(doc_ids: list[int | None], streams: list[bytes], kind: str = "byte", block: int = BLOCK, level: int = 1) -> bytes:
     """One shard of whole documents; streams: little-endian 32-bit ids of each."""
     ids = np.frombuffer(b"".join(streams), "<u4")
     zstd = zstandard.ZstdCompressor(level=level)
@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "earlier", "n_ids", "payload"])
 
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 if held and held + len(got) // 4 + 1 > shard_ids:
