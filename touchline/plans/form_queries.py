@@ -173,7 +173,7 @@ def name_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_helpers(spark: SparkSession, d: str) -> DataFrame:
-    title = F.concat(F.round(1 + F.col("p_size") / 10, 2).cast("string"), F.lit(" » "), F.round(1 + F.col("p_retailprice") / 1000, 2).cast("string"))
+    title = F.concat((1 + F.col("p_size") / 10.0).cast("string"), F.lit(" » "), (1 + F.floor(F.col("p_retailprice") / 10) / 100.0).cast("string"))
     start, end = S.quoted_move(title)
     return tables(spark, d, "part").select(
         "p_partkey", start.alias("odds_start"), end.alias("odds_end"), S.number_in(F.concat(F.col("p_size").cast("string"), F.lit(" %"))).alias("share"),
@@ -265,8 +265,8 @@ SQL = {
       FROM (SELECT *, greatest(least(CAST((match_id % 11) / 10.0 AS DOUBLE), 1 - 1e-6), 1e-6) AS p FROM {{fx_matches}})""",
     "name_key": """SELECT c_custkey, plain, CASE WHEN len(s) >= 2 AND length(s[-1]) >= 2 THEN s[-1] || '|' || substr(plain, 1, 1) END AS name_key FROM (
       SELECT c_custkey, plain, string_split(plain, ' ') AS s FROM (SELECT c_custkey, trim(regexp_replace(translate(lower(c_name), '.,''"()-_', '        '), '\\s+', ' ', 'g')) AS plain FROM {customer}))""",
-    "text_helpers": """SELECT p_partkey, CASE WHEN a > 1 THEN a END AS odds_start, CASE WHEN b > 1 THEN b END AS odds_end, p_size / 100.0 AS share, p_brand AS first_text, try_cast(p_name AS DOUBLE) IS NOT NULL AS name_is_number
-      FROM (SELECT *, CAST(round(1 + p_size / 10.0, 2) AS DOUBLE) AS a, CAST(round(1 + p_retailprice / 1000, 2) AS DOUBLE) AS b FROM {part})""",
+    "text_helpers": """SELECT p_partkey, CASE WHEN a > 1 THEN a END AS odds_start, CASE WHEN b > 1 THEN b END AS odds_end, p_size / CAST(100.0 AS DOUBLE) AS share, p_brand AS first_text, try_cast(p_name AS DOUBLE) IS NOT NULL AS name_is_number
+      FROM (SELECT *, 1 + p_size / CAST(10.0 AS DOUBLE) AS a, 1 + floor(p_retailprice / 10) / CAST(100.0 AS DOUBLE) AS b FROM {part})""",
     "uniform_rounds": f"{UNIFORM} SELECT match_id, round_index FROM u",
     "folds": f"""{UNIFORM} SELECT f.fold, CASE WHEN u.round_index = f.fold THEN 'validation' ELSE 'training' END AS part, count(*) AS matches, min(match_id) AS least, max(match_id) AS most
       FROM (SELECT DISTINCT round_index AS fold FROM u WHERE round_index >= 25) f JOIN u ON u.round_index BETWEEN f.fold - 25 AND f.fold GROUP BY ALL""",
