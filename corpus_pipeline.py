@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later occurrences of repeated three-line windows."""
-    return line_dedup.dedup_lines(docs).select(*DOCUMENT_COLUMNS)
+    """Documents without the later occurrences of repeated three-line windows; one of which nothing is left goes."""
+    return line_dedup.dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*DOCUMENT_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
