@@ -15,7 +15,7 @@ from touchline.functions.scalars import clean_cell, flexible_date
 
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """(file, snap_date, line, cells) of every line of the files YYYY-MM-DD.csv; other names are passed over. Quotes are read as CSV does."""
-    text = spark.read.option("wholetext", "true").text(path, pathGlobFilter="*.csv")
+    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv")
     files = text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.csv$", 1).alias("day"), "value")
     dated = files.select(F.col("day").alias("file"), F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date").alias("snap_date"), "value").where("snap_date is not null")
 
@@ -85,7 +85,7 @@ def new_records(stored: DataFrame, fetched: DataFrame, key: str = "match_id") ->
 def fullest(rows: DataFrame, key: list[str], missing: float = C.MISSING) -> DataFrame:
     """Of the rows of a key the one with the most known values."""
     others = [c for c in rows.columns if c not in key]
-    known = sum([(F.col(c).isNotNull() & (F.col(c).cast("string") != F.lit(str(missing)))).cast("int") for c in others], F.lit(0))
+    known = sum([(F.col(c).isNotNull() & ~F.col(c).cast("string").try_cast("double").eqNullSafe(F.lit(missing))).cast("int") for c in others], F.lit(0))
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_known"), *others))
     return rows.withColumn("_known", known).withColumn("_r", nth).where("_r = 1").drop("_r", "_known")
 
