@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
@@ -70,3 +72,22 @@ def learning_rate(schedule: str, start: float, step: int, steps: int, decay: flo
     share = step / max(1, steps - 1)
     rates = {"constant": start, "exponential": start * decay**step, "cosine": least + (start - least) * (1 + math.cos(math.pi * share)) / 2}
     return rates[schedule]
+
+
+def permutation_importance(scored: Callable[[DataFrame], DataFrame], rows: DataFrame, columns: list[str], key: str, seed: int = 1) -> DataFrame:
+    """(column, loss_of_accuracy): accuracy of scored(rows) (y_true, probability) less that with the column dealt out anew.
+
+    Values move along a hashed order within hashed blocks, so that no window holds the table.
+    """
+    spark = rows.sparkSession
+
+    def accuracy(df: DataFrame) -> float:
+        return scored(df).agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col("y_true")).cast("double"))).first()[0]
+
+    base, out = accuracy(rows), []
+    for i, c in enumerate(columns):
+        block = F.pmod(F.xxhash64(F.lit(seed + i), key), F.lit(256))
+        w = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + i + 1), key), key)
+        moved = F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        out.append((c, base - accuracy(rows.withColumn(c, moved))))
+    return spark.createDataFrame(out, "column string, loss_of_accuracy double")

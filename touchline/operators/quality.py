@@ -139,3 +139,50 @@ def conservation(row: DataFrame, laws: dict[str, str]) -> DataFrame:
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one frame that the other lacks, repeats counted (determinism of two runs: none)."""
     return a.exceptAll(b).union(b.exceptAll(a))
+
+
+def skill_missingness(skills: DataFrame, keys: list[str]) -> DataFrame:
+    """Missing and all values of skill rows (snap_date, …, skill_no, skill) by keys and skill, with the number of snapshot dates."""
+    missing = F.col("skill").isNull() | (F.col("skill") < 0) | F.isnan("skill")
+    got = skills.groupBy(*keys, "skill_no").agg(F.count_if(missing).alias("n_missing"), F.count("*").alias("n_total"), F.countDistinct("snap_date").alias("snapshots"))
+    return got.withColumn("missing_pct", 100 * F.col("n_missing") / F.col("n_total"))
+
+
+def nearest_snapshot(days: DataFrame, snapshots: DataFrame, key: list[str]) -> DataFrame:
+    """For each row of days(key, day) the snapshot date nearest to it (of two the earlier).
+
+    The window runs over distinct dates alone, whose number the calendar bounds; rows find theirs by an equi-join on the day.
+    """
+    dates = snapshots.select(F.col("snap_date").alias("d"), F.col("snap_date").alias("snap")).distinct()
+    asked = days.select(F.col("day").alias("d"), F.lit(None).cast("date").alias("snap")).distinct()
+    both = asked.union(dates)
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("snap", ignorenulls=True).over(whole(Window.orderBy("d", F.col("snap").isNull())))
+    after = F.last("snap", ignorenulls=True).over(whole(Window.orderBy(F.desc("d"), F.col("snap").isNull())))
+    found = both.withColumn("_b", before).withColumn("_a", after).where("snap is null")
+    first = F.col("_a").isNull() | (F.datediff("d", "_b") <= F.datediff("_a", "d"))
+    near = found.select(F.col("d").alias("day"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("snap_date"))
+    return days.select(*key, "day").join(near, "day")
+
+
+def cell_comparison(old: DataFrame, new: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """Cells of two matrices of the same rows: observed in both, in one only, in neither, and those that differ, by keys."""
+    paired = old.select(*on, *[k for k in keys if k not in on], F.flatten("matrix").alias("_o")).join(new.select(*on, F.flatten("matrix").alias("_n")), on)
+    cells = paired.select(*keys, F.explode(F.arrays_zip("_o", "_n")).alias("c")).select(*keys, F.col("c._o").alias("o"), F.col("c._n").alias("n"))
+    seen_old, seen_new = F.coalesce(F.col("o") >= 0, F.lit(False)), F.coalesce(F.col("n") >= 0, F.lit(False))
+    return cells.groupBy(*keys).agg(
+        F.count_if(seen_old & seen_new).alias("both"), F.count_if(seen_old & ~seen_new).alias("old_only"), F.count_if(~seen_old & seen_new).alias("new_only"),
+        F.count_if(~seen_old & ~seen_new).alias("neither"), F.count_if(seen_old & seen_new & (F.col("o") != F.col("n"))).alias("differ"),
+    )
+
+
+def readiness(rows: DataFrame, arrays: dict[str, int], ids: dict[str, int], key: str) -> list[DataFrame]:
+    """Findings on model rows: array lengths, finite values, dense ids in range."""
+    out = []
+    for name, n in arrays.items():
+        out.append(finding(rows.where(F.coalesce(F.size(name), F.lit(-1)) != n), f"{name}_size", "critical", "row", F.col(key), f"{name} has not {n} values"))
+        odd = F.exists(name, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        out.append(finding(rows.where(F.coalesce(odd, F.lit(False))), f"{name}_finite", "critical", "row", F.col(key), f"{name} has values that are not finite"))
+    for name, n in ids.items():
+        out.append(finding(rows.where(F.coalesce((F.col(name) < 0) | (F.col(name) >= n), F.lit(True))), f"{name}_range", "critical", "row", F.col(key), f"{name} is not from 0 to {n - 1}"))
+    return out
