@@ -135,3 +135,12 @@ def test_mixing_meets_targets_and_budget(spark):
 def test_mixing_keeps_all_when_the_budget_allows(spark, share):
     table = docs(spark, ["a b c"] * 20 + ["", None])
     assert mixing.mix(table, share=share).count() == 20
+
+
+@pytest.mark.parametrize(
+    ("attributes", "notice"),
+    [(' class="commentlist"', True), (" id=postComments", True), (' class="article-header"', False), (' class="site-header"', True), (' class="overflow-hidden lead"', False), (" hidden", True),
+     (' style="display: none"', True), (' class="post content"', False), (' class="AdSlot"', True), (' class="address"', False), (' role="navigation"', True)],
+)
+def test_names_of_notices(attributes, notice):
+    assert main_text.named_notice(attributes) is notice

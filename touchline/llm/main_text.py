@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,28 +23,29 @@ from pyspark.sql import DataFrame
 
 from touchline.llm.common import bounded_batches, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW = re.compile(r"</(script|style|template|noscript|textarea|svg|iframe|object|select|canvas|math|title|head)\s*>", re.I)
-HIDDEN = {"script", "style", "template", "noscript", "textarea", "svg", "iframe", "object", "select", "canvas", "math", "title"}
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^>]*)>", re.S)
+CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+RAW = re.compile(r"</(script|style|template|noscript|textarea|svg|iframe|object|select|canvas|math|title|button)\s*>", re.I)
+HIDDEN = {"script", "style", "template", "noscript", "textarea", "svg", "iframe", "object", "select", "canvas", "math", "title", "button"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "button", "label", "head", "address"}
+CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset", "head", "address"}
 BODY = {"article", "main"}
 SPACE = re.compile(r"[\s\x00]+")
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-#: Words of class, id and role names (cut at non-letters and at capitals), of what surrounds a page's text.
-NOTICE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted outbrain taboola"
-    " cookie cookies consent gdpr privacy notice notices alert modal popup overlay paywall disclaimer toast"
-    " comment comments disqus reply replies respond discussion feedback reactions"
-    " nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip"
-    " sidebar aside widget widgets rail related recommended recommendations more trending popular latest tags tagcloud"
-    " header masthead topbar toolbar footer foot colophon copyright legal"
-    " share sharing social follow newsletter subscribe subscription signup login signin register search form hidden".split()
-)
+#: Beginnings of words in class, id and role names (cut at non-letters and at capitals) of what surrounds a page's text.
+NOTICE_STEMS = (
+    "advert", "sponsor", "promo", "outbrain", "taboola", "cookie", "consent", "gdpr", "privacy", "notice", "modal", "popup", "overlay", "paywall", "disclaimer", "toast", "banner",
+    "comment", "disqus", "repl", "respond", "discussion", "feedback", "reaction", "navbar", "navigation", "menu", "breadcrumb", "pagination", "pager", "sidebar", "widget", "related", "recommend", "trending",
+    "tagcloud", "footer", "colophon", "shar", "social", "follow", "newsletter", "subscri", "signup", "login", "signin", "masthead", "topbar", "toolbar", "offcanvas", "copyright",
+)
+NOTICE_WORDS = {"ad", "ads", "adv", "nav", "toc", "alert", "aside", "imprint"}
+#: Words that tell the same unless a name also speaks of the text itself.
+WEAK_WORDS = {"header", "foot", "form", "legal", "more", "popular", "latest", "tags", "rail", "register", "search", "skip", "tabs"}
+TEXT_WORDS = {"article", "post", "entry", "content", "main", "story", "body", "text", "page"}
 WORD_CUT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -59,8 +61,10 @@ class Block:
 def named_notice(attributes: str) -> bool:
     """Whether an element's names say that it is no part of the text."""
     for value in NAMED.findall(attributes):
-        if any(x.lower() in NOTICE_WORDS for x in WORD_CUT.findall(value)):
-            return True
+        for name in value.strip("\"'").split():
+            words = [x.lower() for x in WORD_CUT.findall(name)]
+            if any(x in NOTICE_WORDS or x.startswith(NOTICE_STEMS) for x in words) or (any(x in WEAK_WORDS for x in words) and not any(x in TEXT_WORDS for x in words)):
+                return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", attributes, re.I))
 
 
@@ -70,7 +74,12 @@ def blocks(page: str | None) -> list[Block]:
     open_tags: list[tuple[str, bool, bool, bool]] = []  # name, chrome, named, body: each with what it inherits
     parts: list[str] = []
     linked: list[str] = []
-    links = 0
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        """Close the open elements from the i-th on."""
+        opened.subtract(x[0] for x in open_tags[i:])
+        del open_tags[i:]
 
     def flush() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
@@ -84,22 +93,26 @@ def blocks(page: str | None) -> list[Block]:
 
     def add(text: str) -> None:
         parts.append(text)
-        if links:
+        if opened["a"]:
             linked.append(text)
 
     page, at = page or "", 0
-    while found := TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # no tag ends after it
+    while found := TOKEN.search(page, at, last):
         if found.start() > at:
             add(page[at : found.start()])
         at = found.end()
         name = (found[2] or "").lower()
         if not name:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                at = len(page)
+                break
             continue
         if not found[1]:
             if name in HIDDEN:
                 if not found[3].endswith("/"):
                     end = next((m for m in RAW.finditer(page, at) if m[1].lower() == name), None)
-                    at = end.end() if end else len(page)
+                    at = end.end() if end else at if name == "button" else len(page)
                 parts.append(" ")
                 continue
             if name in BLOCKS:
@@ -108,31 +121,32 @@ def blocks(page: str | None) -> list[Block]:
                     closes = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}[name]
                     for i in range(len(open_tags) - 1, -1, -1):
                         if open_tags[i][0] in closes:
-                            del open_tags[i:]
+                            close(i)
                         elif open_tags[i][0] in BLOCKS:
                             break
-                elif any(x[0] == "p" for x in open_tags):
-                    i = max(i for i, x in enumerate(open_tags) if x[0] == "p")
-                    if not any(x[0] in BLOCKS for x in open_tags[i + 1 :]):
-                        del open_tags[i:]
+                elif opened["p"]:
+                    i = next(i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] in BLOCKS)
+                    if open_tags[i][0] == "p":
+                        close(i)
             elif name == "br":
                 parts.append(" ")
+            elif name == "a" and opened["a"]:
+                close(next(i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == "a"))
             if name not in VOID and not found[3].endswith("/"):
                 _, chrome, named, body = open_tags[-1] if open_tags else ("", False, False, False)
                 own = name not in ("html", "body", "article", "main") and bool(found[3]) and named_notice(found[3])
                 open_tags.append((name, chrome or name in CHROME and not (body and name == "header"), named or own, body or name in BODY))
-                links = sum(x[0] == "a" for x in open_tags) if name == "a" else links
+                opened[name] += 1
         else:
             if name in BLOCKS:
                 flush()
-            for i in range(len(open_tags) - 1, -1, -1):
+            for i in range(len(open_tags) - 1, -1, -1) if opened[name] else ():
                 if open_tags[i][0] == name:
-                    del open_tags[i:]
+                    close(i)
                     break
                 if name not in BLOCKS and open_tags[i][0] in BLOCKS:
                     break
-            links = sum(x[0] == "a" for x in open_tags)
-    add(page[at:])
+    add(CUT_OFF.sub("", page[at:]))
     flush()
     return out
 
@@ -256,6 +270,16 @@ LABELLED = """
 
 1 <main><p>Thanks to all.</p>
 
+0 <nav><a href="/">Start</a></nav>
+1 <article><h1>Where to read on</h1>
+1 <article><p><a href="/a">The long report on the ferry and its crew</a></p>
+1 <article><p>It was written over a winter in which the ferry did not leave the harbour once, and it is the best of them all by far.</p>
+1 <article><p><a href="/b">A shorter one</a></p>
+1 <article><p><a href="/c">The letters of the keeper, in the edition of his daughter, with notes</a></p>
+1 <article><p>They are worth it.</p>
+0 <article><li><a href="/d">Next story</a></li>
+0 <article><li><a href="/e">The story before this one, which is about a goat on a roof and a ladder</a></li>
+
 1 <p>The meeting of the club will take place in the old school at eight on Friday.</p>
 
 1 <p>There were four of us in the tent when the wind rose and took away the pole that held up the middle of it.</p>
