@@ -153,3 +153,31 @@ def apply_quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_cover
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     repeats = (F.col("covered_words") > max_covered * n) | (F.col("longest_repeat") > max_longest)
     return quality_measures(docs, min_repeat).withColumn("base_failed", failed).withColumn("kept", ~failed & ~repeats)
+
+
+def oracle_sql(min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> str:
+    """DuckDB SQL for the verdicts on documents with unique doc_ids.
+
+    A word is covered if a repeated window of min_repeat words holds it (longer repeats are unions of such windows), and a repeat of over
+    max_longest words is a repeated window of one word more.
+    """
+    word = r"[^\x20\x09-\x0D]+"
+    frames = {"a": 3, "b": min_repeat, "c": max_longest + 1}
+    hashes = ", ".join(f"CASE WHEN count(*) OVER w{k} = {n} THEN hash(string_agg(word, ' ') OVER w{k}) END AS {k}" for k, n in frames.items())
+    windows = ", ".join(f"w{k} AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for k, n in frames.items())
+    twice = ", ".join(f"{k} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, {k}) > 1 AS {k}" for k in frames)
+    spans = ", ".join(f"max(CAST({k} AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {k}" for k, n in frames.items())
+    return f"""WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS word, generate_subscripts(regexp_extract_all(text, '{word}'), 1) AS i FROM documents),
+hashed AS (SELECT doc_id, i, length(word) AS chars, {hashes} FROM words WINDOW {windows}),
+repeated AS (SELECT doc_id, i, chars, {twice} FROM hashed),
+covered AS (SELECT doc_id, chars, {spans} FROM repeated),
+counts AS (SELECT doc_id, count(*) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars, CAST(sum(a) AS BIGINT) AS n_repeat_words, CAST(sum(b) AS BIGINT) AS covered_words, max(c) AS long FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+every AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, coalesce(long, 0) AS long
+  FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN dups USING (doc_id)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM every)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered_words <= {max_covered} * n_words AND long = 0 AS kept, covered_words FROM judged"""
