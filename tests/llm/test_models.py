@@ -264,3 +264,11 @@ def test_pipeline_on_a_small_corpus(spark):
     assert set(range(60)) <= kept and not kept & {60, 62, 63, 64}
     last = corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, rows, ""), "").collect()
     assert 0 < len(last) < len(kept) and all(r.parity and r.decoded_ok and r.n_tokens == len(r.ids) for r in last)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert lm_score.score(docs, docs.select("doc_id"), vocab=10).count() == 0
+    assert nn_descent.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, rounds=1).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert {(r.doc_id, r.score) for r in lm_score.score(blank, docs.select("doc_id"), vocab=10).collect()} == {(1, None), (2, None)}
