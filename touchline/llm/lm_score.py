@@ -5,7 +5,7 @@ documents, every other word being one unknown word. p(w | v) mixes the bigram sh
 document's score is the mean over its tokens of the target loss less the background loss: lower is nearer to the target.
 
 The documents are encoded once and stored in chunks (one for each task of the join with the target flags). Each chunk sends its distinct
-bigrams with counts; a shuffle by bigram sums them and sends both losses back to the chunks that asked, where documents are scored. So what is
+bigrams with counts; a shuffle by bigram sums them and sends the sums back to the chunks that asked, where documents are scored. So what is
 shuffled is each chunk's distinct bigrams, not every token, no table of the corpus's size is broadcast, and a frequent bigram
 has as many rows as there are chunks. Only the vocabulary (at most ``vocab`` words) and its counts pass through the driver.
 
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, small_batches, stored
+from touchline.llm.common import bounded_batches, dropped, small_batches, stored
 
 VOCAB = 1 << 14
 MIX = 0.6
@@ -53,19 +53,32 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
-    """Ids, from 2, of the most frequent words (ties by the word's bytes); at most size words come to the driver."""
-    counts = bounded_batches(docs.select("text")).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): i for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(size).collect(), START + 1)}
+    """Ids, from 2, of the most frequent words (ties by the word's bytes); at most size words come to the driver.
 
+    The counts of counts give the count that the last word has, so that no task sorts more than the words above it and those that tie with it.
+    """
+    counts = stored(bounded_batches(docs.select("text")).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    more = F.sum("words").over(Window.orderBy(F.desc("n")))
+    last = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("more", more).where(F.col("more") >= size).agg(F.max("n")).first()[0] or 0
+    top = counts.where(F.col("n") > last).collect()
+    if last and len(top) < size:
+        top += stored(counts.where(F.col("n") == last).orderBy("word").limit(size - len(top)), "tied-words").collect()
+    dropped(docs.sparkSession, counts)
+    return {bytes(r.word): i for i, r in enumerate(sorted(top, key=lambda r: (-r.n, bytes(r.word))), START + 1)}
 
-def encoded(docs: DataFrame, targets: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+
+def id_type(width: int) -> str:
+    return "<u2" if width <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, targets: DataFrame, ids: dict[bytes, int], kind: str) -> DataFrame:
     """(chunk, doc_id, target, ids): each document's word ids as bytes, stored."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in small_batches(batches, "text", 2 << 20):
-            rows = [np.fromiter((get(w, UNKNOWN) for w in words_of(x)), "<u4").tobytes() for x in batch.column("text").to_pylist()]
+            rows = [np.fromiter((get(w, UNKNOWN) for w in words_of(x)), kind).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     coded = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary")
@@ -79,8 +92,8 @@ def bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array([START], ids.dtype), ids[:-1]]) if len(ids) else ids, ids
 
 
-def _tables(width: int):
-    """Rows (chunk, history, word, n_target, n_background) of each run of a chunk's documents; a negative word stands for the history's own total."""
+def _tables(width: int, kind: str):
+    """Rows (chunk, code, n) of each run of a chunk's documents: code = history * width + word, n = target count << 32 | background count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, size = None, ([], []), 0
@@ -88,11 +101,10 @@ def _tables(width: int):
         def out() -> pa.RecordBatch:
             codes = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in held]
             every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-            n = [np.bincount(x, minlength=len(every)) for x in (inverse[: len(codes[0])], inverse[len(codes[0]) :])]
-            columns = [np.full(len(every), chunk), every // width, every % width, *n]
+            nt, nb = (np.bincount(x, minlength=len(every)) for x in (inverse[: len(codes[0])], inverse[len(codes[0]) :]))
             for x in held:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], ["chunk", "v", "w", "nt", "nb"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(every), chunk, np.int32)), pa.array(every), pa.array((nt << 32 | nb).astype(np.int64))], ["chunk", "code", "n"])
 
         for batch in batches:
             for own, target, raw in zip(batch.column("chunk").to_pylist(), batch.column("target").to_pylist(), batch.column("ids").to_pylist(), strict=True):
@@ -100,7 +112,7 @@ def _tables(width: int):
                     if size:
                         yield out()
                     chunk, size = own, 0
-                v, w = bigrams(np.frombuffer(raw, "<u4").astype(np.int64))
+                v, w = bigrams(np.frombuffer(raw, kind).astype(np.int64))
                 held[0 if target else 1].append(v * width + w)
                 size += len(w)
         if size:
@@ -112,8 +124,9 @@ def _tables(width: int):
 def unigram_counts(tables: DataFrame, width: int) -> np.ndarray:
     """(4, width): target and background counts of each word, then of each history. At most width rows of each come to the driver."""
     out = np.zeros((4, width))
-    for at, key in ((0, "w"), (2, "v")):
-        for r in tables.groupBy(key).agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb")).collect():
+    n = [F.sum(F.shiftright("n", 32)).alias("nt"), F.sum(F.col("n").bitwiseAND((1 << 32) - 1)).alias("nb")]
+    for at, key in ((0, F.col("code") % width), (2, F.floor(F.col("code") / width))):
+        for r in tables.groupBy(key.cast("int").alias("id")).agg(*n).collect():
             out[at : at + 2, r[0]] = r[1], r[2]
     return out
 
@@ -125,54 +138,51 @@ def losses(v: np.ndarray, w: np.ndarray, n: np.ndarray, words: np.ndarray, histo
     return -np.log(np.where(seen > 0, mix * n / np.maximum(seen, 1) + (1 - mix) * plain, plain))
 
 
-def _summed(counts, width: int, mix: float):
-    """Rows sorted by bigram in; for each chunk the bigrams it has and their losses out. Holds the rows of one bigram and a batch."""
+def _summed(width: int):
+    """Rows sorted by code in; for each chunk the codes it has and their counts everywhere out. Holds the rows of one bigram and a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        rest = np.zeros((5, 0), np.int64)
-
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            chunk, v, w, nt, nb = rows
-            code = v * width + w
-            edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            at = np.cumsum(np.concatenate([[True], code[1:] != code[:-1]])) - 1
-            sums = [np.add.reduceat(x, edge) for x in (nt, nb)]
-            lt, lb = (losses(v[edge], w[edge], n, table[i], table[2 + i], mix)[at].astype("<f4") for i, n in enumerate(sums))
-            by = np.argsort(chunk, kind="stable")
-            chunk, code, lt, lb = chunk[by], code[by], lt[by], lb[by]
-            cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk))
-            parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (code.astype("<i8"), lt, lb)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], ["chunk", "code", "lt", "lb"])
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        chunk, code, n = rows
+        first = np.concatenate([[True], code[1:] != code[:-1]])
+        at, edge = np.cumsum(first) - 1, np.flatnonzero(first)
+        nt, nb = (np.add.reduceat(x, edge)[at] for x in (n >> 32, n & (1 << 32) - 1))
+        by = np.argsort(chunk, kind="stable")
+        chunk, columns = chunk[by], [x[by].astype("<i8") for x in (code, nt, nb)]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk))
+        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]].astype(np.int32)), *parts], ["chunk", "code", "nt", "nb"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((3, 0), np.int64)
         for batch in batches:
-            rows = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("chunk", "v", "w", "nt", "nb")])
-            rest = np.concatenate([rest, rows], axis=1)
+            rest = np.concatenate([rest, np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("chunk", "code", "n")])], axis=1)
             if rest.shape[1] < 100_000:
                 continue
-            last = np.flatnonzero((rest[1] != rest[1, -1]) | (rest[2] != rest[2, -1]))
+            last = np.flatnonzero(rest[1] != rest[1, -1])
             if len(last):
-                yield from out(rest[:, : last[-1] + 1])
+                yield out(rest[:, : last[-1] + 1])
                 rest = rest[:, last[-1] + 1 :]
         if rest.shape[1]:
-            yield from out(rest)
+            yield out(rest)
 
     return run
 
 
-def _score_chunk(width: int):
+def _score_chunk(counts, width: int, kind: str, mix: float):
     def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        code, lt, lb = (np.frombuffer(b"".join(model.column(x).to_pylist()), t) for x, t in (("code", "<i8"), ("lt", "<f4"), ("lb", "<f4")))
+        table = counts.value
+        code, nt, nb = (np.frombuffer(b"".join(model.column(x).to_pylist()), "<i8") for x in ("code", "nt", "nb"))
         by = np.argsort(code, kind="stable")
-        code, lt, lb = code[by], lt[by].astype(float), lb[by].astype(float)
-        n, target, background = [], [], []
+        code, sums = code[by], (nt[by], nb[by])
+        loss = [losses(code // width, code % width, n, table[i], table[2 + i], mix) for i, n in enumerate(sums)]
+        n, means = [], ([], [])
         for raw in docs.column("ids").to_pylist():
-            v, w = bigrams(np.frombuffer(raw, "<u4").astype(np.int64))
+            v, w = bigrams(np.frombuffer(raw, kind).astype(np.int64))
             at = np.searchsorted(code, v * width + w)
             n.append(len(w))
-            target.append(lt[at].mean() if len(w) else None)
-            background.append(lb[at].mean() if len(w) else None)
-        columns = {"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(background, pa.float64())}
+            for out, values in zip(means, loss, strict=True):
+                out.append(values[at].mean() if len(w) else None)
+        columns = {"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(means[0], pa.float64()), "background_loss": pa.array(means[1], pa.float64())}
         return pa.table(columns)
 
     return run
@@ -182,11 +192,26 @@ def score(docs: DataFrame, targets: DataFrame, vocab: int = VOCAB, mix: float =
     """(doc_id, n_tokens, target_loss, background_loss, score) of each of docs(doc_id, text); targets(doc_id): the target corpus."""
     ids = vocabulary(docs, vocab)
     width = START + 1 + vocab
-    chunks = encoded(docs, targets, ids)
-    tables = stored(bounded_batches(chunks).mapInArrow(_tables(width), "chunk int, v int, w int, nt int, nb int"), "bigrams")
+    kind = id_type(width)
+    chunks = encoded(docs, targets, ids, kind)
+    tables = stored(bounded_batches(chunks).mapInArrow(_tables(width, kind), "chunk int, code long, n long"), "bigrams")
     counts = docs.sparkSession.sparkContext.broadcast(unigram_counts(tables, width))
-    ordered = tables.repartition("v", "w").sortWithinPartitions("v", "w")
-    model = bounded_batches(ordered).mapInArrow(_summed(counts, width, mix), "chunk int, code binary, lt binary, lb binary")
+    ordered = tables.repartition("code").sortWithinPartitions("code")
+    model = bounded_batches(ordered).mapInArrow(_summed(width), "chunk int, code binary, nt binary, nb binary")
     kinds = "doc_id long, n_tokens long, target_loss double, background_loss double"
-    rows = chunks.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(width), kinds)
+    rows = chunks.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(counts, width, kind, mix), kinds)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+ORACLE_SQL = f"""WITH tokens AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)),
+vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + {START} AS id FROM tokens GROUP BY word ORDER BY id LIMIT {VOCAB}),
+coded AS (SELECT doc_id, i, coalesce(id, {UNKNOWN}) AS w FROM tokens LEFT JOIN vocab USING (word)),
+pairs AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), {START}) AS v, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM coded),
+bi AS (SELECT v, w, count(*) FILTER (WHERE t) AS nt, count(*) FILTER (WHERE NOT t) AS nb FROM pairs GROUP BY ALL),
+uni AS (SELECT w, sum(nt) AS ut, sum(nb) AS ub FROM bi GROUP BY w), hist AS (SELECT v, sum(nt) AS ht, sum(nb) AS hb FROM bi GROUP BY v), every AS (SELECT sum(nt) AS et, sum(nb) AS eb FROM bi),
+priced AS (SELECT v, w, CAST(nt AS DOUBLE) AS nt, CAST(nb AS DOUBLE) AS nb, ht, hb, (ut + 1) / CAST(et + {VOCAB + START + 1} AS DOUBLE) AS pt, (ub + 1) / CAST(eb + {VOCAB + START + 1} AS DOUBLE) AS pb FROM bi JOIN uni USING (w) JOIN hist USING (v), every),
+loss AS (SELECT v, w, -ln(CASE WHEN ht > 0 THEN {MIX} * nt / ht + {1 - MIX} * pt ELSE pt END) AS lt, -ln(CASE WHEN hb > 0 THEN {MIX} * nb / hb + {1 - MIX} * pb ELSE pb END) AS lb FROM priced),
+means AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM pairs JOIN loss USING (v, w) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score FROM documents d LEFT JOIN means USING (doc_id)"""

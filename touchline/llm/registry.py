@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_quality_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words"
     )
 
 
@@ -33,7 +33,8 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_score.score(table(spark, sf_dir, "documents"), good)
+    scored = lm_score.score(table(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op3_lm_score": lm_score.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql()}
