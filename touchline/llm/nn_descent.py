@@ -31,8 +31,8 @@ BLOCK = 1024
 PROJECTIONS = 8
 ROUNDS = 6
 OFFERS = 10
-BEAM = 144
-EXPAND = 64
+BEAM = 192
+EXPAND = 96
 SEARCH_ROUNDS = 5
 
 
