@@ -1,6 +1,6 @@
 """As-of lookups, line-ups, imputation and entity resolution."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +44,36 @@ def test_as_of_buckets_against_brute_force(spark):
     assert got == {(a.match_id, b.snap_date) for a in left for b in right if a.player_id == b.player_id and 0 <= (a.day - b.snap_date).days <= 50}
 
 
+def test_as_of_queries_look_up_every_lineup_row(spark):
+    """All line-up rows against brute force in Python."""
+    from touchline.plans import model_queries
+    from touchline.plans.fixtures import tables
+
+    base = "/root/testdata/sf0.001"
+    last = {}
+    for r in tables(spark, base, "fx_snapshots").collect():
+        last[r.player_id, r.snap_date] = max((r.event_id, r.skill), last.get((r.player_id, r.snap_date), (-1, 0.0)))
+    first, own = min(d for _, d in last), {}
+    for (p, d), (_, skill) in last.items():
+        own.setdefault(p, []).append((d, skill))
+    past, both, filled = set(), set(), {}
+    for r in tables(spark, base, "fx_lineups").collect():
+        day = first + timedelta(days=r.match_id % 40)
+        ages = sorted(((day - d).days, d, skill) for d, skill in own.get(r.player_id, ()))
+        key = (r.match_id, r.side, r.slot)
+        near = [x for x in ages if 0 <= x[0] <= 120][:6]
+        past |= {(*key, r.player_id, d, age, n) for n, (age, d, _) in enumerate(near, 1)}
+        sides = sorted((x for x in ages if abs(x[0]) <= 20), key=lambda x: (x[0] < 0, abs(x[0])))[:6]
+        both |= {(*key, r.player_id, d, age, n) for n, (age, d, _) in enumerate(sides, 1)}
+        seen = [(round(skill, 6), d, age) for age, d, skill in near if skill >= 0]
+        if seen:
+            filled[key] = seen[0]
+    assert past and both and filled
+    for name, want in (("asof_past", past), ("asof_past_future", both), ("skill_fill", {(*k, *v) for k, v in filled.items()})):
+        got = [tuple(r) for r in model_queries.QUERIES[name](spark, base).collect()]
+        assert len(got) == len(want) and set(got) == want, name
+
+
 def lineup(spark, positions):
     return spark.createDataFrame([([(i, p) for i, p in enumerate(positions)],)], "l array<struct<player_id:bigint,position:string>>")
 

@@ -218,9 +218,9 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookups(spark: SparkSession, d: str) -> DataFrame:
-    """Each match's line-up rows of two slots, asking for the player's snapshots on a day among those of the events."""
+    """Each match's line-up rows, asking for the player's snapshots on a day among those of the events."""
     first = tables(spark, d, "fx_snapshots").agg(F.min("snap_date").alias("first"))
-    rows = tables(spark, d, "fx_lineups").where("slot < 2 and match_id % 10 = 0").join(F.broadcast(first))
+    rows = tables(spark, d, "fx_lineups").join(F.broadcast(first))
     return rows.select("match_id", "side", "slot", "player_id", F.date_add("first", (F.col("match_id") % 40).cast("int")).alias("day"))
 
 
