@@ -141,3 +141,14 @@ def test_logistic_baseline_separates_and_falls_back(spark):
     assert metrics.binary_metrics(scored, ["model_name"]).first().auc > 0.95
     assert {r.probability for r in datasets.fit_logistic(table.where("y_true = 1"), table).collect()} == {1.0}
     assert datasets.learning_rate("cosine", 1.0, 9, 10) == pytest.approx(0) and datasets.learning_rate("exponential", 1.0, 2, 10, 0.5) == 0.25
+
+
+def test_walk_forward_calibration_covers_every_season_but_the_first(spark):
+    from touchline.plans import model_queries
+    from touchline.plans.fixtures import tables
+
+    base = "/root/testdata/sf0.001"
+    season = {r.match_id: r.season for r in betting.implied(tables(spark, base, "fx_predictions")).collect()}
+    later = [m for m, s in season.items() if s > min(season.values())]
+    got = [(r.match_id, r.method) for r in model_queries.platt_calibration(spark, base).collect()]
+    assert len({season[m] for m in later}) > 2 and sorted(got) == sorted((m, x) for m in later for x in ("platt", "isotonic", "hybrid"))
