@@ -49,6 +49,22 @@ def test_pairs_are_alike_and_unlike(spark):
     assert sum(r.same for r in pairs) == 4 * 300
 
 
+@pytest.mark.parametrize(("labels", "k"), [(2, 10), (10, 10), (40, 3)])
+def test_every_row_gets_all_its_pairs(spark, labels, k):
+    """The last label has three rows, so that one of its pools and, with two labels, the others' are smaller than k."""
+    rows = spark.range(400).select(F.col("id").alias("k"), F.when(F.col("id") < 3, labels - 1).otherwise(F.col("id") % (labels - 1)).alias("label"))
+    label = {r.k: r.label for r in rows.collect()}
+    got = {}
+    for r in legacy.sample_pairs(rows, "label", "k", k).collect():
+        assert (label[r.k] == label[r.other]) == r.same and r.k != r.other
+        got.setdefault((r.k, r.same), []).append(r.other)
+    for x, own in label.items():
+        size = sum(y == own for y in label.values())
+        for same, pool in ((True, size - 1), (False, len(label) - size)):
+            drawn = got.get((x, same), [])
+            assert len(drawn) == len(set(drawn)) == min(k, pool)
+
+
 def test_nearest_snapshot_against_brute_force(spark):
     days = [(i, date(2024, 1 + i % 12, 1 + i % 28)) for i in range(60)]
     snaps = [date(2024, m, 10) for m in range(2, 12, 3)]

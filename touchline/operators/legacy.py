@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.functions.ordered import with_rank
 from touchline.functions.scalars import points, ratio
 from touchline.operators.form import in_order, last_n
 
@@ -130,22 +131,29 @@ def previous_result_elo(matches: DataFrame, component: str = "competition", k: f
 
 
 def sample_pairs(rows: DataFrame, label: str, key: str, k: int = 10, seed: int = 1) -> DataFrame:
-    """For each row k others of its label (same true) and k of other labels (same false), drawn by hashed keys.
+    """For each row k others of its label (same true) and k of other labels (same false), or all where there are fewer, drawn by hashed keys.
 
-    Rows of a label are put in a hashed order and paired with their next k neighbours in it; for unlike pairs all rows are put in a hashed order
-    of (round, label-free hash) blocks. So no label's rows are ever joined with each other.
+    Rows are ranked by label and hashed key, so that a label is an interval of ranks. Like rows are the next k in it; unlike ones are drawn from
+    k equal strata of the ranks outside of it, one from each. So all draws are one equi-join on rank, and no label's rows are ever joined with
+    each other. Rows without a label take no part.
     """
-    order = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    size = F.count("*").over(Window.partitionBy(label))
-    placed = rows.select(F.col(key), F.col(label), (order - 1).alias("i"), size.alias("n"))
-    steps = placed.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("step < n")
-    alike = steps.withColumn("j", (F.col("i") + F.col("step")) % F.col("n")).join(placed.select(label, F.col("i").alias("j"), F.col(key).alias("other")), [label, "j"]).select(key, "other", F.lit(True).alias("same"))
-    spots = rows.select(F.col(key), F.col(label), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
-    block = F.pmod(F.xxhash64(F.lit(seed), "step", key), F.lit(64))
-    mixed = spots.withColumn("block", block)
-    ahead = Window.partitionBy("step", "block").orderBy(F.xxhash64(F.lit(seed + 1), "step", key), key)
-    unlike = mixed.withColumn("other", F.lead(key).over(ahead)).withColumn("other_label", F.lead(label).over(ahead)).where(F.col("other_label") != F.col(label)).select(key, "other", F.lit(False).alias("same"))
-    return alike.union(unlike)
+    hashed = F.xxhash64(F.lit(seed), key)
+    known = rows.where(F.col(label).isNotNull()).select(key, label)
+    placed = with_rank(known, F.struct(F.col(label), F.shiftrightunsigned(hashed, 56)), [hashed, F.col(key)]).withColumn("i", F.col("rn") - 1).drop("rn")
+    spans = placed.groupBy(label).agg(F.min("i").alias("first"), F.count("*").alias("size"))
+    sized = placed.join(spans, label).withColumn("others", F.col("n") - F.col("size"))
+    i, first, size, others, step = (F.col(x) for x in ("i", "first", "size", "others", "step"))
+
+    alike = sized.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(step < size)
+    alike = alike.select(key, (first + (i - first + step) % size).alias("j"), F.lit(True).alias("same"))
+
+    draws = F.least(others, F.lit(k))
+    unlike = sized.where(others > 0).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(step < others)
+    low, high = F.floor(step * others / draws), F.floor((step + 1) * others / draws)
+    turned = (low + F.pmod(F.xxhash64(F.lit(seed + 1), "step", key), high - low) + F.pmod(F.xxhash64(F.lit(seed + 2), key), others)) % others
+    unlike = unlike.select(key, turned.alias("j"), first.alias("first"), size.alias("size")).select(key, F.when(F.col("j") < first, F.col("j")).otherwise(F.col("j") + size).alias("j"), F.lit(False).alias("same"))
+
+    return alike.union(unlike).join(placed.select(F.col("i").alias("j"), F.col(key).alias("other")), "j").select(key, "other", "same")
 
 
 def hard_pairs(pairs: DataFrame, margin: float = 0.8) -> DataFrame:

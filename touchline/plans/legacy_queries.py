@@ -48,7 +48,7 @@ def result_elo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return legacy.sample_pairs(tables(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 3)
+    return legacy.sample_pairs(tables(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
 
 def min_max_scaled(spark: SparkSession, d: str) -> DataFrame:
