@@ -77,6 +77,20 @@ def test_nearest_is_exact_when_small_and_handles_odd_rows(spark):
     assert [(r.query_id, r.vec_id) for r in nn_descent.nearest(few, F.col("vec_id") % 20 == 0, rounds=1).collect()] == [(0, 1)]
 
 
+def test_nearest_answers_vectors_with_negative_zeros(spark):
+    rows = spark.createDataFrame([(0, [-0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, -0.0])], "vec_id long, embedding array<double>")
+    got = nn_descent.nearest(rows, F.col("vec_id") < 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 1.0), (0, 2, 0.0), (1, 0, 1.0), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0)]
+
+
+def test_search_goes_on_until_no_node_is_left(spark):
+    """Node i of a chain links only to the next, which is nearer to the query: 12 steps to the last."""
+    q = nn_descent.quantised(np.array([[1.0 + i, 1.0] for i in range(13)]))
+    near = spark.createDataFrame([(i, [(i + 1, q[i + 1])]) for i in range(12)], "a long, near array<struct<b:long,q:binary>>")
+    queries = spark.createDataFrame([(0, 0, nn_descent.quantised(np.array([[1.0, 0.0]]))[0])], "query_id long, start long, qq binary")
+    assert {r.node for r in nn_descent.search(near, queries, 20, 4).collect()} == set(range(13))
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(1)
     vectors = {i: x.astype(np.float32).tolist() for i, x in enumerate(rng.standard_normal((3000, 24)))}

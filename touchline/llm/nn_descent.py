@@ -4,7 +4,8 @@ Vectors that are equal are one node. A first graph links each node to the best o
 projections (range-partitioned, cut into blocks of fixed size, so that no group of near-equal vectors makes a block larger). Rounds then join
 neighbours with neighbours: every node gathers its neighbours and a bounded sample of the nodes that list it, scores them
 against each other where at least one is new, and sends each the best of what beats its worst neighbour. Queries start at their own
-node and search the graph greedily: the best unexpanded nodes of a beam are expanded until nothing enters the beam.
+node and search the graph greedily: the best unexpanded nodes of a beam are expanded until none is left in it. Rounds of joins end when
+at most DELTA of the edges are new.
 
 Nearness is the largest inner product. The graph is built on vectors of 8-bit components with a scale each; scores that are returned are of
 the original vectors, in double precision.
@@ -16,6 +17,7 @@ returned; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +31,16 @@ K = 20
 DEGREE = 32
 BLOCK = 1024
 PROJECTIONS = 8
-ROUNDS = 6
+DELTA = 0.001
 OFFERS = 10
 BEAM = 192
 EXPAND = 96
-SEARCH_ROUNDS = 5
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of the rows that take part, each vec_id once."""
-    wide = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """(vec_id, embedding as doubles, -0.0 as 0.0 so that equal vectors are the same bytes) of the rows that take part, each vec_id once."""
+    plain = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+    wide = rows.select(F.col("vec_id").cast("long").alias("vec_id"), plain.alias("embedding"))
     good = (
         F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.exists("embedding", lambda x: x != 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -161,15 +163,15 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("rn", rank).where(F.col("rn") <= degree).drop("rn")
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
-    """(a, b, s): each node's best neighbours found."""
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int | None = None, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
+    """(a, b, s): each node's best neighbours found; rounds, if given, are the most that are run."""
     first = None
     for i in range(PROJECTIONS):
         ordered = nodes.select("id", "q", f"p{i}").repartitionByRange(f"p{i}").sortWithinPartitions(f"p{i}").drop(f"p{i}")
         some = ordered.mapInArrow(_blocks(degree, block), "a long, b long, s float")
         first = some if first is None else first.union(some)
     graph = stored(_best(first.withColumn("new", F.lit(True)), degree), "graph")
-    for i in range(rounds):
+    for i in itertools.count() if rounds is None else range(rounds):
         worst = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).alias("worst"))
         known = nodes.select("id", "q").join(worst, F.col("id") == F.col("a"), "left").select(F.col("id").alias("m"), "q", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         back = graph.select(F.col("b").alias("c"), F.col("a").alias("m"), "new")
@@ -181,6 +183,9 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
         done = stored(_best(graph.withColumn("new", F.lit(False)).union(found.withColumn("new", F.lit(True))), degree), "graph")
         dropped(graph.sparkSession, graph)
         graph = done
+        fresh, edges = graph.agg(F.count_if("new"), F.count("*")).first()
+        if fresh <= DELTA * edges:
+            break
     return graph.select("a", "b", "s")
 
 
@@ -203,13 +208,13 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(batch.column("query_id").to_numpy()[row][good]), pa.array(flat.field("b").to_numpy()[good]), pa.array(s[good].astype(np.float32))], ["query_id", "node", "s"])
 
 
-def search(near: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(near: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(query_id, node, s): the beam of each query(query_id, start, qq) after a greedy search from node start; s by 8-bit components."""
     spark = near.sparkSession
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "node"))
     ahead = F.row_number().over(Window.partitionBy("query_id", "expanded").orderBy(F.desc("s"), "node"))
     state = stored(queries.select("query_id", F.col("start").alias("node"), F.lit(float("inf")).cast("float").alias("s"), F.lit(False).alias("expanded")), "beam")
-    for _ in range(rounds):
+    while True:
         turned = state.withColumn("turn", ahead).withColumn("now", ~F.col("expanded") & (F.col("turn") <= expand)).drop("turn")
         worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         asked = queries.select("query_id", "qq").join(worst, "query_id")
@@ -232,7 +237,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("members"), pa.array(s)], ["query_id", "members", "s"])
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM, seed: int = 7) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, rounds: int | None = None, beam: int = BEAM, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query holds, among all others."""
     vectors = valid_vectors(rows)
     nodes = stored(node_table(vectors, k, seed), "nodes")
