@@ -139,7 +139,34 @@ def test_piece_codec_against_sentencepiece(spark):
     assert piece_codec.encode_pieces(docs.limit(0), PIECES).count() == 0
 
 
-def test_unigram_model_is_rebuilt():
+def test_memo_encoder_at_its_limits():
+    """Few and short words remembered, words without spaces, odd spacing, sliced arrays: ids are those of the whole text."""
+    import pyarrow as pa
+
+    tokenizer = Tokenizer.from_file(BPE)
+    own = token_files.word_encoder.__wrapped__(BPE)
+    own.limit, own.longest = 20, 3
+    texts = [*ODD, "東京" * 5000, "dGhlIGVuZA==" * 3000 + " a b", "a \x1cb", "a\u00a0 b \u3000c", *texts_of(30)]
+    for some in (texts, texts[::-1], texts[3:9]):
+        got, faults = own.encode(pa.array(["skipped", *some]).slice(1))
+        assert not faults.any() and len(own.memo) <= 20 and all(len(x) <= 3 for x in own.memo)
+        for text, ids in zip(some, got.to_pylist(), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert len(own.encode(pa.array([], pa.string()))[0]) == 0
+
+
+def test_texts_beyond_a_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d e " * 400), (3, None), (None, "f")], "doc_id long, text string")
+    token_files.write_token_files(docs, str(tmp_path / "ids"), BPE, shard_ids=100, block=64)
+    got = {r.doc_id: r for r in token_files.read_token_files(spark, str(tmp_path / "ids")).collect()}
+    tokenizer, start = Tokenizer.from_file(BPE), 0
+    for doc_id, text in ((None, "f"), (1, "a b"), (2, "c d e " * 400), (3, "")):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def unigram_model(extra: tuple = (), squeeze: int = 0) -> bytes:
     def varint(n):
         out = b""
         while n > 127:
@@ -149,22 +176,62 @@ def test_unigram_model_is_rebuilt():
     def field(number, kind, value):
         return varint(number << 3 | kind) + (varint(value) if kind == 0 else value if kind == 5 else varint(len(value)) + value)
 
-    names = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{i:02X}>", 0, 6) for i in range(256)], ("▁", -3, 1), ("a", -2, 1), ("b", -2.5, 1), ("ab", -3, 1), ("▁a", -2.2, 1), ("▁ab", -4, 1)]
+    names = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{i:02X}>", 0, 6) for i in range(256)], ("▁", -3, 1), ("a", -2, 1), ("b", -2.5, 1), ("ab", -3, 1), ("▁a", -2.2, 1), ("▁ab", -4, 1), *extra]
     data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, k)) for p, s, k in names)
-    data += field(2, 2, field(3, 0, 1) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
-    model = piece_codec.parse_model(data)
-    assert model["type"] == piece_codec.UNIGRAM and model["byte_fallback"] and len(model["pieces"]) == len(names)
+    return data + field(2, 2, field(3, 0, 1) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, squeeze) + field(5, 0, 1))
+
+
+def test_unigram_model_is_rebuilt():
     import sentencepiece
 
+    data = unigram_model()
+    model = piece_codec.parse_model(data)
+    assert model["type"] == piece_codec.UNIGRAM and model["byte_fallback"] and len(model["pieces"]) == 265
     reference = sentencepiece.SentencePieceProcessor(model_proto=data)
     tokenizer = piece_codec.build_tokenizer(model)
     for text in ("ab a b", "aab  bb", "abé"):
         assert tokenizer.encode(text, add_special_tokens=False).ids == reference.encode(text)
 
 
+@pytest.mark.parametrize(("extra", "squeeze"), [((), 0), ((("a▁b", -1.5, 1),), 0), ((), 1)])
+def test_unigram_model_in_spark(spark, tmp_path, extra, squeeze):
+    """Words apart, pieces that span words, and squeezed spaces (which do not decode to themselves)."""
+    import sentencepiece
+
+    path = tmp_path / f"own{squeeze}{len(extra)}.model"
+    path.write_bytes(unigram_model(extra, squeeze))
+    texts = ["ab a b", "aab bb " * 300 + "a", "abé ab", "", None, "a  b", " b", "zz a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own, reference = piece_codec.PieceCodec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert own.whole == bool(extra or squeeze)
+    for r in piece_codec.encode_pieces(docs, str(path)).collect():
+        text = texts[r.doc_id] or ""
+        assert r.ids == own.tokenizer.encode(text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.parity == (r.ids == reference.encode(text)) and r.decoded_ok == (own.decode([r.ids])[0] == text)
+        assert r.parity and (r.decoded_ok or squeeze)
+
+
+def test_codec_faults_are_marked(tmp_path):
+    """Where sentencepiece differs the ids stay the tokenizers library's, and the texts that hold such a word are marked."""
+    import pyarrow as pa
+
+    own = piece_codec.PieceCodec(PIECES)
+    right = own.reference
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[1] if "bad" in x else y for x, y in zip(texts, right.encode(texts), strict=True)]
+
+    own.reference = Other()
+    for texts in (["good one", "a bad one", None, "bad"], ["fine", "one bad"]):
+        ids, faults = own.encode(pa.array(texts))
+        assert faults.tolist() == [piece_codec.DIFFERS * ("bad" in (x or "")) for x in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [right.encode(x or "") for x in texts]
+
+
 def test_edit_counts_against_recounts():
     tokenizer = Tokenizer.from_file(BPE)
-    cut, count = regex.compile(public_tokenizers.PATTERN).findall, edit_counts.piece_counter(tokenizer)
+    cut, count = regex.compile(public_tokenizers.PATTERN).findall, edit_counts.piece_counter(BPE)
     rng = random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "'", "s", "re", "'ll", "1", "é", "!", "\t", " x", "日"]
     for _ in range(200):

@@ -13,6 +13,7 @@ through, those with the name of a result column are replaced; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import islice
 
 import pyarrow as pa
@@ -20,28 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import bounded_batches, small_batches
-from touchline.llm.memo import joined_batches, space_starts
+from touchline.llm.memo import LIMIT, LONGEST, one_thread, space_starts, spaced_words
 
 BLOCK = 128
 CONTEXT = 2
+AHEAD = 6
 EDIT = "struct<start:bigint,end:bigint,insert:string>"
 
 
 class PieceCounter:
-    """Tokens of pre-tokens; limit of them are remembered, others are encoded anew for each batch that is learnt."""
+    """Tokens of pre-tokens. Of those of at most LONGEST characters, limit are remembered; others are encoded anew for each batch that is learnt."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[int]], limit: int = 150_000) -> None:
+    def __init__(self, encode_batch: Callable[[list[str]], list[int]], limit: int = LIMIT) -> None:
         self.encode_batch, self.limit, self.memo, self.batch = encode_batch, limit, {}, {}
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces.difference(self.memo))
         got = dict(zip(new, self.encode_batch(new), strict=True))
-        self.memo |= islice(got.items(), max(0, self.limit - len(self.memo)))
-        self.batch = got if len(self.memo) >= self.limit else {}
+        room = max(0, self.limit - len(self.memo))
+        self.memo |= islice(((x, n) for x, n in got.items() if len(x) <= LONGEST), room)
+        self.batch = {x: n for x, n in got.items() if x not in self.memo}
 
     def __call__(self, pieces: list[str]) -> list[int]:
-        memo, batch = self.memo, self.batch
-        out = [memo.get(x) or batch.get(x) for x in pieces]
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            batch = self.batch
+            out = [batch.get(x) if n is None else n for x, n in zip(pieces, out, strict=True)]
         if None in out:
             new = [x for x, n in zip(pieces, out, strict=True) if n is None]
             got = dict(zip(new, self.encode_batch(new), strict=True))
@@ -49,18 +54,22 @@ class PieceCounter:
         return out
 
 
-def piece_counter(tokenizer) -> PieceCounter:
-    """A counter of a byte-level tokenizer's pre-tokens."""
+@cache
+def piece_counter(tokenizer_path: str) -> PieceCounter:
+    """A counter of a byte-level tokenizer's pre-tokens; one for each worker process and file, whatever its tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
     starts = space_starts(tokenizer)
 
-    def encode(text: str) -> list[int]:
-        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(pieces: list[str]) -> list[int]:
         spaced = [x[0] == " " and x[1:2].isalpha() for x in pieces]
-        joined = iter(joined_batches([x[1:] for x, y in zip(pieces, spaced, strict=True) if y], starts, encode, encode))
+        joined = iter(spaced_words([x[1:] for x, y in zip(pieces, spaced, strict=True) if y], starts, encode))
         plain = [x for x, y in zip(pieces, spaced, strict=True) if not y]
-        others = iter(tokenizer.encode_batch_fast(plain, add_special_tokens=False) if plain else ())
+        others = iter(encode(plain) if plain else ())
         return [len(next(joined)) // 4 if y else len(next(others)) for y in spaced]
 
     return PieceCounter(encode_batch)
@@ -137,60 +146,44 @@ class PieceTree:
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
         b0, k0, first = self.back(*self.find(start), CONTEXT)
-        b1, k1, at = self.find(end)
-        old, ahead = self.pieces[b0][k0:], 1
-        block, stop = b0, (b0, len(self.pieces[b0]))
-        text_end = first + sum(map(len, old))
-        shift = len(insert) - (end - start)
+        shift, ahead = len(insert) - (end - start), AHEAD
+        old, bounds, at, block, k, beyond = [], {}, first, b0, k0, 0
         while True:
             # take old pieces up to some past the edit, cut them anew, look for a boundary that was one before
-            while text_end < end + ahead and block + 1 < len(self.pieces):
-                block += 1
-                old = old + self.pieces[block]
-                text_end += sum(map(len, self.pieces[block]))
-                stop = (block, len(self.pieces[block]))
+            while block < len(self.pieces) and beyond < ahead:
+                own = self.pieces[block]
+                while k < len(own) and beyond < ahead:
+                    old.append(own[k])
+                    at += len(own[k])
+                    k += 1
+                    if at > end:
+                        beyond += 1
+                        bounds[at] = block, k
+                if k == len(own):
+                    block, k = block + 1, 0
+            last = block == len(self.pieces)
             region = "".join(old)
-            fresh = region[: start - first] + insert + region[end - first :]
-            pieces = self.cut(fresh)
-            last = block + 1 == len(self.pieces)
-            bounds, x = set(), first
-            for p in old:
-                x += len(p)
-                if x > end:
-                    bounds.add(x)
-            x, done = first, None
+            pieces = self.cut(region[: start - first] + insert + region[end - first :])
+            x, kept = first - shift, None
             for i, p in enumerate(pieces):
                 x += len(p)
-                if x - shift > end and x - shift in bounds and (last or i + CONTEXT < len(pieces)):
-                    done = i + 1, x - shift
+                if x in bounds and (last or i + CONTEXT < len(pieces)):
+                    kept = i + 1
                     break
-            if done or last:
+            if kept or last:
                 break
-            ahead = text_end - end + 1
-        if done:
-            kept, upto = done
-            tail, x = [], first
-            for i, p in enumerate(old):
-                x += len(p)
-                if x == upto:
-                    tail = old[i + 1 :]
-                    break
-            new = pieces[:kept]
-        else:
-            new, tail = pieces, []
+            ahead *= 2
+        new = pieces[:kept] if kept else pieces
         self.reencoded += len(new)
         counts = self.count(new)
-        flat_old = [c for b in range(b0, block + 1) for c in (self.counts[b][k0:] if b == b0 else self.counts[b])]
-        tail_counts = flat_old[len(flat_old) - len(tail) :] if tail else []
-        whole = self.pieces[b0][:k0] + new + tail
-        whole_counts = self.counts[b0][:k0] + counts + tail_counts
-        groups = max(1, -(-len(whole) // (2 * BLOCK))) if len(whole) <= 2 * BLOCK else -(-len(whole) // BLOCK)
-        size = max(1, -(-len(whole) // groups))
-        self.pieces[b0 : block + 1] = [whole[i : i + size] for i in range(0, len(whole), size)] or [[]]
-        self.counts[b0 : block + 1] = [whole_counts[i : i + size] for i in range(0, len(whole), size)] or [[]]
-        if len(range(0, max(1, len(whole)), size)) == block + 1 - b0:
-            for b in range(b0, block + 1):
-                self.update(b)
+        b1, k1 = bounds[x] if kept else (len(self.pieces) - 1, len(self.pieces[-1]))
+        whole = self.pieces[b0][:k0] + new + self.pieces[b1][k1:]
+        whole_counts = self.counts[b0][:k0] + counts + self.counts[b1][k1:]
+        size = BLOCK if len(whole) > 2 * BLOCK else max(1, len(whole))
+        self.pieces[b0 : b1 + 1] = [whole[i : i + size] for i in range(0, len(whole), size)] or [[]]
+        self.counts[b0 : b1 + 1] = [whole_counts[i : i + size] for i in range(0, len(whole), size)] or [[]]
+        if b0 == b1 and len(whole) <= 2 * BLOCK:
+            self.update(b0)
         else:
             self.build()
 
@@ -206,11 +199,11 @@ def count_edits(docs: DataFrame, tokenizer_path: str, pattern: str, column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        from tokenizers import Tokenizer
 
-        count = piece_counter(Tokenizer.from_file(tokenizer_path))
+        count = piece_counter(tokenizer_path)
         cut = regex.compile(pattern).findall
-        for batch in small_batches(batches, "text", 2 << 20):
+        one_thread()
+        for batch in small_batches(batches, "text", 4 << 20):
             rows, cuts = [], [cut(x or "") for x in batch.column("text").to_pylist()]
             count.learn(set().union(*cuts))
             for pieces, edits in zip(cuts, batch.column(column).to_pylist(), strict=True):

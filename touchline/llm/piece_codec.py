@@ -1,8 +1,9 @@
 """SentencePiece models encoded and decoded by the tokenizers library.
 
 The model protobuf is parsed here (pieces, scores, kinds, model type, normaliser) and rebuilt as a tokenizers pipeline: normaliser,
-metaspace marker, unigram scores or BPE merges, byte fallback. Distinct pieces of text are encoded in multithreaded batches and
-each is checked against the sentencepiece library; where the two differ, sentencepiece's ids are taken and the document's ``parity`` is false.
+metaspace marker, unigram scores or BPE merges, byte fallback. Texts (or, where the model's pieces allow it, groups of distinct words) are
+encoded in multithreaded batches. The ids are the tokenizers library's; each text or word is also encoded by sentencepiece and decoded again:
+a document's ``parity`` is false if the libraries differ on any of it, ``decoded_ok`` if any of it does not decode to itself.
 
 Defined results: null and empty text give no ids and decode to the empty text; columns of docs pass through, those with the name of a
 result column are replaced; an empty table gives an empty result.
@@ -18,10 +19,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from touchline.llm.common import bounded_batches, small_batches
-from touchline.llm.memo import CUT, MemoEncoder, joined_batches
+from touchline.llm.memo import MemoEncoder, as_bytes, joined_batches
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -98,11 +100,13 @@ def build_tokenizer(model: dict):
     return tokenizer
 
 
+DIFFERS, LOSSY = 1, 2
+
+
 class PieceCodec:
-    """Encoder and decoder of one model file; threads: of the tokenizers library, for a batch."""
+    """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, threads: int = 2) -> None:
-        os.environ |= {"TOKENIZERS_PARALLELISM": "true", "RAYON_NUM_THREADS": str(threads)}
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         with open(path, "rb") as file:
@@ -110,66 +114,77 @@ class PieceCodec:
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.odd: set[str] = set()
         inner = any(SPACE in p.lstrip(SPACE) for p, _, k in self.model["pieces"] if k in (NORMAL, USER))
         self.whole = inner or not self.model["dummy_prefix"] or bool(self.model["charsmap"]) or self.model["squeeze"]
-        starts = np.array([p.startswith(SPACE) for p, _, _ in self.model["pieces"]])
-        self.memo = MemoEncoder(lambda words: joined_batches(words, starts, self.encode_joined, self.encode_one), None)
+        self.starts = np.array([p.startswith(SPACE) for p, _, _ in self.model["pieces"]])
+        self.memo = MemoEncoder(self.checked_words)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids from the tokenizers library, checked against sentencepiece."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        right = self.reference.encode(texts, num_threads=1)
-        for i, text in enumerate(texts):
-            if got[i] != right[i]:
-                self.odd.add(text)
-        return right
-
-    def encode_one(self, text: str) -> list[int]:
-        """Ids of a space and a word: those of the word at the beginning of a text."""
-        return self.encode_batch([text[1:]])[0]
-
-    def encode_joined(self, text: str) -> list[int]:
-        """Ids of many words if both libraries agree on them, else none, so that they are taken one by one."""
-        got = self.tokenizer.encode_batch_fast([text[1:]], add_special_tokens=False)[0].ids
-        return got if got == self.reference.encode(text[1:]) else []
-
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
-        """Ids (little-endian, 32 bits) of each text and whether both libraries agreed on all of it."""
+        """Ids from the tokenizers library, which shares a batch among its threads."""
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def checked(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Ids of texts, and for each DIFFERS if sentencepiece gives others, LOSSY if they do not decode to the text."""
+        got = self.encode_batch(texts)
+        right, back = self.reference.encode(texts, num_threads=1), self.decode(got)
+        return got, [DIFFERS * (x != y) | LOSSY * (a != b) for x, y, a, b in zip(got, right, texts, back, strict=True)]
+
+    def checked_words(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids and faults of words that stand after a space or begin a text, which is the same to these models.
+
+        Groups of words without a fault are taken at once, the words of others one by one.
+        """
+
+        def faultless(texts: list[str]) -> list[list[int] | None]:
+            return [None if wrong else ids for ids, wrong in zip(*self.checked([x[1:] for x in texts]), strict=True)]
+
+        out, faults = joined_batches(words, self.starts, faultless), [0] * len(words)
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, ids, wrong in zip(left, *self.checked([words[i] for i in left]), strict=True):
+            out[i], faults[i] = as_bytes(ids), wrong
+        return out, faults
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids (little-endian, 32 bits) of each text, and DIFFERS and LOSSY where either holds of a part of it."""
         if self.whole:
-            ids = [np.asarray(x, "<u4").tobytes() for x in self.encode_batch([x or "" for x in texts])]
-            return ids, [(x or "") not in self.odd for x in texts]
-        ids = self.memo.encode(texts)
-        return ids, [not self.odd or not x or self.odd.isdisjoint(CUT.split(x)) for x in texts]
+            ids, wrong = self.checked(pc.fill_null(texts, "").to_pylist())
+            return pa.array([as_bytes(x) for x in ids], pa.large_binary()), np.asarray(wrong, np.uint8)
+        return self.memo.encode(texts)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 @cache
-def codec(path: str, threads: int) -> PieceCodec:
+def codec(path: str) -> PieceCodec:
     """One codec per worker."""
-    return PieceCodec(path, threads)
+    return PieceCodec(path)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, keep_ids: bool = True) -> DataFrame:
-    """docs with n_tokens, ids_crc32 (of little-endian 32-bit ids), parity, decoded_ok and, if keep_ids, the ids.
+def set_threads(threads: int) -> None:
+    """Threads of the tokenizers library among which a batch is shared (their number holds from the process's first batch on)."""
+    os.environ |= {"TOKENIZERS_PARALLELISM": "true" if threads > 1 else "false", "RAYON_NUM_THREADS": str(threads)}
 
-    decoded_ok: decoding the ids gives the text back.
-    """
+
+def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, keep_ids: bool = True) -> DataFrame:
+    """docs with n_tokens, ids_crc32 (of little-endian 32-bit ids), parity (sentencepiece gives the same ids), decoded_ok (decoding gives
+    the text back) and, if keep_ids, the ids."""
     extra = {"n_tokens": pa.int64(), "ids_crc32": pa.int64(), "parity": pa.bool_(), "decoded_ok": pa.bool_()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
     kept = bounded_batches(docs.drop("ids", *extra))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path, threads)
-        for batch in small_batches(batches, "text", 2 << 20):
-            texts = batch.column("text").to_pylist()
-            raw, parity = own.encode(texts)
-            ids = [np.frombuffer(x, "<u4") for x in raw]
-            back = own.decode([x.tolist() for x in ids])
-            columns = [[len(x) for x in ids], [zlib.crc32(x) for x in raw], parity, [a == (b or "") for a, b in zip(back, texts, strict=True)]] + ([ids] if keep_ids else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(columns, extra.values(), strict=True))], [*batch.schema.names, *extra])
+        set_threads(threads)
+        own = codec(model_path)
+        for batch in small_batches(batches, "text", 4 << 20):
+            raw, faults = own.encode(batch.column("text"))
+            raw = raw.to_pylist()
+            columns = [[len(x) // 4 for x in raw], [zlib.crc32(x) for x in raw], (faults & DIFFERS) == 0, (faults & LOSSY) == 0]
+            made = [pa.array(x, t) for x, t in zip(columns, extra.values(), strict=False)]
+            if keep_ids:
+                ends = np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *extra])
 
     names = {"n_tokens": "long", "ids_crc32": "long", "parity": "boolean", "decoded_ok": "boolean", "ids": "array<int>"}
     return kept.mapInArrow(run, kinds + "".join(f", {k} {names[k]}" for k in extra))
@@ -181,7 +196,8 @@ def decode_pieces(encoded: DataFrame, model_path: str, threads: int = 2) -> Data
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path, threads)
+        set_threads(threads)
+        own = codec(model_path)
         for batch in batches:
             texts = own.decode([x or [] for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])

@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import bounded_batches, shared_dir, small_batches
-from touchline.llm.memo import MemoEncoder, joined_batches, space_starts
+from touchline.llm.memo import MemoEncoder, as_bytes, one_thread, space_starts, spaced_words
 
 MAGIC = b"TLPLANE1"
 BLOCK = 1 << 16
@@ -87,26 +88,26 @@ def unpack_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, out
 
 
-def word_encoder(tokenizer) -> MemoEncoder:
-    """A byte-level tokenizer's ids of whole texts, without special tokens added."""
-    starts = space_starts(tokenizer)
+@cache
+def word_encoder(tokenizer_path: str) -> MemoEncoder:
+    """A byte-level tokenizer's ids of whole texts, without special tokens added; one for each worker process and file, whatever its tasks."""
+    from tokenizers import Tokenizer
 
-    def encode(text: str) -> list[int]:
-        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    starts = space_starts(tokenizer)
 
-    def heads(words: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return MemoEncoder(lambda words: joined_batches(words, starts, encode, encode), heads)
+    return MemoEncoder(lambda words: (spaced_words(words, starts, encode), [0] * len(words)), lambda words: ([as_bytes(x) for x in encode(words)], [0] * len(words)))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs(doc_id, text) with a tokenizers file in ascending doc_id order and write shards of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = word_encoder(Tokenizer.from_file(tokenizer_path))
+        one_thread()
+        encoder = word_encoder(tokenizer_path)
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         ids, streams, held, earlier = [], [], 0, 0
 
@@ -118,8 +119,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "earlier", "n_ids", "payload"])
 
         for batch in small_batches(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))[0].to_pylist(), strict=True):
                 if held and held + len(got) // 4 + 1 > shard_ids:
                     yield shard()
                     ids, streams, held = [], [], 0
