@@ -1,12 +1,14 @@
 """Main text of HTML pages from flat text blocks.
 
-A page is cut at block-level tags into flat text blocks. Each block has its word count, link density and context: those of its
-neighbours on both sides, the kinds of its own and enclosing elements. A decision tree (Gini, trained here on the labelled table below) tells
-text from boilerplate.
+A page is cut at block-level tags into flat text blocks. Each block has its word count and link density, those of its two
+neighbours on each side, and context: whether an element of page furniture, or one named like it, encloses it, whether the page marks its article and the
+block is outside. A decision tree (Gini, at least LEAST labelled blocks a leaf, trained here on the labelled table below) tells text from boilerplate. Names
+count as whole words and only as context: the table holds blocks of text under each of them.
 
 Defined results: null and empty html give an empty text; broken markup is read as browsers do where that matters for blocks (unclosed
-elements end with their parents, an unclosed comment, script or style runs to the end); a page without a block of text gives an
-empty text; rows that repeat are extracted each; other columns pass through (text and n_chars are replaced); an empty table gives no rows.
+elements end with their parents, an unclosed comment, script or style runs to the end, elements nested deeper than DEPTH count as their parent); a page without a
+block of text gives an empty text; rows that repeat are extracted each; other columns pass through (text and n_chars are replaced, whatever
+their case); an empty table gives no rows. The time for a page grows with its length, however broken it is.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from touchline.llm.common import bounded_batches, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^>]*)>", re.S)
 CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
-RAW = re.compile(r"</(script|style|template|noscript|textarea|svg|iframe|object|select|canvas|math|title|button)\s*>", re.I)
 HIDDEN = {"script", "style", "template", "noscript", "textarea", "svg", "iframe", "object", "select", "canvas", "math", "title", "button"}
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in HIDDEN}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,42 +38,42 @@ CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldse
 BODY = {"article", "main"}
 SPACE = re.compile(r"[\s\x00]+")
 NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label|data-[\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-#: Beginnings of words in class, id and role names (cut at non-letters and at capitals) of what surrounds a page's text.
-NOTICE_STEMS = (
-    "advert", "sponsor", "promo", "outbrain", "taboola", "cookie", "consent", "gdpr", "privacy", "notice", "modal", "popup", "overlay", "paywall", "disclaimer", "toast", "banner",
-    "comment", "disqus", "repl", "respond", "discussion", "feedback", "reaction", "navbar", "navigation", "menu", "breadcrumb", "pagination", "pager", "sidebar", "widget", "related", "recommend", "trending",
-    "tagcloud", "footer", "colophon", "shar", "social", "follow", "newsletter", "subscri", "signup", "login", "signin", "masthead", "topbar", "toolbar", "offcanvas", "copyright",
-)
-NOTICE_WORDS = {"ad", "ads", "adv", "nav", "toc", "alert", "aside", "imprint"}
-#: Words that tell the same unless a name also speaks of the text itself.
-WEAK_WORDS = {"header", "foot", "form", "legal", "more", "popular", "latest", "tags", "rail", "register", "search", "skip", "tabs"}
-TEXT_WORDS = {"article", "post", "entry", "content", "main", "story", "body", "text", "page"}
+#: Words of class, id and role names (cut at non-letters and at capitals) that are given to what surrounds a page's text, and to readers' comments.
+NOTICE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr imprint legal login"
+    " masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup privacy promo promotion recommended related share sharing"
+    " sidebar signin signup social sponsor sponsored subscribe subscription toast toc toolbar topbar trending widget".split()
+)
+READER_WORDS = {"comment", "commentlist", "comments", "disqus", "discussion", "feedback", "replies", "reply", "respond", "response", "responses"}
+#: Of the text itself: with one of these, a header is not the site's.
+TEXT_WORDS = {"article", "content", "entry", "main", "post", "story", "text"}
+HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD_CUT = re.compile(r"[a-z]+|[A-Z][a-z]*")
+DEPTH = 512
+LEAST = 5
 
 
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("text", "words", "link_words", "chrome", "named", "body", "tag")
+    __slots__ = ("text", "words", "link_words", "chrome", "notice", "reader", "body", "tag")
 
-    def __init__(self, text: str, words: int, link_words: int, chrome: bool, named: bool, body: bool, tag: str) -> None:
-        self.text, self.words, self.link_words, self.chrome, self.named, self.body, self.tag = text, words, link_words, chrome, named, body, tag
+    def __init__(self, text: str, words: int, link_words: int, chrome: bool, notice: bool, reader: bool, body: bool, tag: str) -> None:
+        self.text, self.words, self.link_words, self.chrome, self.notice, self.reader, self.body, self.tag = text, words, link_words, chrome, notice, reader, body, tag
 
 
-def named_notice(attributes: str) -> bool:
-    """Whether an element's names say that it is no part of the text."""
-    for value in NAMED.findall(attributes):
-        for name in value.strip("\"'").split():
-            words = [x.lower() for x in WORD_CUT.findall(name)]
-            if any(x in NOTICE_WORDS or x.startswith(NOTICE_STEMS) for x in words) or (any(x in WEAK_WORDS for x in words) and not any(x in TEXT_WORDS for x in words)):
-                return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", attributes, re.I))
+def names_of(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names speak of page furniture (or it is hidden), and of readers' comments."""
+    words = {x.lower() for value in NAMED.findall(attributes) for x in WORD_CUT.findall(value)}
+    header = "header" in words and words.isdisjoint(TEXT_WORDS)
+    return header or not words.isdisjoint(NOTICE_WORDS) or bool(HIDDEN_BY.search(attributes)), not words.isdisjoint(READER_WORDS)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order, with character references decoded and white space as single spaces."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, chrome, named, body: each with what it inherits
+    open_tags: list[tuple[str, bool, bool, bool, bool]] = []  # name, chrome, notice, reader, body: each with what it inherits
+    ends: dict[str, int | None] = {}  # where an element of hidden text that was searched for ends, None for nowhere
     parts: list[str] = []
     linked: list[str] = []
     opened: Counter[str] = Counter()
@@ -84,10 +86,10 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            _, chrome, named, body = open_tags[-1] if open_tags else ("", False, False, False)
+            _, *flags = open_tags[-1] if open_tags else ("", False, False, False, False)
             tag = next((x[0] for x in reversed(open_tags) if x[0] in BLOCKS), "")
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, len(entities.unescape(" ".join(linked)).split())), chrome, named, body, tag))
+            out.append(Block(text, n, min(n, len(entities.unescape(" ".join(linked)).split())), *flags, tag))
         parts.clear()
         linked.clear()
 
@@ -111,8 +113,10 @@ def blocks(page: str | None) -> list[Block]:
         if not found[1]:
             if name in HIDDEN:
                 if not found[3].endswith("/"):
-                    end = next((m for m in RAW.finditer(page, at) if m[1].lower() == name), None)
-                    at = end.end() if end else at if name == "button" else len(page)
+                    if ends.get(name, 0) is not None:
+                        end = RAW[name].search(page, at)
+                        ends[name] = end.end() if end else None
+                    at = ends[name] or (at if name == "button" else len(page))
                 parts.append(" ")
                 continue
             if name in BLOCKS:
@@ -132,10 +136,10 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             elif name == "a" and opened["a"]:
                 close(next(i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == "a"))
-            if name not in VOID and not found[3].endswith("/"):
-                _, chrome, named, body = open_tags[-1] if open_tags else ("", False, False, False)
-                own = name not in ("html", "body", "article", "main") and bool(found[3]) and named_notice(found[3])
-                open_tags.append((name, chrome or name in CHROME and not (body and name == "header"), named or own, body or name in BODY))
+            if name not in VOID and not found[3].endswith("/") and len(open_tags) < DEPTH:
+                _, chrome, notice, reader, body = open_tags[-1] if open_tags else ("", False, False, False, False)
+                named = names_of(found[3]) if found[3] and name not in ("html", "body", "article", "main") else (False, False)
+                open_tags.append((name, chrome or name in CHROME and not (body and name == "header"), notice or named[0], reader or named[1], body or name in BODY))
                 opened[name] += 1
         else:
             if name in BLOCKS:
@@ -151,154 +155,123 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "chrome", "named", "in_body", "outside", "heading", "item")
+FEATURES = (
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "words_before_2", "density_before_2", "words_after_2", "density_after_2",
+    "chrome", "notice", "reader", "in_body", "outside", "heading", "item",
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ITEMS = {"li", "td", "th", "dd", "dt"}
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row of FEATURES for each block of a page."""
+    """One row of FEATURES for each block of a page; a neighbour that is not there has no words and no links."""
     n = len(page)
     words = np.array([x.words for x in page], float)
     density = np.array([x.link_words / x.words for x in page], float)
-    around = lambda x: (np.concatenate([[0.0], x[:-1]]), np.concatenate([x[1:], [0.0]])) if n else (x, x)
-    (wb, wa), (db, da) = around(words), around(density)
-    flag = lambda f: np.array([f(x) for x in page], float)
-    body = flag(lambda x: x.body)
-    return np.stack(
-        [words, density, wb, db, wa, da, flag(lambda x: x.chrome), flag(lambda x: x.named), body, float(body.any()) * (1 - body), flag(lambda x: x.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), flag(lambda x: x.tag in ("li", "td", "th", "dd", "dt"))], axis=1
-    ).reshape(n, len(FEATURES))
+    padded = [np.concatenate([np.zeros(2), x, np.zeros(2)]) for x in (words, density)]
+    around = [x[2 + k : 2 + k + n] for k in (-1, 1, -2, 2) for x in padded]
+    flags = np.array([(x.chrome, x.notice, x.reader, x.body, not x.body, x.tag in HEADINGS, x.tag in ITEMS) for x in page], float).reshape(n, 7)
+    flags[:, 4] *= float(any(x.body for x in page))
+    return np.column_stack([words, density, *around, flags])
 
 
-#: Labelled pages, as lines of blocks "label html"; 1 is text. Pages are parted by empty lines.
+#: Labelled pages, one a line: blocks as context, + for text or - for boilerplate, words and, after a stroke, how many of them are linked.
+#: Contexts: a in the page's article, c in an element of page furniture (header, nav, footer, aside, form), n named like it, r named as readers' comments, h heading, i item of a list or table.
 LABELLED = """
-0 <nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About us</a></li></ul></nav>
-0 <div class="ad">Buy two pairs and get a third one for free this week only.</div>
-1 <article><h1>River levels fall after a dry spring</h1>
-1 <article><p>The river has fallen to its lowest level in a decade, according to figures that were published on Monday by the agency.</p>
-1 <article><p>Short rains.</p>
-1 <article><p>Farmers along its banks said that they had begun to water their fields at night, and <a href="/x">some</a> have planted other crops.</p>
-1 <article><p>No.</p>
-0 <footer>&copy; example.net &middot; All rights reserved.</footer>
-
-0 <header><a href="/">The Daily Example</a></header>
-0 <div id="cookie-notice">We use cookies to give you the best experience on our site. By going on you agree to our use of them.</div>
-1 <main><h1>How to mend a bicycle tube</h1>
-1 <main><p>First take the wheel off the frame, let all the air out of the tube, and work the tyre over the edge of the rim with two levers.</p>
-1 <main><li>A patch kit.</li>
-1 <main><li>Two levers and a pump of any kind that fits the valve of your tube.</li>
-1 <main><p>Then pump a little air in and listen for the hole.</p>
-0 <main><div class="related"><p>Ten more ways to care for a chain that you should read today.</p></div>
-0 <main><section id="comments"><p>Great guide, thanks a lot! I mended mine in ten minutes with it and it has held for weeks.</p></section>
-0 <aside><p>About the writer: she has repaired bicycles for twenty years and runs a workshop.</p></aside>
-0 <footer><a href="/imprint">Imprint</a> <a href="/terms">Terms of use</a></footer>
-
-0 <ul><li><a href="/a">Politics</a></li></ul>
-0 <ul><li><a href="/b">Sports</a></li></ul>
-0 <ul><li><a href="/c">Weather</a></li></ul>
-1 <div><h1>Council votes for a new bridge</h1></div>
-1 <div><p>After a debate of five hours the council voted on Tuesday night for a bridge that will join the two halves of the town by next year.</p></div>
-1 <div><p>The vote was close, with seven members for it and six against, and the mayor did not take part in it at all.</p></div>
-1 <div><p>Work on the site, which has been closed to traffic since the flood in May, is to begin as soon as the money is released by the ministry.</p></div>
-0 <form><p>Sign up for our weekly letter and never miss a story from your town again.</p></form>
-0 <div class="sidebar"><p>Most people who read this also read our long report on the ferry and its crew.</p></div>
-0 <div class="footer"><p>Copyright by the Example Press. No part of this site may be copied without leave.</p></div>
-
-0 <div class="navbar"><a href="/">Start</a> <a href="/blog">Blog</a> <a href="/shop">Shop</a></div>
-0 <div class="promo-banner"><p>Half price on everything in the shop until Sunday at midnight, with free delivery.</p></div>
-1 <article><header><h1>Notes on baking rye bread</h1></header>
-1 <article><p>Rye flour takes up far more water than wheat does, so the dough stays wet and has to be shaped with a scraper.</p>
-1 <article><blockquote>Patience is half the recipe.</blockquote>
-1 <article><pre>500 g flour, 400 g water, 10 g salt</pre>
-1 <article><td>Flour</td>
-0 <article><div class="share">Share this on your favourite network</div>
-0 <article><aside><p>Our new book of breads is out now in all good shops near you.</p></aside>
-0 <article><form><label>Your mail address</label></form>
-0 <article><nav><a href="/1">Previous post</a> <a href="/2">Next post</a></nav>
-0 <div id="disqus_thread"><p>I tried it twice and the crumb was too dense, what did I do wrong here?</p></div>
-0 <div role="alert"><p>You have read three of four free articles in this month.</p></div>
-0 <footer><p>Made with care in a small kitchen. <a href="/rss">Feed</a></p></footer>
-
-0 <p><a href="/1">Read the story of the lighthouse keeper</a></p>
-0 <p><a href="/2">See the pictures of the harbour at dawn</a></p>
-1 <div><p>The harbour was built when whaling still fed the town, and most of its sheds stand to this day behind the sea wall.</p></div>
-1 <div><p>They are painted red.</p></div>
-1 <div><p>Visitors may walk around them on every day but Monday, when the boats are taken out of the water to be cleaned and mended.</p></div>
-0 <p><a href="/3">All stories</a></p>
-
-0 <div><p>You are reading the edition for the north of the country, which is brought to you in the early morning.</p></div>
-0 <div><span>Our journalism is paid for by its readers, so please think of giving what you can today.</span></div>
-1 <main><h1>A walk along the old canal</h1>
-1 <main><p>The <a href="/x">map of the canal society and its friends</a> shows the way.</p>
-1 <main><p><a href="/x">Canal society</a>, <a href="/y">photographs</a></p>
-1 <main><p>From the lock, which is <a href="/x">described in the guide</a>, the path goes on to the mill and then through fields.</p>
-1 <main><p>Bread.</p>
-1 <main><li>Boots with a good <a href="/boots">profile</a></li>
-1 <main><h2>The way back</h2>
-1 <main><p>There is a bus on every day of the week, and the last one leaves at six in the evening from the church.</p>
-0 <main><li><a href="/more">Another walk, along the river this time</a></li>
-0 <main><li><a href="/most">The ten walks that our readers like most</a></li>
-0 <div><p>Ask your question here and one of our editors is going to answer it within a day or two, except on Sundays.</p></div>
-0 <div>Example Media, 1 Long Street</div>
-
-0 <div><a href="/">Start</a> <a href="/all">All recipes</a> <a href="/me">My page</a></div>
-1 <article><h1>Soup of lentils</h1>
-1 <article><div>Wash the lentils, put them into cold water with the bay leaf and let them cook for half an hour without salt.</div>
-1 <article><td>Lentils</td>
-1 <article><td>200 g</td>
-1 <article><p><a href="/bay">Bay leaf</a> is optional.</p>
-1 <article><figcaption>The soup, with parsley</figcaption>
-0 <div><p>Nine hundred people have cooked this dish in the last month and they have given it four stars out of five.</p></div>
-0 <div>Printed from the pages of the Example Kitchen</div>
-
-1 <p>It had been raining for three days when the post boat came around the point with a red lamp at its mast and a man asleep at the wheel.</p>
-1 <p>Nobody was on the pier.</p>
-1 <p>The keeper saw the lamp from his window, put on his coat, took the long pole from behind the door and ran down the steps to the water.</p>
-1 <p>"Wake up!"</p>
-1 <p>He shouted it four times before the boat ran into the old tyres that hung along the wall, and stopped, and swung around in the wind.</p>
-0 <div class="comment"><p>What a lovely tale, please do write some more of them for us to read in the winter.</p></div>
-0 <div>Contact</div>
-
-0 <div>All the offers of this week are to be found in our shop in the high street, where you get a free cup of coffee with everything that you buy until the end of the month, as long as there is some.</div>
-1 <article><h1>Moths in the city</h1>
-1 <article><p>Street lamps draw moths away from the flowers that they would visit in the dark, and fewer seeds are set near them.</p>
-1 <article><p>Lamps matter.</p>
-0 <div>The views of those who write for us are their own, and we do not check what they say about others; if you find that something on these pages is wrong then please write to the editor, who will look at it within the week.</div>
-
-1 <article><h1>Salt</h1>
-1 <article><p>Salt was once traded for its weight in gold.</p>
-1 <article><p>It is cheap now.</p>
-1 <article><p>Fin.</p>
-
-1 <main><p>Thanks to all.</p>
-
-0 <nav><a href="/">Start</a></nav>
-1 <article><h1>Where to read on</h1>
-1 <article><p><a href="/a">The long report on the ferry and its crew</a></p>
-1 <article><p>It was written over a winter in which the ferry did not leave the harbour once, and it is the best of them all by far.</p>
-1 <article><p><a href="/b">A shorter one</a></p>
-1 <article><p><a href="/c">The letters of the keeper, in the edition of his daughter, with notes</a></p>
-1 <article><p>They are worth it.</p>
-0 <article><li><a href="/d">Next story</a></li>
-0 <article><li><a href="/e">The story before this one, which is about a goat on a roof and a ladder</a></li>
-
-1 <p>The meeting of the club will take place in the old school at eight on Friday.</p>
-
-1 <p>There were four of us in the tent when the wind rose and took away the pole that held up the middle of it.</p>
-1 <p>We slept in the car.</p>
+ci-1/1 ci-1/1 ci-2/2 n-13 ah+7 a+21 a+2 a+24/1 a+1 c-7
+c-3/3 n-24 ah+8 a+31 ai+3 ai+15 a+11 an-12/2 ar-19 ar-30 c-17 c-6/5
+ci-1/1 ci-1/1 ci-1/1 h+7 +30 +26 +33 c-14 n-20 n-13
+c-6/6 n-15 ah+5 a+24 a+5 ai+7 ai+1 a+18 a+40 ac-14 ac-4 ac-4/4 r-17 n-12 c-8/1
+-8/8 -9/9 +27 +4 +30 -2/2
+-24 -17 ah+6 a+12/9 a+3/3 a+17/4 a+1 ai+5/1 ah+3 a+26 ai-8/8 ai-9/9 -25 -5
+-2/2 -3/3 -2/2 ah+3 a+22 ai+1 ai+2 a+4/2 a+5 a+25 -23 -8
++32 +6 +31 +2 +29 r-19 -1
+-41 ah+4 a+24 a+2 a+27 -46
+ah+1 a+10 a+4 a+1
+a+3
+c-1/1 ah+4 a+9/9 a+26 a+3/3 a+16/14 a+4 ai-3/3 ai-16/16 ai-4/4
++16
++24 +5 +22
+h+5 +20 +35 +3 +41 +18
+-1/1 -1/1 -1/1 -1/1 h+9 +45 +12 +60 +3 +38 -1/1 -2/2 -9
+-2/2 -2/2 -3/3 +52 +44 +1 +39 +25 -4/4 -3/3 -5/5 -10/2
+-1/1 -2/2 -1/1 -6 +34 +28 +31 -2/2 -7/4 -3/3
+-5/5 -4/4 -6 -3/3 h+6 +55 +2 +47 +30 -6/6 -5 -7/7
+i-1/1 i-1/1 i-2/2 h+4 +29 i+6 i+9 i+4 +33 i-3/3 i-2/2
+i-2/2 i-2/2 i-1/1 h+6 +42 i+12 i+3/1 i+15/2 +27 -3/3 -4
+h-2 i-5/5 i-7/7 i-6/6 h+8 +36 +48 +5 +40 h-2 i-8/8 i-6/6 i-7/7
+h-3 -9/9 -12/11 -8/8 h+5 +62 +20/3 +37 h-2 -7/7 -10/10
+-4 -2/2 -3/3 -2/2 +38 +26/2 +44 +2 -3/2 -2/2 -12/8
+ci-1/1 ci-1/1 n-9 ah+12 a+48 a+2 a+1 a+33 a+61 c-11
+ci-1/1 ci-1/1 ci-1/1 n-8 ah+7 a+1 a+37 a+1 a+3 c-9
+ci-1/1 ci-1/1 ci-1/1 ci-1/1 n-10 ah+4 a+1 c-8
+ci-1/1 ci-1/1 n-11 ah+6 a+2 a+3 a+2 c-12
+n-7 ah+3 a+90 a+120 a+15 c-6
+c-12 ah+9 a+58 an+46 a+39 an+33 a+28 an-5 c-9
+ah+6 a+33 an+52 an+41 a+30 an-9/9 an-3/3 an-4/4
+h+7 +40 n+38 n+44 +29 n-6 n-4/4 n-8
+h+5 +51 n+60 +34 n-10 r-25 r-12 r-48
+ah+7 a+44 a+38 a+20 ar-31 ar-5 ar-44 ar-3/3 ar-27
+ah+5 a+25 a+31 ar-2 ar-18 ar-60 ar-1/1 ar-22 c-4
+ah+5 a+29 a+36 an-2 an-1/1 an-1/1 an-2/2 a+41 a+17 an-7 an-11/11
+ah+8 a+47 ac-20 a+52 ac-31 a+9 ac-3/3 ac-6
+c-5 c-30 ah+6 a+34 a+3 a+29 c-41 c-22/6 c-3/3
+-14 -9 ah+7 a+39 a+4 a+51 -12 -30 -7
+-3 -35 ah+9 a+18 a+43 ah+2 a+1 a+36 -28/4 -6/6
+-50 ah+5 a+61 a+7 a+24 -33 -19
+ah+4 a+30/24 a+41 a+5/5 a+22/9 a+3 -5/5 -2
+ah+6 ai+4/4 ai+9/5 a+35 ai+2/1 ai+11 a+28 ai-4/4 ai-6/6 ai-5/5
+ah+5 a+33 ai-2/2 ai-3/3 ai-7/7 ai-5/5
+ah+6 a+8/8 a+33 a+7/7 a+25 a+12/12 a+40 ai-3/3
+ah+5 a+27 a+3 a+19 a+2
+ah+7 a+18 a+18 a+3
+ah+3 a+36 a+22 a+44 a+1
+h+6 +31 +19 +44 +2
+h+4 +27 +36 +3 c-7
+ah+5 a+27 a+31 a+6
+ah+2 a+1
+a+6 a+5 a+8
+a+12
+a+40 a+4
+ah+4 a+17 a+9 a+22 a+5 a+2
+ah+9 a+3 a+2 a+4 a+1 a+5
+-2/2 -3/3 h+5 +24 +19
+h+3 +14 +13
+h+6 +36 +42 +15
++18 +21 +12
++44 +13 +28 +17
+-3/3 h+4 +33 +24 +47 +21
++9 +26 +14 +30
++4 +22 +6 +41 +25
+h+5 +5 +30 +11 +7 +26 +16
+-3/3 -2/2 h+4 +26 +9 +11 +33 +20 -4 -6/6
+ah+5 a+5/5 a+31 a+1/1 a+20
+ah+6 a+3/3 a+2/2 a+26 a+19
+ah+4 a+25 a+6/6 a+2 a+37
+ah+4 a+7/7 a+12
+a+6/6 a+3
+ah+3 a+30 a+5/5 a+16
+a+2 a+8/8
+ah+3 a+1 a+5/5 a+1
+ah+2 a+9/9 a+4 a+10/10 a+2
+a+3 a+11/11 a+1 a+6/6 a+7
 """
 
 
 def labelled_features() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of LABELLED."""
     rows, labels = [], []
-    for page in LABELLED.strip().split("\n\n"):
-        lines = page.split("\n")
-        parsed = [blocks(x[2:])[0] for x in lines]
-        rows.append(features(parsed))
-        labels += [int(x[0]) for x in lines]
+    for line in LABELLED.split("\n")[1:-1]:
+        page = []
+        for where, sign, words, _, linked in (re.fullmatch(r"([a-z]*)([+-])(\d+)(/(\d+))?", x).groups() for x in line.split()):
+            tag = "h2" if "h" in where else "li" if "i" in where else "p"
+            page.append(Block("", int(words), int(linked or 0), "c" in where, "n" in where, "r" in where, "a" in where, tag))
+            labels.append(int(sign == "+"))
+        rows.append(features(page))
     return np.concatenate(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 1) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int) -> tuple:
     """A decision tree by Gini impurity: (share of ones,) or (feature, cut, below, above)."""
     share = float(y.mean())
     best = (2 * share * (1 - share) * len(y) - 1e-9, None)
@@ -332,8 +305,8 @@ def judged(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def trained(depth: int = 8) -> tuple:
-    return grow(*labelled_features(), depth)
+def trained(depth: int = 8, least: int = LEAST) -> tuple:
+    return grow(*labelled_features(), depth, least)
 
 
 def main_text(page: str | None) -> str:
@@ -347,7 +320,7 @@ def main_text(page: str | None) -> str:
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without their html, with text and n_chars."""
-    rest = [f for f in pages.schema if f.name not in (column, "text", "n_chars")]
+    rest = [f for f in pages.schema if f.name.lower() not in (column.lower(), "text", "n_chars")]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
