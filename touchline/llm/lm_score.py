@@ -1,217 +1,265 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the background (all other documents), share one vocabulary: the most frequent words of all
-documents, every other word being one unknown word. p(w | v) mixes the bigram share with the add-one unigram share in the same way in both. A
-document's score is the mean over its tokens of the target loss less the background loss: lower is nearer to the target.
+Two bigram models, of a target corpus and of the background (all other documents), share one vocabulary: every word of all documents. p(w | v)
+mixes the bigram share with the add-one unigram share in the same way in both. A document's score is the mean over its tokens of the target loss
+less the background loss: lower is nearer to the target. A document is scored by counts without its own (leave one out), so that it does not
+look likely to the model just because it was counted.
 
-The documents are encoded once and stored in chunks (one for each task of the join with the target flags). Each chunk sends its distinct
-bigrams with counts; a shuffle by bigram sums them and sends the sums back to the chunks that asked, where documents are scored. So what is
-shuffled is each chunk's distinct bigrams, not every token, no table of the corpus's size is broadcast, and a frequent bigram
-has as many rows as there are chunks. Only the vocabulary (at most ``vocab`` words) and its counts pass through the driver.
+Documents are packed into chunks of CHUNK_BYTES, each with words numbered for itself. A chunk sends its distinct words and bigrams, as 64-bit hashes with
+counts; a shuffle by hash sums them and sends the sums back to the chunks that asked, where documents are scored. What occurs in one chunk only is not sent back,
+since the chunk knows it. So what is shuffled is each chunk's distinct words and bigrams, not every token; no table of the corpus's or the vocabulary's size is
+broadcast or comes to the driver; a frequent bigram has as many rows as there are chunks, and a task holds one chunk.
 
 Defined results: null and blank text has no tokens and null losses; documents that repeat are scored each, and counted each; a doc_id that is null is never a target; without a
-target (or background) document its model is the uniform one; other columns are not read; an empty table gives no rows.
+target (or background) document its model is the uniform one; other columns are not read; an empty table gives no rows; a text longer than a chunk is a chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, dropped, small_batches, stored
+from touchline.llm.common import bounded_batches, small_batches, stored
 
-VOCAB = 1 << 14
 MIX = 0.6
-UNKNOWN, START = 0, 1
-FLUSH = 300_000
+CHUNK_BYTES = 8 << 20
+WORDS, PAIRS = 0, 1
+START = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line feed
+CHUNK = "chunk long, doc_ids array<long>, targets array<boolean>, sizes array<int>, ids binary, words binary"
+COUNTS = "chunk long, code long, n long"  # n = target count << 32 | background count
+SUMS = "chunk long, code binary, nt binary, nb binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def _packed(size: int):
+    """Documents (doc_id, target, text) in, chunks out: local ids of the words of each and the hashes of the distinct words."""
 
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        rows, held, seq = [], 0, TaskContext.get().partitionId() << 32
 
-    for batch in small_batches(batches, "text", 2 << 20):
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-        if len(counts) > FLUSH:
-            yield out()
-    if counts:
-        yield out()
+        def out() -> pa.RecordBatch:
+            nonlocal numbers, rows, held, seq
+            doc_ids, targets, ids = zip(*rows, strict=True)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+            columns = [[seq], [doc_ids], [targets], [[len(x) for x in ids]], [zstandard.compress(np.concatenate(ids).tobytes(), 1)], [hashes.tobytes()]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            numbers, rows, held, seq = defaultdict(count().__next__), [], 0, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["chunk", "doc_ids", "targets", "sizes", "ids", "words"])
 
+        for batch in small_batches(batches, "text", 2 << 20):
+            for doc_id, target, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "target", "text")), strict=True):
+                own = words_of(text)
+                if rows and held + len(text or "") > size:
+                    yield out()
+                rows.append((doc_id, target, np.fromiter(map(numbers.__getitem__, own), "<i4", len(own))))
+                held += len(text or "") + 64
+        if rows:
+            yield out()
 
-def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
-    """Ids, from 2, of the most frequent words (ties by the word's bytes); at most size words come to the driver.
+    return run
 
-    The counts of counts give the count that the last word has, so that no task sorts more than the words above it and those that tie with it.
-    """
-    counts = stored(bounded_batches(docs.select("text")).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    more = F.sum("words").over(Window.orderBy(F.desc("n")))
-    last = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("more", more).where(F.col("more") >= size).agg(F.max("n")).first()[0] or 0
-    top = counts.where(F.col("n") > last).collect()
-    if last and len(top) < size:
-        top += stored(counts.where(F.col("n") == last).orderBy("word").limit(size - len(top)), "tied-words").collect()
-    dropped(docs.sparkSession, counts)
-    return {bytes(r.word): i for i, r in enumerate(sorted(top, key=lambda r: (-r.n, bytes(r.word))), START + 1)}
 
+def packed_chunks(docs: DataFrame, targets: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """The chunks of docs(doc_id, text), stored; a document whose doc_id is in targets is a target."""
+    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left")
+    marked = marked.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    return stored(bounded_batches(marked).mapInArrow(_packed(size), CHUNK), "chunks")
 
-def id_type(width: int) -> str:
-    return "<u2" if width <= 1 << 16 else "<u4"
 
+class Chunk:
+    """A chunk as arrays. Tokens: w, the word; v, the word before it (len(words) at a start); pair, the number of (v, w); doc, the document."""
 
-def encoded(docs: DataFrame, targets: DataFrame, ids: dict[bytes, int], kind: str) -> DataFrame:
-    """(chunk, doc_id, target, ids): each document's word ids as bytes, stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    def __init__(self, row: dict) -> None:
+        self.doc_ids, self.targets, sizes = row["doc_ids"], np.array(row["targets"], bool), np.array(row["sizes"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.w = np.frombuffer(zstandard.decompress(row["ids"]), "<i4").astype(np.int64)
+        self.sizes, n = sizes, len(self.words)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.v = np.concatenate([[n], self.w[:-1]]) if len(self.w) else self.w
+        self.v[(np.cumsum(sizes) - sizes)[sizes > 0]] = n
+        self.pairs, self.pair = np.unique(self.v * (n + 1) + self.w, return_inverse=True)
+        hashes = np.append(self.words, START)
+        self.codes = mixed(hashes[self.pairs // (n + 1)], hashes[self.pairs % (n + 1)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for batch in small_batches(batches, "text", 2 << 20):
-            rows = [np.fromiter((get(w, UNKNOWN) for w in words_of(x)), kind).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "ids"])
+    def counted(self, at: np.ndarray, n: int) -> np.ndarray:
+        """(2, n): how often each number occurs in target and in background documents."""
+        target = self.targets[self.doc]
+        return np.stack([np.bincount(at[target], minlength=n), np.bincount(at[~target], minlength=n)])
 
-    coded = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary")
-    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    spread = coded.repartition("doc_id").join(wanted.repartition("doc_id"), "doc_id", "left")
-    return stored(spread.select(F.spark_partition_id().alias("chunk"), "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "ids"), "encoded")
+    def own(self, at: np.ndarray, n: int) -> np.ndarray:
+        """For each token, how often its number occurs in its document."""
+        _, inverse, counts = np.unique(self.doc * n + at, return_inverse=True, return_counts=True)
+        return counts[inverse]
 
 
-def bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, word) of each token of a document."""
-    return np.concatenate([np.array([START], ids.dtype), ids[:-1]]) if len(ids) else ids, ids
+def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ordered pair of hashes."""
+    with np.errstate(over="ignore"):
+        x = v * np.uint64(0x9E3779B97F4A7C15) + w
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
 
 
-def _tables(width: int, kind: str):
-    """Rows (chunk, code, n) of each run of a chunk's documents: code = history * width + word, n = target count << 32 | background count."""
+def _counts(kind: int):
+    """Chunks in; (chunk, code, n) of their distinct words, starts included, or pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = None, ([], []), 0
-
-        def out() -> pa.RecordBatch:
-            codes = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in held]
-            every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-            nt, nb = (np.bincount(x, minlength=len(every)) for x in (inverse[: len(codes[0])], inverse[len(codes[0]) :]))
-            for x in held:
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(every), chunk, np.int32)), pa.array(every), pa.array((nt << 32 | nb).astype(np.int64))], ["chunk", "code", "n"])
-
         for batch in batches:
-            for own, target, raw in zip(batch.column("chunk").to_pylist(), batch.column("target").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if own != chunk or size > 1 << 21:
-                    if size:
-                        yield out()
-                    chunk, size = own, 0
-                v, w = bigrams(np.frombuffer(raw, kind).astype(np.int64))
-                held[0 if target else 1].append(v * width + w)
-                size += len(w)
-        if size:
-            yield out()
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                if kind == PAIRS:
+                    codes, n = chunk.codes, chunk.counted(chunk.pair, len(chunk.codes))
+                else:
+                    some = chunk.sizes > 0
+                    starts = np.array([[(some & chunk.targets).sum()], [(some & ~chunk.targets).sum()]])
+                    codes, n = np.append(chunk.words, START), np.concatenate([chunk.counted(chunk.w, len(chunk.words)), starts], axis=1)
+                n = (n[0] << 32 | n[1]).astype(np.int64)
+                for at in range(0, len(codes), 1 << 18):
+                    some = slice(at, at + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[some]), row["chunk"])), pa.array(codes[some].view(np.int64)), pa.array(n[some])], ["chunk", "code", "n"])
 
     return run
 
 
-def unigram_counts(tables: DataFrame, width: int) -> np.ndarray:
-    """(4, width): target and background counts of each word, then of each history. At most width rows of each come to the driver."""
-    out = np.zeros((4, width))
-    n = [F.sum(F.shiftright("n", 32)).alias("nt"), F.sum(F.col("n").bitwiseAND((1 << 32) - 1)).alias("nb")]
-    for at, key in ((0, F.col("code") % width), (2, F.floor(F.col("code") / width))):
-        for r in tables.groupBy(key.cast("int").alias("id")).agg(*n).collect():
-            out[at : at + 2, r[0]] = r[1], r[2]
-    return out
-
-
-def losses(v: np.ndarray, w: np.ndarray, n: np.ndarray, words: np.ndarray, histories: np.ndarray, mix: float) -> np.ndarray:
-    """-ln p(w | v) of bigrams with counts n in a corpus with these counts of words and histories."""
-    plain = (words[w] + 1) / (words.sum() + len(words))
-    seen = histories[v]
-    return -np.log(np.where(seen > 0, mix * n / np.maximum(seen, 1) + (1 - mix) * plain, plain))
-
-
-def _summed(width: int):
-    """Rows sorted by code in; for each chunk the codes it has and their counts everywhere out. Holds the rows of one bigram and a batch."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by code in; sums of the codes of several chunks out, packed for each chunk, and under chunk -1, in decimal digits, the number of codes and of their
+    occurrences. Holds the rows of one code and a batch."""
+    names = ["chunk", "code", "nt", "nb"]
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         chunk, code, n = rows
         first = np.concatenate([[True], code[1:] != code[:-1]])
         at, edge = np.cumsum(first) - 1, np.flatnonzero(first)
-        nt, nb = (np.add.reduceat(x, edge)[at] for x in (n >> 32, n & (1 << 32) - 1))
-        by = np.argsort(chunk, kind="stable")
-        chunk, columns = chunk[by], [x[by].astype("<i8") for x in (code, nt, nb)]
-        cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk))
-        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in columns]
-        return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]].astype(np.int32)), *parts], ["chunk", "code", "nt", "nb"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), np.int64)
-        for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("chunk", "code", "n")])], axis=1)
-            if rest.shape[1] < 100_000:
-                continue
-            last = np.flatnonzero(rest[1] != rest[1, -1])
-            if len(last):
-                yield out(rest[:, : last[-1] + 1])
-                rest = rest[:, last[-1] + 1 :]
-        if rest.shape[1]:
-            yield out(rest)
-
-    return run
+        sums = [np.add.reduceat(x, edge) for x in (n >> 32, n & (1 << 32) - 1)]
+        word = code[edge] != START.view(np.int64)
+        several = (np.diff(np.append(edge, len(code))) > 1)[at]
+        by = np.flatnonzero(several)[np.argsort(chunk[several], kind="stable")]
+        chunk, columns = chunk[by], [x.astype("<i8") for x in (code[by], sums[0][at[by]], sums[1][at[by]])]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk)) if len(chunk) else np.zeros(1, int)
+        parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] + [str(total).encode()] for x, total in zip(columns, (word.sum(), sums[0][word].sum(), sums[1][word].sum()), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([*chunk[cut[:-1]].tolist(), -1], pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names)
+
+    rest = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        rest = np.concatenate([rest, np.stack([batch.column(x).to_numpy() for x in ("chunk", "code", "n")])], axis=1)
+        if rest.shape[1] < 200_000:
+            continue
+        last = np.flatnonzero(rest[1] != rest[1, -1])
+        if len(last):
+            yield out(rest[:, : last[-1] + 1])
+            rest = rest[:, last[-1] + 1 :]
+    if rest.shape[1]:
+        yield out(rest)
+
+
+def summed(chunks: DataFrame, kind: int) -> DataFrame:
+    """(chunk, code, nt, nb) of the words or pairs of each chunk that others have too, and totals under chunk -1."""
+    rows = bounded_batches(chunks).mapInArrow(_counts(kind), COUNTS)
+    return rows.repartition("code").sortWithinPartitions("code").mapInArrow(_summed, SUMS)
+
+
+def totals(words: DataFrame) -> tuple[int, int, int]:
+    """Distinct words, and words in all of the target and of the background; one row for each batch of each task is added up here."""
+    number = lambda c: F.col(c).cast("string").cast("long")
+    row = words.where("chunk = -1").agg(*[F.sum(number(c)) for c in ("code", "nt", "nb")]).first()
+    return tuple(x or 0 for x in row)
+
+
+def losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, total: np.ndarray, vocabulary: int, mix: float) -> np.ndarray:
+    """-ln p(w | v) by these counts of (v, w), v and w in a corpus of total words."""
+    plain = (word + 1) / (total + vocabulary)
+    return -np.log(np.where(history > 0, mix * pair / np.maximum(history, 1) + (1 - mix) * plain, plain))
+
+
+def _known(codes: np.ndarray, own: np.ndarray, model: pa.Table) -> np.ndarray:
+    """own (2, n) counts of codes, replaced by the sums that came back."""
+    out = own.copy()
+    got, nt, nb = (np.frombuffer(b"".join(model.column(x).to_pylist()), "<i8") for x in ("code", "nt", "nb"))
+    if len(got):
+        by = np.argsort(codes, kind="stable")
+        at = by[np.searchsorted(codes, got.view(np.uint64), sorter=by)]
+        out[:, at] = nt, nb
+    return out
 
 
-def _score_chunk(counts, width: int, kind: str, mix: float):
-    def run(docs: pa.Table, model: pa.Table) -> pa.Table:
-        table = counts.value
-        code, nt, nb = (np.frombuffer(b"".join(model.column(x).to_pylist()), "<i8") for x in ("code", "nt", "nb"))
-        by = np.argsort(code, kind="stable")
-        code, sums = code[by], (nt[by], nb[by])
-        loss = [losses(code // width, code % width, n, table[i], table[2 + i], mix) for i, n in enumerate(sums)]
-        n, means = [], ([], [])
-        for raw in docs.column("ids").to_pylist():
-            v, w = bigrams(np.frombuffer(raw, kind).astype(np.int64))
-            at = np.searchsorted(code, v * width + w)
-            n.append(len(w))
-            for out, values in zip(means, loss, strict=True):
-                out.append(values[at].mean() if len(w) else None)
-        columns = {"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(means[0], pa.float64()), "background_loss": pa.array(means[1], pa.float64())}
-        return pa.table(columns)
+def _score_chunk(sizes: tuple[int, int, int], mix: float):
+    vocabulary, *everything = sizes
+
+    def run(packed: pa.Table, model: pa.Table) -> pa.Table:
+        out = {"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": []}
+        for row in packed.to_pylist():
+            chunk = Chunk(row)
+            kinds = model.column("kind").to_numpy()
+            some = chunk.sizes > 0
+            starts = np.array([[(some & chunk.targets).sum()], [(some & ~chunk.targets).sum()]])
+            words = _known(np.append(chunk.words, START), np.concatenate([chunk.counted(chunk.w, len(chunk.words)), starts], axis=1), model.filter(pa.array(kinds == WORDS)))
+            pairs = _known(chunk.codes, chunk.counted(chunk.pair, len(chunk.codes)), model.filter(pa.array(kinds == PAIRS)))
+            n = len(chunk.words) + 1
+            own_pair, own_word = chunk.own(chunk.pair, len(chunk.codes)), chunk.own(chunk.w, n)
+            first = np.concatenate([[0], own_word[:-1]]) if len(own_word) else own_word
+            # what the document itself adds to its history's count: that word's count in it, or one start
+            own_history = np.where(chunk.v == n - 1, 1, first)
+            target, length = chunk.targets[chunk.doc], chunk.sizes[chunk.doc]
+            out["doc_id"] += chunk.doc_ids
+            out["n_tokens"] += chunk.sizes.tolist()
+            for k, (column, mine) in enumerate((("target_loss", target), ("background_loss", ~target))):
+                less = mine.astype(np.int64)
+                loss = losses(pairs[k][chunk.pair] - less * own_pair, words[k][chunk.v] - less * own_history, words[k][chunk.w] - less * own_word, everything[k] - less * length, vocabulary, mix)
+                sums = np.bincount(chunk.doc, weights=loss, minlength=len(chunk.sizes))
+                out[column] += [s / m if m else None for s, m in zip(sums.tolist(), chunk.sizes.tolist(), strict=True)]
+        return pa.table({k: pa.array(x, pa.float64() if "loss" in k else pa.int64()) for k, x in out.items()})
 
     return run
 
 
-def score(docs: DataFrame, targets: DataFrame, vocab: int = VOCAB, mix: float = MIX) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, mix: float = MIX, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of each of docs(doc_id, text); targets(doc_id): the target corpus."""
-    ids = vocabulary(docs, vocab)
-    width = START + 1 + vocab
-    kind = id_type(width)
-    chunks = encoded(docs, targets, ids, kind)
-    tables = stored(bounded_batches(chunks).mapInArrow(_tables(width, kind), "chunk int, code long, n long"), "bigrams")
-    counts = docs.sparkSession.sparkContext.broadcast(unigram_counts(tables, width))
-    ordered = tables.repartition("code").sortWithinPartitions("code")
-    model = bounded_batches(ordered).mapInArrow(_summed(width), "chunk int, code binary, nt binary, nb binary")
+    chunks = packed_chunks(docs, targets, chunk_bytes)
+    words = stored(summed(chunks, WORDS), "word-sums")
+    pairs = summed(chunks, PAIRS)
+    model = words.withColumn("kind", F.lit(WORDS)).union(pairs.withColumn("kind", F.lit(PAIRS))).where("chunk >= 0")
     kinds = "doc_id long, n_tokens long, target_loss double, background_loss double"
-    rows = chunks.select("chunk", "doc_id", "ids").groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(counts, width, kind, mix), kinds)
+    rows = chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(totals(words), mix), kinds)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+def _loss_sql(side: str, flag: str) -> str:
+    """-ln p(w | v) on one side, without the document's own counts where it is of that side."""
+    pair, history, word, total = (f"({x}{side} - CASE WHEN {flag} THEN {own} ELSE 0 END)" for x, own in (("n", "own"), ("h", "own_h"), ("u", "own_w"), ("e", "own_e")))
+    plain = f"({word} + 1) / CAST({total} + voc AS DOUBLE)"
+    return f"-ln(CASE WHEN {history} > 0 THEN {MIX} * {pair} / CAST({history} AS DOUBLE) + {1 - MIX} * {plain} ELSE {plain} END)"
+
+
 ORACLE_SQL = f"""WITH tokens AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
+  SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)),
-vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) + {START} AS id FROM tokens GROUP BY word ORDER BY id LIMIT {VOCAB}),
-coded AS (SELECT doc_id, i, coalesce(id, {UNKNOWN}) AS w FROM tokens LEFT JOIN vocab USING (word)),
-pairs AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), {START}) AS v, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM coded),
-bi AS (SELECT v, w, count(*) FILTER (WHERE t) AS nt, count(*) FILTER (WHERE NOT t) AS nb FROM pairs GROUP BY ALL),
-uni AS (SELECT w, sum(nt) AS ut, sum(nb) AS ub FROM bi GROUP BY w), hist AS (SELECT v, sum(nt) AS ht, sum(nb) AS hb FROM bi GROUP BY v), every AS (SELECT sum(nt) AS et, sum(nb) AS eb FROM bi),
-priced AS (SELECT v, w, CAST(nt AS DOUBLE) AS nt, CAST(nb AS DOUBLE) AS nb, ht, hb, (ut + 1) / CAST(et + {VOCAB + START + 1} AS DOUBLE) AS pt, (ub + 1) / CAST(eb + {VOCAB + START + 1} AS DOUBLE) AS pb FROM bi JOIN uni USING (w) JOIN hist USING (v), every),
-loss AS (SELECT v, w, -ln(CASE WHEN ht > 0 THEN {MIX} * nt / ht + {1 - MIX} * pt ELSE pt END) AS lt, -ln(CASE WHEN hb > 0 THEN {MIX} * nb / hb + {1 - MIX} * pb ELSE pb END) AS lb FROM priced),
-means AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM pairs JOIN loss USING (v, w) GROUP BY doc_id)
+own AS (SELECT doc_id, t, v, w, count(*) AS own FROM (
+    SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), chr(10)) AS v, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM tokens) GROUP BY ALL),
+own_w AS (SELECT doc_id, t, w, sum(own) AS own_w FROM own GROUP BY ALL),
+own_e AS (SELECT doc_id, t, sum(own_w) AS own_e FROM own_w GROUP BY ALL),
+bi AS (SELECT v, w, sum(own) FILTER (WHERE t) AS nt, sum(own) FILTER (WHERE NOT t) AS nb FROM own GROUP BY ALL),
+uni AS (SELECT w, sum(own_w) FILTER (WHERE t) AS ut, sum(own_w) FILTER (WHERE NOT t) AS ub FROM own_w GROUP BY w),
+hist AS (SELECT w AS v, ut AS ht, ub AS hb FROM uni UNION ALL SELECT chr(10), count(*) FILTER (WHERE t), count(*) FILTER (WHERE NOT t) FROM own_e),
+every AS (SELECT coalesce(sum(ut), 0) AS et, coalesce(sum(ub), 0) AS eb, count(*) AS voc FROM uni),
+priced AS (
+  SELECT own.doc_id, own.t, own, coalesce(nt, 0) AS nt, coalesce(nb, 0) AS nb, coalesce(ut, 0) AS ut, coalesce(ub, 0) AS ub, coalesce(ht, 0) AS ht, coalesce(hb, 0) AS hb, et, eb, voc,
+    own_w.own_w, own_e.own_e, coalesce(before.own_w, 1) AS own_h
+  FROM own JOIN bi USING (v, w) JOIN uni USING (w) JOIN hist ON hist.v = own.v JOIN own_w ON own_w.doc_id = own.doc_id AND own_w.w = own.w JOIN own_e ON own_e.doc_id = own.doc_id
+    LEFT JOIN own_w AS before ON before.doc_id = own.doc_id AND before.w = own.v, every),
+means AS (SELECT doc_id, CAST(sum(own) AS BIGINT) AS n, sum(own * {_loss_sql("t", "t")}) / sum(own) AS lt, sum(own * {_loss_sql("b", "NOT t")}) / sum(own) AS lb FROM priced GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score FROM documents d LEFT JOIN means USING (doc_id)"""
