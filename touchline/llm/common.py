@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only for a local session that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="touchline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -36,22 +38,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files of tables made by stored() that nothing will read again.
-
-    Also asks the driver's JVM to collect garbage: only then does Spark delete the shuffle files of a loop's earlier rounds.
-    """
+def deleted(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing will read again."""
     jvm = spark.sparkContext._jvm
     for frame in frames:
         for name in {f.rpartition("/")[0] for f in frame.inputFiles()}:
             if "/touchline/" in name:
                 path = jvm.org.apache.hadoop.fs.Path(name)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """deleted(), and ask the driver's JVM to collect garbage: only then does Spark delete the shuffle files of a loop's earlier rounds."""
+    deleted(spark, *frames)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has in any case: those given, with as many underscores more as are needed."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _bytes(text: str) -> int:
