@@ -26,32 +26,54 @@ def texts_of(n, seed=1):
     return [" ".join(rng.choice(["the", "of", f"w{rng.randint(0, 400)}", "it's", "né", "\n", "12"]) for _ in range(rng.randint(1, 80))) for _ in range(n)]
 
 
-def test_lm_score_against_brute_force(spark):
-    texts = texts_of(80) + ["", None, "the of the"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
-    targets = spark.createDataFrame([(i,) for i in range(0, 80, 3)] * 2, "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(docs, targets, vocab=50).collect()}
-    count = collections.Counter(w for t in texts for w in lm_score.words_of(t))
-    ids = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:50], 2)}
-    uni, bi, hist = ([collections.Counter(), collections.Counter()] for _ in range(3))
-    coded = [[ids.get(w, 0) for w in lm_score.words_of(t)] for t in texts]
-    for i, e in enumerate(coded):
-        k = 0 if i < 80 and i % 3 == 0 else 1
-        for v, w in zip([1, *e], e, strict=False):
-            uni[k][w] += 1
-            bi[k][v, w] += 1
-            hist[k][v] += 1
-
-    def loss(k, v, w):
-        plain = (uni[k][w] + 1) / (sum(uni[k].values()) + 52)
-        return -math.log(0.6 * bi[k][v, w] / hist[k][v] + 0.4 * plain if hist[k][v] else plain)
-
-    for i, e in enumerate(coded):
-        if not e:
-            assert got[i].score is None and got[i].n_tokens == 0
+def brute_losses(texts, targets):
+    """Each document's losses by models of all other rows."""
+    words = [lm_score.words_of(t) for t in texts]
+    vocabulary = len({w for x in words for w in x})
+    uni, bi, starts = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for i, x in enumerate(words):
+        k = i not in targets
+        uni[k].update(x)
+        bi[k].update(zip([None, *x], x, strict=False))
+        starts[k][None] += bool(x)
+    for i, x in enumerate(words):
+        if not x:
+            yield None
             continue
-        want = [sum(loss(k, v, w) for v, w in zip([1, *e], e, strict=False)) / len(e) for k in (0, 1)]
-        assert got[i].target_loss == pytest.approx(want[0], abs=1e-5) and got[i].background_loss == pytest.approx(want[1], abs=1e-5)
+        own, pairs, out = collections.Counter(x), collections.Counter(zip([None, *x], x, strict=False)), []
+        for k in (False, True):
+            mine = (i not in targets) == k
+            total, loss = sum(uni[k].values()) - mine * len(x), 0
+            for v, w in zip([None, *x], x, strict=False):
+                history = starts[k][None] - mine if v is None else uni[k][v] - mine * own[v]
+                plain = (uni[k][w] - mine * own[w] + 1) / (total + vocabulary)
+                loss -= math.log(lm_score.MIX * (bi[k][v, w] - mine * pairs[v, w]) / history + (1 - lm_score.MIX) * plain if history else plain)
+            out.append(loss / len(x))
+        yield out
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 700, 1 << 20])
+def test_lm_score_against_brute_force(spark, chunk_bytes):
+    texts = texts_of(80) + ["", None, "the of the", "twice seen text", "twice seen text", "hapax"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("chunk", F.lit(1))
+    targets = spark.createDataFrame([(i,) for i in range(0, 80, 3)] * 2 + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score(docs, targets, chunk_bytes=chunk_bytes).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(brute_losses(texts, set(range(0, 80, 3)))):
+        if want is None:
+            assert got[i].score is None and got[i].n_tokens == 0
+        else:
+            assert (got[i].target_loss, got[i].background_loss) == pytest.approx(want, abs=1e-9) and got[i].score == pytest.approx(want[0] - want[1], abs=1e-9)
+
+
+def test_lm_score_of_repeated_and_nameless_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a c"), (None, "a b" * 4000)], "doc_id long, text string")
+    texts = [r.text for r in docs.collect()]
+    got = sorted((r.n_tokens, r.doc_id or 0, r.target_loss, r.background_loss) for r in lm_score.score(docs, spark.createDataFrame([(1,)], "doc_id long")).collect())
+    want = sorted((len(t.split()), i, *x) for t, i, x in zip(texts, (1, 1, 0, 0), brute_losses(texts, {0, 1}), strict=True))
+    assert all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm_score.score(docs, none).count() == 4 and lm_score.score(docs.limit(0), none).count() == 0
 
 
 def exact(vectors, q, k):
@@ -349,7 +371,7 @@ def test_pipeline_on_a_small_corpus(spark):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert lm_score.score(docs, docs.select("doc_id"), vocab=10).count() == 0
+    assert lm_score.score(docs, docs.select("doc_id")).count() == 0
     assert nn_descent.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, rounds=1).count() == 0
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
-    assert {(r.doc_id, r.score) for r in lm_score.score(blank, docs.select("doc_id"), vocab=10).collect()} == {(1, None), (2, None)}
+    assert {(r.doc_id, r.score) for r in lm_score.score(blank, docs.select("doc_id")).collect()} == {(1, None), (2, None)}

@@ -2,12 +2,13 @@
 
 Every run of three consecutive lines (each trimmed) is hashed to 128 bits; windows are counted globally with map-side
 combining, and of a repeated window every occurrence but the first in (doc_id, text hash, line) order covers its three lines.
-Covered positions of a document are merged and dropped. The join of occurrences with repeated windows is a plain
-equi-join of two shuffled sides, which the skew-join rule splits where one window fills a partition.
+A text of fewer lines has one window of all of them. A line of over LONG_WORDS words, which holds more than three lines often do, also is a window of its own, so
+that a long passage is found between any neighbours. Covered positions of a document are merged and dropped. The join of occurrences with repeated windows is a
+plain equi-join of two shuffled sides, which the skew-join rule splits where one window fills a partition.
 
-Defined results: null text stays null; texts of fewer than three lines have no window and stay; windows of blank lines only
+Defined results: null text stays null; windows of blank lines only
 do not count; rows equal in doc_id and text are one document and change alike; rows that share a doc_id but not the text are told
-apart; an empty table gives an empty result; columns other than text and n_chars pass through.
+apart; a null doc_id comes before all others; an empty table gives an empty result; columns other than text and n_chars pass through, whatever their names (n_lines and n_removed are replaced).
 """
 
 from __future__ import annotations
@@ -18,53 +19,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches
+from touchline.llm.common import bounded_batches, fresh
 
 WINDOW = 3
-BLANK = " \t\v\f\r"
+LONG_WORDS = 50
 
 
-def line_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at, pos, w1, w2): the hashes of each window of lines; at: the text's hash."""
+def line_windows(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, at, pos, lines, w1, w2): the hashes of each window and the number of its lines; at: the text's hash."""
     trimmed = F.expr(r"transform(split(text, '\n', -1), x -> regexp_replace(x, '^[ \\t\\x0B\\f\\r]+|[ \\t\\x0B\\f\\r]+$', ''))")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("at"), trimmed.alias("lines")).where(F.size("lines") >= window)
-    joined = F.expr(f"transform(sequence(1, size(lines) - {window - 1}), i -> array_join(slice(lines, i, {window}), '\n'))")
-    rows = lines.select("doc_id", "at", F.posexplode(joined).alias("pos", "body")).where(F.length("body") >= window)
-    return rows.select("doc_id", "at", "pos", F.xxhash64("body").alias("w1"), F.xxhash64(F.lit("second"), "body").alias("w2"))
+    own = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("at"), trimmed.alias("own"))
+    runs = f"transform(sequence(1, greatest(size(own) - {window - 1}, 1)), i -> struct(i - 1 as pos, least(size(own), {window}) as lines, array_join(slice(own, i, {window}), '\n') as body))"
+    single = r"filter(transform(own, (x, i) -> struct(i as pos, 1 as lines, x as body)), s -> length(s.body) > {0} and regexp_count(s.body, '[^\\x20\\x09-\\x0D]+') > {1})".format(2 * long_words, long_words)
+    rows = own.select("doc_id", "at", F.inline(F.expr(f"concat({runs}, if(size(own) > 1, {single}, array()))"))).where(F.length(F.translate("body", "\n", "")) > 0)
+    return rows.select("doc_id", "at", "pos", "lines", F.xxhash64("body").alias("w1"), F.xxhash64(F.lit("second"), "body").alias("w2"))
 
 
-def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at, starts): first lines of the windows of each document that occurred before."""
-    windows = line_windows(docs, window)
+def later_windows(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, at, spans): first line and number of lines of the windows of each document that occurred before."""
+    windows = line_windows(docs, window, long_words)
     place = F.struct("doc_id", "at", "pos")
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["w1", "w2"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "at").agg(F.collect_set("pos").alias("starts"))
+    later = windows.join(first, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "at").agg(F.collect_set(F.struct("pos", "lines")).alias("spans"))
 
 
-def without(text: str | None, starts: list[int] | None, window: int = WINDOW) -> tuple[str | None, int, int]:
+def without(text: str | None, spans: list[dict] | None) -> tuple[str | None, int, int]:
     """A text without the lines that the windows cover; its lines and those removed."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
-    gone = {s + k for s in starts or () for k in range(window)}
+    gone = {s["pos"] + k for s in spans or () for k in range(s["lines"])}
     return ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text), len(lines), len(gone)
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with text (and n_chars, if there) after removal, n_lines before it and n_removed."""
-    docs = bounded_batches(docs).drop("n_lines", "n_removed", "_at", "_starts", "_of")
-    starts = later_windows(docs, window).select(F.col("doc_id").alias("_of"), F.col("at").alias("_at"), F.col("starts").alias("_starts"))
-    marked = docs.join(starts, docs.doc_id.eqNullSafe(starts._of) & (F.xxhash64("text") == starts._at), "left").drop("_of", "_at")
+    docs = bounded_batches(docs).drop("n_lines", "n_removed")
+    of, at, spans = fresh(docs, "_of", "_at", "_spans")
+    later = later_windows(docs, window, long_words).select(F.col("doc_id").alias(of), F.col("at").alias(at), F.col("spans").alias(spans))
+    marked = docs.join(later, docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(at)), "left").drop(of, at)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    body = next(x for x in docs.columns if x.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [without(x, s, window) for x, s in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist(), strict=True)]
-            new = {"text": pa.array([x[0] for x in got], pa.string()), "n_lines": pa.array([x[1] for x in got], pa.int64()), "n_removed": pa.array([x[2] for x in got], pa.int64())}
-            columns = {k: batch.column(k) for k in batch.schema.names if k != "_starts"} | new
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(x[0] or "") for x in got], columns["n_chars"].type)
+            got = [without(x, s) for x, s in zip(batch.column(body).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+            new = {body: pa.array([x[0] for x in got], pa.string()), "n_lines": pa.array([x[1] for x in got], pa.int64()), "n_removed": pa.array([x[2] for x in got], pa.int64())}
+            columns = {k: batch.column(k) for k in batch.schema.names if k != spans} | new
+            for k in columns:
+                if k.lower() == "n_chars":
+                    columns[k] = pa.array([None if x[0] is None else len(x[0]) for x in got], columns[k].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return marked.mapInArrow(run, f"{kinds}, n_lines long, n_removed long")
@@ -76,15 +81,17 @@ def cleaned_ctes(docs: str) -> str:
 dedup_lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM {docs} WHERE text IS NOT NULL),
-dedup_trimmed AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM dedup_lines),
+dedup_trimmed AS (SELECT doc_id, pos, line, count(*) OVER (PARTITION BY doc_id) AS n, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM dedup_lines),
 dedup_windows AS (
-  SELECT doc_id, pos, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS body
-  FROM dedup_trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT doc_id, pos, 3 AS k, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS body
+  FROM dedup_trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT doc_id, 0, count(*), string_agg(t, chr(10) ORDER BY pos) FROM dedup_trimmed GROUP BY doc_id HAVING count(*) < 3
+  UNION ALL SELECT doc_id, pos, 1, t FROM dedup_trimmed WHERE n > 1 AND length(t) > {2 * LONG_WORDS} AND len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) > {LONG_WORDS}),
 dedup_ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS rn
-  FROM dedup_windows WHERE body IS NOT NULL AND length(body) > 2),
+  SELECT doc_id, pos, k, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS rn
+  FROM dedup_windows WHERE body IS NOT NULL AND length(replace(body, chr(10), '')) > 0),
 dedup_covered AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM dedup_ranked, (VALUES (0), (1), (2)) AS o(k) WHERE rn > 1),
+  SELECT DISTINCT doc_id, pos + o AS pos FROM dedup_ranked, (VALUES (0), (1), (2)) AS t(o) WHERE rn > 1 AND o < k),
 dedup_kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL) AS text,
          count(*) AS n_lines, count(c.pos) AS n_removed

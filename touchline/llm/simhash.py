@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, small_batches, stored
+from touchline.llm.common import bounded_batches, fresh, small_batches, stored
 
 WORDS = 4
 SEED = 42
@@ -219,6 +219,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: of the smallest doc_id, and of its rows the one with the smallest text."""
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept, nth = fresh(docs, "_kept", "_nth")
+    chosen = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").withColumn("_row", first).where("_row = 1").drop("_row")
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
