@@ -8,7 +8,8 @@ look likely to the model just because it was counted.
 Documents are packed into chunks of CHUNK_BYTES, each with words numbered for itself. A chunk sends its distinct words and bigrams, as 64-bit hashes with
 counts; a shuffle by hash sums them and sends the sums back to the chunks that asked, where documents are scored. What occurs in one chunk only is not sent back,
 since the chunk knows it. So what is shuffled is each chunk's distinct words and bigrams, not every token; no table of the corpus's or the vocabulary's size is
-broadcast or comes to the driver; a frequent bigram has as many rows as there are chunks, and a task holds one chunk.
+broadcast or comes to the driver; a frequent bigram occurs as often as there are chunks, and a task holds one chunk. Hashes travel in buckets of equal leading
+bits, as many as make RUN hashes a bucket, sorted and packed as differences in byte planes: some six bytes each.
 
 Defined results: null and blank text has no tokens and null losses; documents that repeat are scored each, and counted each; a doc_id that is null is never a target; without a
 target (or background) document its model is the uniform one; other columns are not read; an empty table gives no rows; a text longer than a chunk is a chunk.
@@ -35,8 +36,25 @@ CHUNK_BYTES = 8 << 20
 WORDS, PAIRS = 0, 1
 START = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line feed
 CHUNK = "chunk long, doc_ids array<long>, targets array<boolean>, sizes array<int>, ids binary, words binary"
-COUNTS = "chunk long, code long, n long"  # n = target count << 32 | background count
-SUMS = "chunk long, code binary, nt binary, nb binary"
+COUNTS = "bucket long, chunk long, packed binary"
+SUMS = "chunk long, packed binary"
+RUN, TOGETHER = 1 << 18, 1 << 21
+SMALL_TARGETS = 2_000_000
+
+
+def packed(codes: np.ndarray, nt: np.ndarray, nb: np.ndarray) -> bytes:
+    """Sorted hashes and their target and background counts as one string: differences and counts in byte planes, compressed."""
+    columns = (np.diff(codes.astype(np.uint64), prepend=np.uint64(0)), nt.astype(np.uint64), nb.astype(np.uint64))
+    return zstandard.compress(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """(3, n) of packed(): hashes and counts."""
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(3, 8, -1)
+    out = np.array(planes.transpose(0, 2, 1), order="C").view(np.uint64)[:, :, 0]
+    with np.errstate(over="ignore"):
+        out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -74,7 +92,9 @@ def _packed(size: int):
 
 def packed_chunks(docs: DataFrame, targets: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """The chunks of docs(doc_id, text), stored; a document whose doc_id is in targets is a target."""
-    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    if wanted.count() <= SMALL_TARGETS:  # 16 MB of ids; more are joined by a shuffle of both sides
+        wanted = F.broadcast(wanted)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left")
     marked = marked.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     return stored(bounded_batches(marked).mapInArrow(_packed(size), CHUNK), "chunks")
@@ -100,6 +120,13 @@ class Chunk:
         target = self.targets[self.doc]
         return np.stack([np.bincount(at[target], minlength=n), np.bincount(at[~target], minlength=n)])
 
+    def known(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct words, a start at last, or pairs, and their counts."""
+        if kind == PAIRS:
+            return self.codes, self.counted(self.pair, len(self.codes))
+        starts = (self.sizes > 0) & np.stack([self.targets, ~self.targets])
+        return np.append(self.words, START), np.concatenate([self.counted(self.w, len(self.words)), starts.sum(axis=1, keepdims=True)], axis=1)
+
     def own(self, at: np.ndarray, n: int) -> np.ndarray:
         """For each token, how often its number occurs in its document."""
         _, inverse, counts = np.unique(self.doc * n + at, return_inverse=True, return_counts=True)
@@ -115,68 +142,68 @@ def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _counts(kind: int):
-    """Chunks in; (chunk, code, n) of their distinct words, starts included, or pairs out."""
+def _counts(kind: int, bits: int):
+    """Chunks in; (bucket, chunk, packed) of their distinct words, starts included, or pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row)
-                if kind == PAIRS:
-                    codes, n = chunk.codes, chunk.counted(chunk.pair, len(chunk.codes))
-                else:
-                    some = chunk.sizes > 0
-                    starts = np.array([[(some & chunk.targets).sum()], [(some & ~chunk.targets).sum()]])
-                    codes, n = np.append(chunk.words, START), np.concatenate([chunk.counted(chunk.w, len(chunk.words)), starts], axis=1)
-                n = (n[0] << 32 | n[1]).astype(np.int64)
-                for at in range(0, len(codes), 1 << 18):
-                    some = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[some]), row["chunk"])), pa.array(codes[some].view(np.int64)), pa.array(n[some])], ["chunk", "code", "n"])
+                codes, n = Chunk(row).known(kind)
+                if not len(codes):
+                    continue
+                by = np.argsort(codes)
+                codes, n = codes[by], n[:, by]
+                bucket = (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+                cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(codes))
+                parts = [packed(codes[a:b], n[0, a:b], n[1, a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(parts), row["chunk"])), pa.array(parts, pa.binary())], ["bucket", "chunk", "packed"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by code in; sums of the codes of several chunks out, packed for each chunk, and under chunk -1, in decimal digits, the number of codes and of their
-    occurrences. Holds the rows of one code and a batch."""
-    names = ["chunk", "code", "nt", "nb"]
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        chunk, code, n = rows
+    """Rows sorted by bucket in; sums of the hashes of several chunks out, packed for each chunk, and under chunk -1 the number of words and of their
+    occurrences. Holds the rows of one bucket, or of several up to TOGETHER hashes."""
+
+    def out(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        chunk = np.repeat([x for x, _ in held], [y.shape[1] for _, y in held])
+        code, *n = np.concatenate([y for _, y in held], axis=1)
+        by = np.argsort(code, kind="stable")
+        chunk, code, n = chunk[by], code[by], [x[by].astype(np.int64) for x in n]
         first = np.concatenate([[True], code[1:] != code[:-1]])
         at, edge = np.cumsum(first) - 1, np.flatnonzero(first)
-        sums = [np.add.reduceat(x, edge) for x in (n >> 32, n & (1 << 32) - 1)]
-        word = code[edge] != START.view(np.int64)
+        sums = [np.add.reduceat(x, edge) for x in n]
+        word = code[edge] != START
         several = (np.diff(np.append(edge, len(code))) > 1)[at]
         by = np.flatnonzero(several)[np.argsort(chunk[several], kind="stable")]
-        chunk, columns = chunk[by], [x.astype("<i8") for x in (code[by], sums[0][at[by]], sums[1][at[by]])]
+        chunk, code, nt, nb = chunk[by], code[by], sums[0][at[by]], sums[1][at[by]]
         cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk)) if len(chunk) else np.zeros(1, int)
-        parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] + [str(total).encode()] for x, total in zip(columns, (word.sum(), sums[0][word].sum(), sums[1][word].sum()), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([*chunk[cut[:-1]].tolist(), -1], pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names)
+        parts = [packed(code[a:b], nt[a:b], nb[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        total = " ".join(str(x) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())).encode()
+        return pa.RecordBatch.from_arrays([pa.array([*chunk[cut[:-1]].tolist(), -1], pa.int64()), pa.array([*parts, total], pa.binary())], ["chunk", "packed"])
 
-    rest = np.zeros((3, 0), np.int64)
+    held, size, last = [], 0, None
     for batch in batches:
-        rest = np.concatenate([rest, np.stack([batch.column(x).to_numpy() for x in ("chunk", "code", "n")])], axis=1)
-        if rest.shape[1] < 200_000:
-            continue
-        last = np.flatnonzero(rest[1] != rest[1, -1])
-        if len(last):
-            yield out(rest[:, : last[-1] + 1])
-            rest = rest[:, last[-1] + 1 :]
-    if rest.shape[1]:
-        yield out(rest)
+        for bucket, chunk, raw in zip(*(batch.column(x).to_pylist() for x in ("bucket", "chunk", "packed")), strict=True):
+            if bucket != last and size > TOGETHER:
+                yield out(held)
+                held, size = [], 0
+            held.append((chunk, unpacked(raw)))
+            size, last = size + held[-1][1].shape[1], bucket
+    if held:
+        yield out(held)
 
 
-def summed(chunks: DataFrame, kind: int) -> DataFrame:
-    """(chunk, code, nt, nb) of the words or pairs of each chunk that others have too, and totals under chunk -1."""
-    rows = bounded_batches(chunks).mapInArrow(_counts(kind), COUNTS)
-    return rows.repartition("code").sortWithinPartitions("code").mapInArrow(_summed, SUMS)
+def summed(chunks: DataFrame, kind: int, bits: int) -> DataFrame:
+    """(chunk, packed) sums of the words or pairs of each chunk that others have too, and totals under chunk -1; bits: leading bits of a bucket."""
+    rows = bounded_batches(chunks).mapInArrow(_counts(kind, bits), COUNTS)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, SUMS)
 
 
 def totals(words: DataFrame) -> tuple[int, int, int]:
-    """Distinct words, and words in all of the target and of the background; one row for each batch of each task is added up here."""
-    number = lambda c: F.col(c).cast("string").cast("long")
-    row = words.where("chunk = -1").agg(*[F.sum(number(c)) for c in ("code", "nt", "nb")]).first()
+    """Distinct words, and words in all of the target and of the background; one row for each run of buckets is added up here."""
+    number = lambda i: F.split(F.col("packed").cast("string"), " ")[i].cast("long")
+    row = words.where("chunk = -1").agg(*[F.sum(number(i)) for i in range(3)]).first()
     return tuple(x or 0 for x in row)
 
 
@@ -186,29 +213,24 @@ def losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, total: np.nd
     return -np.log(np.where(history > 0, mix * pair / np.maximum(history, 1) + (1 - mix) * plain, plain))
 
 
-def _known(codes: np.ndarray, own: np.ndarray, model: pa.Table) -> np.ndarray:
+def _corrected(codes: np.ndarray, own: np.ndarray, replies: list[bytes]) -> np.ndarray:
     """own (2, n) counts of codes, replaced by the sums that came back."""
-    out = own.copy()
-    got, nt, nb = (np.frombuffer(b"".join(model.column(x).to_pylist()), "<i8") for x in ("code", "nt", "nb"))
-    if len(got):
-        by = np.argsort(codes, kind="stable")
-        at = by[np.searchsorted(codes, got.view(np.uint64), sorter=by)]
-        out[:, at] = nt, nb
+    out, by = own.copy(), np.argsort(codes, kind="stable")
+    for raw in replies:
+        got, nt, nb = unpacked(raw)
+        out[:, by[np.searchsorted(codes, got, sorter=by)]] = nt, nb
     return out
 
 
 def _score_chunk(sizes: tuple[int, int, int], mix: float):
     vocabulary, *everything = sizes
 
-    def run(packed: pa.Table, model: pa.Table) -> pa.Table:
+    def run(chunks: pa.Table, model: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": []}
-        for row in packed.to_pylist():
+        for row in chunks.to_pylist():
             chunk = Chunk(row)
-            kinds = model.column("kind").to_numpy()
-            some = chunk.sizes > 0
-            starts = np.array([[(some & chunk.targets).sum()], [(some & ~chunk.targets).sum()]])
-            words = _known(np.append(chunk.words, START), np.concatenate([chunk.counted(chunk.w, len(chunk.words)), starts], axis=1), model.filter(pa.array(kinds == WORDS)))
-            pairs = _known(chunk.codes, chunk.counted(chunk.pair, len(chunk.codes)), model.filter(pa.array(kinds == PAIRS)))
+            replies = list(zip(model.column("kind").to_pylist(), model.column("packed").to_pylist(), strict=True))
+            words, pairs = (_corrected(*chunk.known(kind), [x for k, x in replies if k == kind]) for kind in (WORDS, PAIRS))
             n = len(chunk.words) + 1
             own_pair, own_word = chunk.own(chunk.pair, len(chunk.codes)), chunk.own(chunk.w, n)
             first = np.concatenate([[0], own_word[:-1]]) if len(own_word) else own_word
@@ -230,9 +252,10 @@ def _score_chunk(sizes: tuple[int, int, int], mix: float):
 def score(docs: DataFrame, targets: DataFrame, mix: float = MIX, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of each of docs(doc_id, text); targets(doc_id): the target corpus."""
     chunks = packed_chunks(docs, targets, chunk_bytes)
-    words = stored(summed(chunks, WORDS), "word-sums")
-    pairs = summed(chunks, PAIRS)
-    model = words.withColumn("kind", F.lit(WORDS)).union(pairs.withColumn("kind", F.lit(PAIRS))).where("chunk >= 0")
+    tokens = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = min(40, max(0, (tokens // RUN).bit_length()))
+    words = stored(summed(chunks, WORDS, bits), "word-sums")
+    model = words.withColumn("kind", F.lit(WORDS)).union(summed(chunks, PAIRS, bits).withColumn("kind", F.lit(PAIRS))).where("chunk >= 0")
     kinds = "doc_id long, n_tokens long, target_loss double, background_loss double"
     rows = chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(totals(words), mix), kinds)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
