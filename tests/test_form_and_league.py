@@ -91,9 +91,11 @@ def test_elo_against_a_plain_loop(spark):
     assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in got)
 
 
-def test_greedy_rounds_against_a_plain_loop(spark):
-    rows = tables(spark, "/root/testdata/sf0.001", "fx_matches")
-    got = {r.match_id: r.round_index for r in sequential.greedy_rounds(rows).collect()}
+@pytest.mark.parametrize(("block", "n"), [(1, 60), (7, 400), (100, 1500), (1 << 20, 1500)])
+def test_greedy_rounds_against_a_plain_loop(spark, block, n):
+    rows = tables(spark, "/root/testdata/sf0.001", "fx_matches").orderBy("match_id").limit(n)
+    got = {r.match_id: r.round_index for r in sequential.greedy_rounds(rows, block).collect()}
+    assert len(got) == rows.count()
     index, playing = 0, set()
     for r in rows.orderBy(*form.in_order()).collect():
         if {r.home_id, r.away_id} & playing:
@@ -102,6 +104,21 @@ def test_greedy_rounds_against_a_plain_loop(spark):
         assert got[r.match_id] == index
 
 
+def test_rounds_and_ratings_of_odd_tables(spark):
+    assert sequential.greedy_rounds(matches(spark, [])).count() == 0 and sequential.elo_ratings(matches(spark, [])).count() == 0
+    far = matches(spark, [(i, 1 + i, 1, 2 * i, 2 * i + 1, 0, 0) for i in range(12)])  # no team plays twice: one round over all blocks
+    assert {r.round_index for r in sequential.greedy_rounds(far, 4).collect()} == {0}
+    undated = matches(spark, [(1, 1, 1, 1, 2, 0, 0), (2, 2, 1, 1, 2, 0, 0)]).withColumn("dt", F.when(F.col("match_id") == 1, F.col("dt")))
+    assert {r.match_id: r.round_index for r in sequential.greedy_rounds(undated).collect()} == {2: 0, 1: 1}
+
+
+def test_dense_ids_in_order(spark):
+    names = spark.createDataFrame([(x,) for x in ["b", "abd", "abc", "", "a", "Z", None, "abc", "é"]], "v string")
+    assert [r.value for r in league.dense_ids(names, "v").orderBy("dense_id").collect()] == ["", "Z", "a", "abc", "abd", "b", "é"]
+    numbers = spark.createDataFrame([(x,) for x in [9, -5, 10**12, 4096, 4095, 9, None]], "v long")
+    assert [(r.value, r.dense_id) for r in league.dense_ids(numbers, "v").orderBy("dense_id").collect()] == [(-5, 0), (9, 1), (4095, 2), (4096, 3), (10**12, 4)]
+
+
 def test_folds_and_their_chronology(spark):
     rounds = spark.createDataFrame([(i, i // 2) for i in range(12)], "match_id long, round_index long")
     made = sequential.rolling_folds(rounds, 3)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.config import Selection
+from touchline.functions.ordered import with_rank
 from touchline.functions.scalars import clip01, points, ratio
 from touchline.operators.form import in_order
 
@@ -120,9 +121,12 @@ def season_breakdown(matches: DataFrame) -> DataFrame:
 
 
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
-    """(value, dense_id) of the distinct values in ascending order, from 0. One row for each distinct value passes one window."""
+    """(value, dense_id) of the distinct values in ascending order, from 0; ranked within buckets (a text's first three characters, a number's
+    multiples of 4,096) and by the sizes of earlier buckets."""
     rows = values.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return rows.withColumn("dense_id", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    text = rows.schema["value"].dataType.typeName() in ("string", "varchar", "char")
+    bucket = F.substring("value", 1, 3) if text else F.floor(F.col("value") / 4096)
+    return with_rank(rows, bucket, [F.col("value")]).select("value", (F.col("rn") - 1).cast("long").alias("dense_id"))
 
 
 def most_frequent(df: DataFrame, group: list[str], value: str, position: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from touchline import config as C
 from touchline.functions.ordered import with_rank
 from touchline.functions.scalars import points, ratio
 from touchline.operators.form import in_order, last_n
+from touchline.operators.sequential import streamed
 
 # Fixed values of the older feed.
 LOW, HIGH = 0.001, 0.999
@@ -114,20 +116,20 @@ def balanced(matrix: Column, spare: Column) -> Column:
 def previous_result_elo(matches: DataFrame, component: str = "competition", k: float = C.ELO_K) -> DataFrame:
     """(match_id, home_elo, away_elo): each team's rating is moved by the result of its previous match, against the expectation of this one."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def make() -> Callable[..., tuple]:
         state: dict[int, tuple[float, float]] = {}
-        frame, out = frame.assign(hour_utc=frame.hour_utc.fillna(-1)).sort_values(["dt", "hour_utc", "match_id"]), []
-        for m, home, away, hg, ag in frame[["match_id", "home_id", "away_id", "home_goals", "away_goals"]].itertuples(index=False, name=None):
+
+        def step(m: int, home: int, away: int, hg: float, ag: float) -> tuple[int, float, float]:
             (rh, sh), (ra, sa) = state.get(home, (INIT_ELO, 0.5)), state.get(away, (INIT_ELO, 0.5))
             expected = 1 / (1 + 10 ** ((ra - rh) / 400))
             new = rh + k * (sh - expected), ra + k * (sa - (1 - expected))
             got = (hg > ag) + 0.5 * (hg == ag)
             state[home], state[away] = (new[0], got), (new[1], 1 - got)
-            out.append((m, *new))
-        return pd.DataFrame(out, columns=["match_id", "home_elo", "away_elo"])
+            return (m, *new)
+
+        return step
 
-    columns = ["match_id", "dt", "hour_utc", "home_id", "away_id", "home_goals", "away_goals"]
-    return matches.select(component, *columns).groupBy(component).applyInPandas(run, "match_id long, home_elo double, away_elo double")
+    return streamed(matches, component, make, ["match_id", "home_id", "away_id", "home_goals", "away_goals"], "match_id long, home_elo double, away_elo double")
 
 
 def sample_pairs(rows: DataFrame, label: str, key: str, k: int = 10, seed: int = 1) -> DataFrame:

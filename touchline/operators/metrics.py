@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.scalars import ratio
 
 LOG_LOSS_FLOOR = 1e-7
+SCORE_BUCKETS = 4096
 
 
 def loss_terms(y: Column, p: Column, floor: float = LOG_LOSS_FLOOR) -> Column:
@@ -25,7 +26,8 @@ def binary_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """n, prevalence, accuracy, Brier, log loss and exact AUC (null for a single class) of rows(y_true, probability) by keys.
 
     AUC counts, for each distinct probability of a group, its positives and negatives; negatives below come from a running sum over the
-    distinct probabilities. Equal probabilities count a half.
+    distinct probabilities of a bucket (of SCORE_BUCKETS even ones) and the sums of lower buckets, so that no task sees a whole group. Equal
+    probabilities count a half.
     """
     y, p = F.col("y_true"), F.col("probability")
     sums = rows.groupBy(*keys).agg(
@@ -33,8 +35,11 @@ def binary_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.avg((p - y) * (p - y)).alias("brier"), F.avg(loss_terms(y, p)).alias("log_loss"),
     )
     steps = rows.groupBy(*keys, "probability").agg(F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = steps.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
+    steps = steps.withColumn("bucket", F.floor(p * SCORE_BUCKETS))
+    earlier = lambda by, *group: F.coalesce(F.sum("neg").over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = steps.groupBy(*keys, "bucket").agg(F.sum("neg").alias("neg")).select(*keys, "bucket", earlier("bucket", *keys).alias("lower"))
+    below = F.col("lower") + earlier("probability", *keys, "bucket")
+    pairs = steps.join(lower, [*keys, "bucket"]).withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
     auc = pairs.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
     return sums.join(auc, keys)
 

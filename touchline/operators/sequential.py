@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.functions.lineage import cut
 
 ELO_SCHEMA = "match_id long, home_elo double, away_elo double, home_elo_after double, away_elo_after double"
 
@@ -33,43 +35,121 @@ class EloTable:
         return rh, ra, rh + change, ra - change
 
 
-def elo_ratings(matches: DataFrame, component: str = "competition") -> DataFrame:
-    """Ratings before and after each match. Teams of different components never meet, so components run in parallel.
+def streamed(rows: DataFrame, component: str, make: Callable[[], Callable[..., tuple]], columns: list[str], out: str) -> DataFrame:
+    """One tuple of `out` for each row of `columns`, from a function that make() makes anew for each component and that keeps the component's state.
 
-    A component's matches are one ordered stream in one task, since each step needs the one before.
+    A component's rows are one ordered stream through one task, since each step needs the one before; the task holds a batch and the state,
+    not the component.
     """
-    columns = ["match_id", "hour_utc", "dt", "season", "home_id", "away_id", "home_goals", "away_goals"]
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = None, None
+        for frame in frames:
+            made = []
+            for key, *values in frame[[component, *columns]].itertuples(index=False, name=None):
+                if step is None or key != now:
+                    now, step = key, make()
+                made.append(step(*values))
+            yield pd.DataFrame(made, columns=names)
+
+    hour = F.coalesce("hour_utc", F.lit(-1)).alias("_hour")
+    ordered = rows.select(F.coalesce(F.col(component).cast("string"), F.lit("")).alias(component), "dt", hour, *columns).repartition(component)
+    return ordered.sortWithinPartitions(component, "dt", "_hour", "match_id").mapInPandas(run, out)
+
+
+def elo_ratings(matches: DataFrame, component: str = "competition") -> DataFrame:
+    """Ratings before and after each match. Teams of different components never meet, so components run in parallel, each as one stream."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def make() -> Callable[..., tuple]:
         table = EloTable()
-        frame = frame.assign(hour_utc=frame.hour_utc.fillna(-1)).sort_values(["dt", "hour_utc", "match_id"])
-        rows = [table.play(*x) for x in frame[["season", "home_id", "away_id", "home_goals", "away_goals"]].itertuples(index=False, name=None)]
-        out = pd.DataFrame(rows, columns=["home_elo", "away_elo", "home_elo_after", "away_elo_after"])
-        out.insert(0, "match_id", frame.match_id.to_numpy())
-        return out
+        return lambda match_id, *x: (match_id, *table.play(*x))
 
-    return matches.select(component, *columns).groupBy(component).applyInPandas(run, ELO_SCHEMA)
+    return streamed(matches, component, make, ["match_id", "season", "home_id", "away_id", "home_goals", "away_goals"], ELO_SCHEMA)
 
 
-def greedy_rounds(matches: DataFrame) -> DataFrame:
-    """(match_id, round_index): in order, a new round begins with the match one of whose teams already plays in the round.
+ROUND_BLOCK = 1 << 20
 
-    One fold over everything: three ids of each match stream through a single task, sorted, and only the current round's teams are held.
-    """
-    ordered = matches.select("match_id", "home_id", "away_id", "dt", F.coalesce("hour_utc", F.lit(-1)).alias("hour")).repartition(1).sortWithinPartitions("dt", "hour", "match_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, playing = 0, set()
-        for frame in frames:
-            made = []
-            for home, away in zip(frame.home_id, frame.away_id, strict=True):
-                if home in playing or away in playing:
-                    index, playing = index + 1, set()
-                playing |= {home, away}
-                made.append(index)
-            yield pd.DataFrame({"match_id": frame.match_id, "round_index": pd.Series(made, dtype="int64")})
+def round_links(matches: DataFrame) -> DataFrame:
+    """(match_id, i, following): each match's place in chronological order, from 0, and that of the match that ends a round which begins with it (null: none does).
 
-    return ordered.mapInPandas(run, "match_id long, round_index long")
+    A round that begins with match i ends where a team plays for the second time from i on: at the least next match of a team over all
+    matches from i on. That running minimum is taken within days, and over a table with one row for each day.
+    """
+    placed = order_rank(matches.select("match_id", "home_id", "away_id", "dt", "hour_utc")).withColumn("i", F.col("rn") - 1)
+    sides = placed.select("i", F.explode(F.array("home_id", "away_id")).alias("team"))
+    again = sides.select("i", F.lead("i").over(Window.partitionBy("team").orderBy("i")).alias("next")).groupBy("i").agg(F.min("next").alias("next"))
+    days = placed.select("i", "match_id", F.coalesce(F.col("dt").cast("date"), F.lit("0001-01-01").cast("date")).alias("day")).join(again, "i")
+    later = F.min("first").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))
+    per_day = days.groupBy("day").agg(F.min("next").alias("first")).select("day", later.alias("later"))
+    inside = F.min("next").over(Window.partitionBy("day").orderBy(F.desc("i")))
+    return days.withColumn("inside", inside).join(per_day, "day").select("match_id", "i", F.least("inside", "later").alias("following"))
+
+
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one block after another from a stream that is sorted by block."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for block, rows in frame.groupby("block", sort=False):
+            if held and held[-1].block.iloc[0] != block:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(rows)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each match of a block: the first match beyond the block that begins a round if it does, and the rounds until then."""
+    for rows in _blocks(frames):
+        first, following = int(rows.i.iloc[0]), rows.following.fillna(-1).astype("int64").to_numpy()
+        n, leave, steps = len(rows), following.copy(), np.ones(len(rows), np.int64)
+        for k in range(n - 1, -1, -1):
+            if first <= following[k] < first + n:
+                leave[k], steps[k] = leave[following[k] - first], steps[following[k] - first] + 1
+        yield pd.DataFrame({"i": rows.i, "leave": pd.Series(leave).where(leave >= 0).astype("Int64"), "steps": steps})
+
+
+def _followed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The round of each match of a block, given the first match in it that begins a round and that round's number."""
+    for rows in _blocks(frames):
+        first, following = int(rows.i.iloc[0]), rows.following.fillna(-1).astype("int64").to_numpy()
+        starts, at = np.zeros(len(rows), np.int64), -1 if pd.isna(rows.entry.iloc[0]) else int(rows.entry.iloc[0])
+        while first <= at < first + len(rows):
+            starts[at - first] = 1
+            at = following[at - first]
+        yield pd.DataFrame({"match_id": rows.match_id, "round_index": rows.number.iloc[0] + np.cumsum(starts) - 1})
+
+
+def greedy_rounds(matches: DataFrame, block: int = ROUND_BLOCK) -> DataFrame:
+    """(match_id, round_index): in order, a new round begins with the match one of whose teams already plays in the round.
+
+    Rounds are the chain of round_links from the first match on. It is followed within blocks of matches; across blocks, each match knows where the chain that
+    it begins leaves its block, and the blocks' entries are found by doubling: joins as many as the logarithm of the number of blocks, none where
+    one block holds all. A task holds one block.
+    """
+    links = round_links(matches).withColumn("block", F.floor(F.col("i") / block))
+    last = links.agg(F.max("block")).first()[0] or 0
+    spark = links.sparkSession
+    if not last:
+        rounds = links.withColumn("entry", F.lit(0).cast("long")).withColumn("number", F.lit(0).cast("long"))
+        return rounds.repartition("block").sortWithinPartitions("block", "i").mapInPandas(_followed, "match_id long, round_index long")
+    links = cut(links)
+    exits = cut(links.select("block", "i", "following").repartition("block").sortWithinPartitions("block", "i").mapInPandas(_exits, "i long, leave long, steps long"))
+    entries, jump = spark.createDataFrame([(0, 0)], "entry long, number long"), exits
+    for _ in range(int(last).bit_length()):
+        reached = entries.join(jump, F.col("entry") == F.col("i")).where("leave is not null").select(F.col("leave").alias("entry"), (F.col("number") + F.col("steps")).alias("number"))
+        entries = cut(entries.union(reached))
+        on = jump.select(F.col("i").alias("leave"), F.col("leave").alias("further"), F.col("steps").alias("more"))
+        jump = cut(jump.join(on, "leave", "left").select("i", F.col("further").alias("leave"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    # a block without an entry belongs to the round before the next entry's, or to the last one; one row a block
+    total = entries.join(exits.where("leave is null"), F.col("entry") == F.col("i")).agg(F.max(F.col("number") + F.col("steps"))).first()[0]
+    first = entries.select(F.floor(F.col("entry") / block).alias("block"), "entry", "number")
+    after = F.min("number").over(Window.orderBy("block").rowsBetween(0, Window.unboundedFollowing))
+    blocks = spark.range(last + 1).select(F.col("id").alias("block")).join(first, "block", "left").select("block", "entry", F.coalesce(after, F.lit(total)).alias("number"))
+    rounds = links.join(blocks, "block")
+    return rounds.repartition("block").sortWithinPartitions("block", "i").mapInPandas(_followed, "match_id long, round_index long")
 
 
 def uniform_rounds(ranked: DataFrame, size: int = 50, least: int = 25) -> DataFrame:
@@ -123,7 +203,7 @@ def order_rank(matches: DataFrame) -> DataFrame:
     from touchline.functions.ordered import with_rank
     from touchline.operators.form import in_order
 
-    return with_rank(matches, F.col("dt").cast("date"), in_order())
+    return with_rank(matches, F.coalesce(F.col("dt").cast("date"), F.lit("0001-01-01").cast("date")), in_order())
 
 
 def team_history_index(team_rows: DataFrame) -> DataFrame:

@@ -66,6 +66,8 @@ def oracle(sql: str) -> str:
     body = sql.format(**names).strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"

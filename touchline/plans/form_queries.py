@@ -221,7 +221,32 @@ k AS (SELECT *, row_number() OVER (PARTITION BY season, competition, dt, hour_ut
       count(*) OVER (PARTITION BY season, competition, dt, hour_utc) AS n FROM b)
 SELECT m.match_id, team_id, round(CASE WHEN n > 1 THEN 1 - (rk - 1) / (n - 1) ELSE 1.0 END, 9) AS place01 FROM {fx_team_matches} m JOIN k USING (season, competition, dt, hour_utc, team_id)"""
 
+ROUNDS = """WITH RECURSIVE m AS MATERIALIZED (SELECT match_id, home_id, away_id, row_number() OVER (ORDER BY dt, coalesce(hour_utc, -1), match_id) AS rn FROM {fx_matches}),
+again AS (SELECT rn, min(nx) AS nx FROM (SELECT rn, lead(rn) OVER (PARTITION BY team ORDER BY rn) AS nx FROM (SELECT rn, unnest([home_id, away_id]) AS team FROM m)) GROUP BY rn),
+links AS MATERIALIZED (SELECT rn, min(nx) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING) AS nb FROM again),
+chain AS (SELECT CAST(1 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS k UNION ALL SELECT nb, k + 1 FROM chain JOIN links USING (rn) WHERE nb IS NOT NULL),
+r AS (SELECT match_id, max(k) OVER (ORDER BY m.rn) AS round_index FROM m LEFT JOIN chain USING (rn))"""
+
+
+def elo_sql(state: str, new: tuple[str, str], step: str, out: str, start: float) -> str:
+    """A competition's matches one after another, with a list of its ten teams' state."""
+    return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT match_id, competition, season, CAST((home_id - league) / 4 AS INT) + 1 AS h, CAST((away_id - league) / 4 AS INT) + 1 AS a,
+  (CASE WHEN home_goals > away_goals THEN 1.0 WHEN home_goals = away_goals THEN 0.5 ELSE 0.0 END)::DOUBLE AS got, row_number() OVER (PARTITION BY competition ORDER BY dt, coalesce(hour_utc, -1), match_id) AS i FROM {{fx_matches}}),
+r AS (SELECT DISTINCT competition, CAST(0 AS BIGINT) AS i, [{start}::DOUBLE for j in range(10)] AS e, [{state} for j in range(10)] AS s, CAST(NULL AS BIGINT) AS match_id, CAST(NULL AS DOUBLE) AS rh, CAST(NULL AS DOUBLE) AS ra, CAST(NULL AS DOUBLE) AS nh, CAST(NULL AS DOUBLE) AS na FROM m
+UNION ALL SELECT competition, i, list_transform(range(1, 11), lambda j: CASE WHEN j = h THEN nh WHEN j = a THEN na ELSE e[j] END), list_transform(range(1, 11), lambda j: CASE WHEN j = h THEN {new[0]} WHEN j = a THEN {new[1]} ELSE s[j] END), match_id, rh, ra, nh, na
+FROM (SELECT *, {step} FROM (SELECT *, 1 / (1 + pow(10, (ra - rh) / 400)) AS ex FROM ({out}))))"""
+
+
+RATING = " ".join([f"CASE WHEN coalesce(r.s[m.{x}], m.season) = m.season THEN r.e[m.{x}] ELSE {C.INIT_ELO} + {C.ELO_SEASON_REGRESSION} * (r.e[m.{x}] - {C.INIT_ELO}) END AS r{x}," for x in "ha"])
+RUNNING_ELO = elo_sql(
+    "CAST(NULL AS BIGINT)", ("season", "season"), f"rh + {C.ELO_K} * (got - ex) AS nh, ra - {C.ELO_K} * (got - ex) AS na",
+    f"SELECT m.competition, m.i, m.match_id, m.season, m.h, m.a, m.got, {RATING} r.e, r.s FROM r JOIN m ON m.competition = r.competition AND m.i = r.i + 1", C.INIT_ELO,
+)
+
 SQL = {
+    "rounds": f"{ROUNDS} SELECT match_id, round_index FROM r",
+    "round_sizes": f"{ROUNDS}, z AS (SELECT round_index, count(*) AS n FROM r GROUP BY ALL) SELECT count(*) AS rounds, min(n) AS least, max(n) AS most, avg(n) AS mean, median(n) AS median FROM z",
+    "running_elo": f"{RUNNING_ELO} SELECT match_id, round(rh, 6) AS home_elo, round(ra, 6) AS away_elo, round(nh, 6) AS home_elo_after, round(na, 6) AS away_elo_after, round(greatest(1e-6, least(1 - 1e-6, (rh - {C.ELO_MIN}) / ({C.ELO_MAX} - {C.ELO_MIN}))), 9) AS home01 FROM r WHERE match_id IS NOT NULL",
     "last5_goals": f"SELECT match_id, team_id, last5_goals FROM (SELECT match_id, team_id, role, {sql_mean('gf', 'team_id', 5, 5.0)} AS last5_goals FROM {{fx_team_matches}}) WHERE role = 'home'",
     "last20_role_goals": f"SELECT match_id, team_id, {sql_mean('gf', 'team_id, role', 20, 5.0)} AS scored, {sql_mean('ga', 'team_id, role', 20, 5.0)} AS conceded FROM {{fx_team_matches}}",
     "points_mean": f"SELECT match_id, team_id, {sql_mean('CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END', 'team_id', 5, 3.0)} AS points5 FROM {{fx_team_matches}}",

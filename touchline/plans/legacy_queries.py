@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline import config as C
 from touchline.operators import legacy, sequential
 from touchline.plans.fixtures import tables
-from touchline.plans.form_queries import PLACES
+from touchline.plans.form_queries import PLACES, elo_sql
 
 
 def legacy_goals(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,14 @@ def history_index(spark: SparkSession, d: str) -> DataFrame:
 
 CLIP3 = "CASE WHEN {x} <= 0 THEN 0.001 WHEN {x} >= 1 THEN 0.999 ELSE {x} END"
 
+RESULT_ELO = elo_sql(
+    "CAST(0.5 AS DOUBLE)", ("got", "1 - got"), f"rh + {C.ELO_K} * (r_h - ex) AS nh, ra + {C.ELO_K} * (r_a - (1 - ex)) AS na",
+    "SELECT m.competition, m.i, m.match_id, m.season, m.h, m.a, m.got, r.e[m.h] AS rh, r.e[m.a] AS ra, r.s[m.h] AS r_h, r.s[m.a] AS r_a, r.e, r.s FROM r JOIN m ON m.competition = r.competition AND m.i = r.i + 1",
+    legacy.INIT_ELO,
+)
+
 SQL = {
+    "result_elo": f"{RESULT_ELO} SELECT match_id, round(nh, 6) AS home_elo, round(na, 6) AS away_elo, round(greatest(0, least(1, (nh - {legacy.ELO_LEAST}) / ({legacy.ELO_MOST} - {legacy.ELO_LEAST}))), 9) AS home01 FROM r WHERE match_id IS NOT NULL",
     "legacy_goals": f"""WITH g AS (SELECT match_id, team_id, avg(gf) OVER (PARTITION BY team_id ORDER BY dt, hour_utc, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m FROM {{fx_team_matches}}),
 l AS (SELECT a.match_id, a.team_id, count(b.match_id) / CAST(14 AS DOUBLE) / 0.24 AS x FROM {{fx_team_matches}} a LEFT JOIN {{fx_team_matches}} b ON a.team_id = b.team_id AND (b.dt, b.hour_utc, b.match_id) < (a.dt, a.hour_utc, a.match_id) AND epoch(a.dt) - epoch(b.dt) <= 14 * 86400 GROUP BY ALL)
 SELECT match_id, team_id, round(CASE WHEN m IS NULL THEN 0.0 ELSE {CLIP3.format(x="(m / 5.0)")} END, 9) AS goals5, round(1 - ({CLIP3.format(x="x")}), 9) AS free14 FROM g JOIN l USING (match_id, team_id)""",

@@ -348,12 +348,15 @@ g AS (SELECT * FROM (SELECT CAST(unnest(range(1, 11)) AS INT) AS quantile) x LEF
 
 STATS = """WITH v AS (SELECT competition, season, home_id, strftime(dt, '%Y-%m') AS month, unnest(['home_shots', 'away_shots', 'home_goals', 'away_goals']) AS stat,
   unnest([home_shots, away_shots, CAST(home_goals AS DOUBLE), CAST(away_goals AS DOUBLE)]) AS value FROM {fx_matches} JOIN {fx_stats} USING (match_id))"""
-LOOK = """WITH l AS (SELECT match_id, side, slot, player_id, CAST((SELECT min(snap_date) FROM {fx_snapshots}) + CAST(match_id % 40 AS INT) AS DATE) AS day FROM {fx_lineups} WHERE slot < 2 AND match_id % 10 = 0),
+LOOK = """WITH l AS (SELECT match_id, side, slot, player_id, CAST((SELECT min(snap_date) FROM {fx_snapshots}) + CAST(match_id % 40 AS INT) AS DATE) AS day FROM {fx_lineups}),
 s AS (SELECT player_id, snap_date, arg_max(skill, event_id) AS skill FROM {fx_snapshots} GROUP BY ALL),
 j AS (SELECT l.*, s.snap_date, s.skill, date_diff('day', s.snap_date, l.day) AS age FROM l JOIN s USING (player_id))"""
 CELL_ROWS = """c AS (SELECT event_id, user_id % 3 AS fold, 'L' || (user_id % 4) AS competition, event_type AS position, event_id % 5 AS skill_no, CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE value END AS value FROM {events})"""
 
 SQL = {
+    "thresholded_auc": f"""{P2}, g AS (SELECT i, CASE WHEN i = 0 THEN -1e-7 WHEN i = 199 THEN 1 + 1e-7 ELSE i / 199.0::DOUBLE END AS t FROM (SELECT unnest(range(200)) AS i)),
+r AS (SELECT model_name, i, CAST(count(*) FILTER (WHERE y_true = 1 AND probability > t) AS DOUBLE) / count(*) FILTER (WHERE y_true = 1) AS tpr, CAST(count(*) FILTER (WHERE y_true = 0 AND probability > t) AS DOUBLE) / count(*) FILTER (WHERE y_true = 0) AS fpr FROM p, g GROUP BY ALL),
+w AS (SELECT model_name, (fpr - lag(fpr) OVER x) * (tpr + lag(tpr) OVER x) / 2 AS area FROM r WINDOW x AS (PARTITION BY model_name ORDER BY i DESC)) SELECT model_name, round(sum(area), 6) AS auc FROM w GROUP BY ALL""",
     "scope_metrics": f"""{P2}, s AS (SELECT *, unnest(['pooled', 'competition', 'season', 'competition_season']) AS scope, unnest(['', competition, CAST(season AS VARCHAR), competition || '|' || season]) AS scope_key FROM p),
 {metric_sql('model_name, scope, scope_key')} SELECT model_name, scope, scope_key, n, round(prevalence, 6) AS prevalence, round(accuracy, 6) AS accuracy, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(auc, 6) AS auc FROM a JOIN auc USING (model_name, scope, scope_key)""",
     "model_ranking": f"{P2}, s AS (SELECT * FROM p), {metric_sql('model_name')} SELECT model_name, round(auc, 6) AS auc, row_number() OVER (ORDER BY auc DESC NULLS LAST, model_name) AS rank FROM auc",
