@@ -10,8 +10,8 @@ at most DELTA of the edges are new.
 Nearness is the largest inner product. The graph is built on vectors of 8-bit components with a scale each; scores that are returned are of
 the original vectors, in double precision.
 
-Defined results: rows whose vector is null, empty, all zero or holds a null or non-finite component, or has another length than most, or
-whose vec_id is null, take no part; repeated vec_ids count once (the first of their vectors in order); ties go to the smaller vec_id; with fewer candidates than k, all are
+Defined results: rows whose vector is null, empty, all zero or holds a null or non-finite component, or
+whose vec_id is null, take no part; a vector shorter than the longest counts as followed by zeros; repeated vec_ids count once (the first of their vectors in order); ties go to the smaller vec_id; with fewer candidates than k, all are
 returned; an empty table gives no rows; other columns are not read.
 """
 
@@ -38,16 +38,20 @@ EXPAND = 96
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles, -0.0 as 0.0 so that equal vectors are the same bytes) of the rows that take part, each vec_id once."""
+    """(vec_id, embedding as doubles, -0.0 as 0.0 so that equal vectors are the same bytes) of the rows that take part, each vec_id once.
+
+    Vectors shorter than the longest are followed by zeros, which changes no inner product.
+    """
     plain = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
     wide = rows.select(F.col("vec_id").cast("long").alias("vec_id"), plain.alias("embedding"))
     good = (
         F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.exists("embedding", lambda x: x != 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    wide = wide.where(F.coalesce(good, F.lit(False))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = wide.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select(F.col("n").alias("_n"))
-    return wide.join(F.broadcast(sizes), F.size("embedding") == F.col("_n"), "left_semi")
+    wide = wide.where(F.coalesce(good, F.lit(False)))
+    longest = wide.agg(F.max(F.size("embedding"))).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("embedding"))
+    return wide.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("embedding", F.concat("embedding", zeros))
 
 
 def quantised(vectors: np.ndarray) -> list[bytes]:
