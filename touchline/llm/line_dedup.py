@@ -15,24 +15,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, fresh
+from touchline.llm.common import bounded_batches, fresh, small_batches
 
 WINDOW = 3
+WHITE = " \t\v\f\r"
 LONG_WORDS = 50
 
 
+def windows_of(text: str, window: int, long_words: int) -> list[tuple[int, int, str]]:
+    """(first line, number of lines, body) of each window of a text."""
+    own = [x.strip(WHITE) for x in text.split("\n")]
+    n = len(own)
+    found = [(i, window, "\n".join(own[i : i + window])) for i in range(n - window + 1)] if n > window else [(0, n, "\n".join(own))]
+    found = [x for x in found if len(x[2]) >= x[1]]  # else its lines are blank
+    if n > 1:
+        found += [(i, 1, x) for i, x in enumerate(own) if len(x) > 2 * long_words and len(x.encode().split()) > long_words]
+    return found
+
+
 def line_windows(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, at, pos, lines, w1, w2): the hashes of each window and the number of its lines; at: the text's hash."""
-    trimmed = F.expr(r"transform(split(text, '\n', -1), x -> regexp_replace(x, '^[ \\t\\x0B\\f\\r]+|[ \\t\\x0B\\f\\r]+$', ''))")
-    own = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("at"), trimmed.alias("own"))
-    runs = f"transform(sequence(1, greatest(size(own) - {window - 1}, 1)), i -> struct(i - 1 as pos, least(size(own), {window}) as lines, array_join(slice(own, i, {window}), '\n') as body))"
-    single = r"filter(transform(own, (x, i) -> struct(i as pos, 1 as lines, x as body)), s -> length(s.body) > {0} and regexp_count(s.body, '[^\\x20\\x09-\\x0D]+') > {1})".format(2 * long_words, long_words)
-    rows = own.select("doc_id", "at", F.inline(F.expr(f"concat({runs}, if(size(own) > 1, {single}, array()))"))).where(F.length(F.translate("body", "\n", "")) > 0)
-    return rows.select("doc_id", "at", "pos", "lines", F.xxhash64("body").alias("w1"), F.xxhash64(F.lit("second"), "body").alias("w2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2 << 20):
+            found = [windows_of(x, window, long_words) for x in batch.column("text").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            pos, lines = (pa.array([y[k] for x in found for y in x], pa.int32()) for k in (0, 1))
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(y[2].encode()) for x in found for y in x]), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("at").take(row), pos, lines, *(pa.array(np.ascontiguousarray(x)) for x in digests.T)], ["doc_id", "at", "pos", "lines", "w1", "w2"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("at"), F.col("text").alias("text"))
+    return bounded_batches(texts).mapInArrow(run, f"doc_id {kind}, at long, pos int, lines int, w1 long, w2 long")
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
