@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Made statistics: name, multiplier of the match id, modulus and divisor.
+STAT_RULES = (
+    ("xg", 17, 300, 100), ("pre_match_xg", 13, 250, 100), ("shots_on_target", 7, 13, 1), ("shots_off_target", 11, 19, 1), ("shots", 5, 30, 1), ("corners", 3, 14, 1),
+    ("possession", 23, 101, 1), ("fouls", 29, 23, 1), ("attacks", 37, 170, 1), ("dangerous_attacks", 41, 110, 1),
+)
+
 VIEWS = {
     "fx_matches": """
         select b.*, cast('L' || cast(league as string) as string) as competition,
@@ -20,6 +26,10 @@ VIEWS = {
         select m.match_id, coalesce(l.q, -1.0) as home_shots, coalesce(l.d, -1.0) as away_shots
         from {fx_matches} m left join (select l_orderkey, sum(l_quantity) as q, cast(count(*) as double) as d from {lineitem} group by l_orderkey) l
           on l.l_orderkey = m.match_id""",
+    "fx_full_stats": "select m.*, " + ", ".join(
+        f"case when (match_id + {k + 7 * (side == 'away')}) % 19 = 0 then cast(-1 as double) else cast((match_id * {prime} + {31 * (side == 'away')}) % {most} as double) / {parts} end as {side}_{name}"
+        for side in ("home", "away") for k, (name, prime, most, parts) in enumerate(STAT_RULES)
+    ) + " from {fx_matches} m",
     "fx_team_matches": """
         select match_id, dt, hour_utc, season, competition, home_id as team_id, 'home' as role, home_goals as gf, away_goals as ga from {fx_matches}
         union all

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline import config as C
 from touchline.functions import scalars as S
-from touchline.operators import form, league, sequential
+from touchline.operators import features, form, league, sequential
 from touchline.plans.fixtures import tables
 
 CLIP = "CASE WHEN {x} <= 0 THEN 1e-6 WHEN {x} >= 1 THEN 1 - 1e-6 ELSE {x} END"
@@ -207,6 +207,11 @@ def folds(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("fold", "part").agg(F.count("*").alias("matches"), F.min("match_id").alias("least"), F.max("match_id").alias("most"))
 
 
+def match_features(spark: SparkSession, d: str) -> DataFrame:
+    made = features.match_features(tables(spark, d, "fx_full_stats"), None, ("L0", "L1", "L2"))
+    return made.select("match_id", F.col("comp_id").cast("long").alias("comp_id"), "home_id", "away_id", *[F.round(x, 6).alias(x) for x in features.feature_names()])
+
+
 UNIFORM = """WITH r AS (SELECT match_id, row_number() OVER (ORDER BY dt, hour_utc, match_id) AS rn, count(*) OVER () AS n FROM {fx_matches}),
 u AS (SELECT match_id, CAST(floor((rn - 1) / 51) AS BIGINT) - CASE WHEN floor((rn - 1) / 51) = floor((n - 1) / 51) AND floor((n - 1) / 51) > 0 AND n % 51 > 0 AND n % 51 < 25 THEN 1 ELSE 0 END AS round_index
       FROM r WHERE (rn - 1) % 51 <> 50)
@@ -243,7 +248,44 @@ RUNNING_ELO = elo_sql(
     f"SELECT m.competition, m.i, m.match_id, m.season, m.h, m.a, m.got, {RATING} r.e, r.s FROM r JOIN m ON m.competition = r.competition AND m.i = r.i + 1", C.INIT_ELO,
 )
 
+def features_sql() -> str:
+    """Every feature by its own window over a view with two rows a match; ratings and places by the texts above."""
+    names = list(features.SIDE_STATS)
+    sides = " UNION ALL ".join(
+        f"SELECT match_id, dt, hour_utc, {own}_id AS team_id, '{own}' AS role, {own}_goals AS gf, {opp}_goals AS ga, " + ", ".join(f"nullif({own}_{x}, -1) AS own_{x}, nullif({opp}_{x}, -1) AS opp_{x}" for x in names) + " FROM {fx_full_stats}"
+        for own, opp in (("home", "away"), ("away", "home"))
+    )
+    mean = lambda value, n, scale, by="team_id": sql_mean(value, by, n, C.SCALES[scale]).replace(", 9)", ", 6)")
+    points = "CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END"
+    rolling = {}
+    for n in features.LAST:
+        rolling |= {f"{x}_last_{n}": mean(f"own_{x}", n, scale) for x, scale in features.SIDE_STATS.items()}
+        rolling |= {f"total_{x}_last_{n}": mean(f"own_{x} + opp_{x}", n, scale) for x, scale in features.TOTAL_STATS.items()}
+        rolling |= {f"points_last_{n}": mean(points, n, "points"), f"goals_last_{n}": mean("gf", n, "goals")}
+        rolling |= {f"role_{k}_last_{n}": mean(c, n, "goals", "team_id, role") for k, c in (("scored", "gf"), ("conceded", "ga"))}
+    load = ", ".join(f"round({CLIP.format(x=f'(count(*) FILTER (WHERE days <= {n}) / {n}.0 / 0.24)')}, 6) AS load_{n}" for n in features.LOAD_DAYS)
+    clip = lambda x: f"round({CLIP.format(x=f'({x})')}, 6)"
+    shown = [x for x in features.side_features() if x not in ("elo",)]
+    both = ", ".join(f"max({x}) FILTER (WHERE role = '{side}') AS {side}_{x}" for side in ("home", "away") for x in shown)
+    ctes, places = PLACES.rsplit("\nSELECT ", 1)
+    return f"""{RUNNING_ELO}, {ctes.removeprefix("WITH ").replace("s AS (SELECT DISTINCT", "ps AS (SELECT DISTINCT").replace("SELECT s.*", "SELECT ps.*").replace("FROM s JOIN", "FROM ps JOIN")},
+places AS (SELECT {places}),
+v AS ({sides}),
+roll AS (SELECT match_id, team_id, role, {", ".join(f"{v} AS {k}" for k, v in rolling.items())} FROM v),
+near AS (SELECT a.match_id, a.team_id, date_diff('day', b.dt, a.dt) AS days FROM v a LEFT JOIN v b ON a.team_id = b.team_id AND (b.dt, b.hour_utc, b.match_id) < (a.dt, a.hour_utc, a.match_id) AND date_diff('day', b.dt, a.dt) <= 25),
+load AS (SELECT match_id, team_id, {load} FROM near GROUP BY ALL),
+sided AS (SELECT match_id, {both} FROM (SELECT roll.*, round(place01, 6) AS place, load.* EXCLUDE (match_id, team_id) FROM roll JOIN load USING (match_id, team_id) JOIN places USING (match_id, team_id)) GROUP BY match_id),
+ends AS (SELECT season, competition, min(dt) AS first_dt, max(dt) AS last_dt FROM {{fx_matches}} GROUP BY ALL)
+SELECT match_id, CASE competition WHEN 'L0' THEN 0 WHEN 'L1' THEN 1 WHEN 'L2' THEN 2 ELSE -1 END::BIGINT AS comp_id, home_id, away_id, {clip("(season - 2021) / 3.0")} AS season,
+  round((sin(2 * pi() * hour_utc / 24.0) + 1) / 2, 6) AS hour_sin, round((cos(2 * pi() * hour_utc / 24.0) + 1) / 2, 6) AS hour_cos,
+  round((sin(2 * pi() * (month(dt) - 1) / 12.0) + 1) / 2, 6) AS month_sin, round((cos(2 * pi() * (month(dt) - 1) / 12.0) + 1) / 2, 6) AS month_cos,
+  {clip("coalesce((epoch(dt) - epoch(first_dt) + hour_utc * 3600) / 86400.0 / nullif((epoch(last_dt) - epoch(first_dt)) / 86400.0, 0), 0.0)")} AS position_in_season,
+  sided.* EXCLUDE (match_id), {clip(f"(rh - {C.ELO_MIN}) / ({C.ELO_MAX} - {C.ELO_MIN})")} AS home_elo, {clip(f"(ra - {C.ELO_MIN}) / ({C.ELO_MAX} - {C.ELO_MIN})")} AS away_elo
+FROM {{fx_matches}} JOIN sided USING (match_id) JOIN ends USING (season, competition) JOIN (SELECT match_id, rh, ra FROM r WHERE match_id IS NOT NULL) USING (match_id)"""
+
+
 SQL = {
+    "match_features": features_sql(),
     "rounds": f"{ROUNDS} SELECT match_id, round_index FROM r",
     "round_sizes": f"{ROUNDS}, z AS (SELECT round_index, count(*) AS n FROM r GROUP BY ALL) SELECT count(*) AS rounds, min(n) AS least, max(n) AS most, avg(n) AS mean, median(n) AS median FROM z",
     "running_elo": f"{RUNNING_ELO} SELECT match_id, round(rh, 6) AS home_elo, round(ra, 6) AS away_elo, round(nh, 6) AS home_elo_after, round(na, 6) AS away_elo_after, round(greatest(1e-6, least(1 - 1e-6, (rh - {C.ELO_MIN}) / ({C.ELO_MAX} - {C.ELO_MIN}))), 9) AS home01 FROM r WHERE match_id IS NOT NULL",
@@ -299,6 +341,7 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
+    match_features,
     last5_goals, last20_role_goals, points_mean, match_load, stat_mean_missing, total_stat_mean, lag_previous_match, last_matches, sequence_features, table_position, season_table, season_flag, season_breakdown,
     season_dates, season_position, select_league, excluded_anti, infer_round, dense_ids, link_membership, membership_faults, most_frequent, target_modes, cyclic_time, scalers, name_key, text_helpers,
     running_elo, rounds, round_sizes, repeated_teams, uniform_rounds, folds,
