@@ -52,8 +52,10 @@ def brute_losses(texts, targets):
         yield out
 
 
-@pytest.mark.parametrize("chunk_bytes", [1, 700, 1 << 20])
-def test_lm_score_against_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "run"), [(1, 1 << 18), (700, 40), (700, 1), (1 << 20, 1 << 18)])
+def test_lm_score_against_brute_force(spark, monkeypatch, chunk_bytes, run):
+    """One chunk a document, several chunks and buckets, everything in one."""
+    monkeypatch.setattr(lm_score, "RUN", run)
     texts = texts_of(80) + ["", None, "the of the", "twice seen text", "twice seen text", "hapax"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("chunk", F.lit(1))
     targets = spark.createDataFrame([(i,) for i in range(0, 80, 3)] * 2 + [(None,)], "doc_id long")

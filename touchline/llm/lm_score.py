@@ -6,10 +6,10 @@ less the background loss: lower is nearer to the target. A document is scored by
 look likely to the model just because it was counted.
 
 Documents are packed into chunks of CHUNK_BYTES, each with words numbered for itself. A chunk sends its distinct words and bigrams, as 64-bit hashes with
-counts; a shuffle by hash sums them and sends the sums back to the chunks that asked, where documents are scored. What occurs in one chunk only is not sent back,
-since the chunk knows it. So what is shuffled is each chunk's distinct words and bigrams, not every token; no table of the corpus's or the vocabulary's size is
+counts; a shuffle by hash sums them and sends the sums back to the chunks that asked, where documents are scored. So what is shuffled is each chunk's distinct
+words and bigrams, not every token; no table of the corpus's or the vocabulary's size is
 broadcast or comes to the driver; a frequent bigram occurs as often as there are chunks, and a task holds one chunk. Hashes travel in buckets of equal leading
-bits, as many as make RUN hashes a bucket, sorted and packed as differences in byte planes: some six bytes each.
+bits, as many as make RUN hashes a bucket, sorted and packed as differences in byte planes: some six bytes each. Back go only the sums, in the same order.
 
 Defined results: null and blank text has no tokens and null losses; documents that repeat are scored each, and counted each; a doc_id that is null is never a target; without a
 target (or background) document its model is the uniform one; other columns are not read; an empty table gives no rows; a text longer than a chunk is a chunk.
@@ -42,19 +42,29 @@ RUN, TOGETHER = 1 << 18, 1 << 21
 SMALL_TARGETS = 2_000_000
 
 
-def packed(codes: np.ndarray, nt: np.ndarray, nb: np.ndarray) -> bytes:
-    """Sorted hashes and their target and background counts as one string: differences and counts in byte planes, compressed."""
-    columns = (np.diff(codes.astype(np.uint64), prepend=np.uint64(0)), nt.astype(np.uint64), nb.astype(np.uint64))
-    return zstandard.compress(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns), 1)
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of 64-bit whole numbers as one string: their lengths, then all in byte planes, compressed."""
+    planes = [np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns]
+    return np.array([len(x) for x in columns], "<u4").tobytes() + zstandard.compress(b"".join(planes), 1)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    """(3, n) of packed(): hashes and counts."""
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(3, 8, -1)
-    out = np.array(planes.transpose(0, 2, 1), order="C").view(np.uint64)[:, :, 0]
-    with np.errstate(over="ignore"):
-        out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
+def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays of packed()."""
+    sizes = np.frombuffer(raw, "<u4", n)
+    body, ends = zstandard.decompress(raw[4 * n :]), 8 * np.cumsum(sizes.astype(np.int64))
+    return [np.array(np.frombuffer(body[e - 8 * int(m) : e], np.uint8).reshape(8, -1).T, order="C").view("<u8").ravel() for e, m in zip(ends.tolist(), sizes, strict=True)]
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+
+
+def bucketed(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of sorted hashes, and where each begins and how many hashes it has."""
+    bucket = (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+    found, first, sizes = np.unique(bucket, return_index=True, return_counts=True)
+    return found, first, sizes
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -72,7 +82,7 @@ def _packed(size: int):
             nonlocal numbers, rows, held, seq
             doc_ids, targets, ids = zip(*rows, strict=True)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-            columns = [[seq], [doc_ids], [targets], [[len(x) for x in ids]], [zstandard.compress(np.concatenate(ids).tobytes(), 1)], [hashes.tobytes()]]
+            columns = [[seq], [doc_ids], [targets], [[len(x) for x in ids]], [zstandard.compress(np.concatenate(ids).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], [hashes.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             numbers, rows, held, seq = defaultdict(count().__next__), [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["chunk", "doc_ids", "targets", "sizes", "ids", "words"])
@@ -106,7 +116,7 @@ class Chunk:
     def __init__(self, row: dict) -> None:
         self.doc_ids, self.targets, sizes = row["doc_ids"], np.array(row["targets"], bool), np.array(row["sizes"], np.int64)
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.w = np.frombuffer(zstandard.decompress(row["ids"]), "<i4").astype(np.int64)
+        self.w = np.array(np.frombuffer(zstandard.decompress(row["ids"]), np.uint8).reshape(4, -1).T, order="C").view("<i4").ravel().astype(np.int64)
         self.sizes, n = sizes, len(self.words)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.v = np.concatenate([[n], self.w[:-1]]) if len(self.w) else self.w
@@ -149,38 +159,38 @@ def _counts(kind: int, bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 codes, n = Chunk(row).known(kind)
-                if not len(codes):
-                    continue
-                by = np.argsort(codes)
+                by = np.argsort(codes, kind="stable")
                 codes, n = codes[by], n[:, by]
-                bucket = (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
-                cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(codes))
-                parts = [packed(codes[a:b], n[0, a:b], n[1, a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(parts), row["chunk"])), pa.array(parts, pa.binary())], ["bucket", "chunk", "packed"])
+                bucket, first, sizes = bucketed(codes, bits)
+                parts = [packed(np.diff(codes[a : a + m], prepend=np.uint64(0)), n[0, a : a + m], n[1, a : a + m]) for a, m in zip(first, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.full(len(parts), row["chunk"])), pa.array(parts, pa.binary())], ["bucket", "chunk", "packed"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket in; sums of the hashes of several chunks out, packed for each chunk, and under chunk -1 the number of words and of their
-    occurrences. Holds the rows of one bucket, or of several up to TOGETHER hashes."""
+    """Rows sorted by bucket in; out for each chunk its buckets and the sums of their hashes in order, packed, and under chunk -1 the number of words and of
+    their occurrences. Holds the rows of one bucket, or of several up to TOGETHER hashes."""
 
-    def out(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        chunk = np.repeat([x for x, _ in held], [y.shape[1] for _, y in held])
-        code, *n = np.concatenate([y for _, y in held], axis=1)
+    def out(held: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
+        chunks, sizes = np.array([x[1] for x in held]), np.array([len(x[2][0]) for x in held])
+        code, *n = (np.concatenate([x[2][k] for x in held]) for k in range(3))
         by = np.argsort(code, kind="stable")
-        chunk, code, n = chunk[by], code[by], [x[by].astype(np.int64) for x in n]
-        first = np.concatenate([[True], code[1:] != code[:-1]])
-        at, edge = np.cumsum(first) - 1, np.flatnonzero(first)
-        sums = [np.add.reduceat(x, edge) for x in n]
-        word = code[edge] != START
-        several = (np.diff(np.append(edge, len(code))) > 1)[at]
-        by = np.flatnonzero(several)[np.argsort(chunk[several], kind="stable")]
-        chunk, code, nt, nb = chunk[by], code[by], sums[0][at[by]], sums[1][at[by]]
-        cut = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk)) if len(chunk) else np.zeros(1, int)
-        parts = [packed(code[a:b], nt[a:b], nb[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        ordered = code[by]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        at, edge = np.empty(len(code), np.int64), np.flatnonzero(first)
+        at[by] = np.cumsum(first) - 1
+        sums = [np.add.reduceat(x[by].astype(np.int64), edge) for x in n]
+        word = ordered[edge] != START
         total = " ".join(str(x) for x in (word.sum(), sums[0][word].sum(), sums[1][word].sum())).encode()
-        return pa.RecordBatch.from_arrays([pa.array([*chunk[cut[:-1]].tolist(), -1], pa.int64()), pa.array([*parts, total], pa.binary())], ["chunk", "packed"])
+        starts = np.cumsum(sizes) - sizes
+        own = np.argsort(chunks, kind="stable")
+        names, begin = np.unique(chunks[own], return_index=True)
+        parts = []
+        for rows in np.split(own, begin[1:]):
+            back = at[runs(starts[rows], sizes[rows])]
+            parts.append(packed(np.array([held[i][0] for i in rows]), sums[0][back], sums[1][back]))
+        return pa.RecordBatch.from_arrays([pa.array([*names.tolist(), -1], pa.int64()), pa.array([*parts, total], pa.binary())], ["chunk", "packed"])
 
     held, size, last = [], 0, None
     for batch in batches:
@@ -188,14 +198,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != last and size > TOGETHER:
                 yield out(held)
                 held, size = [], 0
-            held.append((chunk, unpacked(raw)))
-            size, last = size + held[-1][1].shape[1], bucket
+            steps, nt, nb = unpacked(raw, 3)
+            held.append((bucket, chunk, [np.cumsum(steps, dtype=np.uint64), nt, nb]))
+            size, last = size + len(nt), bucket
     if held:
         yield out(held)
 
 
 def summed(chunks: DataFrame, kind: int, bits: int) -> DataFrame:
-    """(chunk, packed) sums of the words or pairs of each chunk that others have too, and totals under chunk -1; bits: leading bits of a bucket."""
+    """(chunk, packed) sums of the words or pairs of each chunk, and totals under chunk -1; bits: leading bits of a bucket."""
     rows = bounded_batches(chunks).mapInArrow(_counts(kind, bits), COUNTS)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, SUMS)
 
@@ -213,16 +224,18 @@ def losses(pair: np.ndarray, history: np.ndarray, word: np.ndarray, total: np.nd
     return -np.log(np.where(history > 0, mix * pair / np.maximum(history, 1) + (1 - mix) * plain, plain))
 
 
-def _corrected(codes: np.ndarray, own: np.ndarray, replies: list[bytes]) -> np.ndarray:
-    """own (2, n) counts of codes, replaced by the sums that came back."""
+def _corrected(codes: np.ndarray, own: np.ndarray, replies: list[bytes], bits: int) -> np.ndarray:
+    """(2, n) sums of codes that came back for each of their buckets, in order."""
     out, by = own.copy(), np.argsort(codes, kind="stable")
+    found, first, sizes = bucketed(codes[by], bits)
     for raw in replies:
-        got, nt, nb = unpacked(raw)
-        out[:, by[np.searchsorted(codes, got, sorter=by)]] = nt, nb
+        buckets, nt, nb = unpacked(raw, 3)
+        at = np.searchsorted(found, buckets.astype(np.int64))
+        out[:, by[runs(first[at], sizes[at])]] = nt, nb
     return out
 
 
-def _score_chunk(sizes: tuple[int, int, int], mix: float):
+def _score_chunk(sizes: tuple[int, int, int], bits: int, mix: float):
     vocabulary, *everything = sizes
 
     def run(chunks: pa.Table, model: pa.Table) -> pa.Table:
@@ -230,7 +243,7 @@ def _score_chunk(sizes: tuple[int, int, int], mix: float):
         for row in chunks.to_pylist():
             chunk = Chunk(row)
             replies = list(zip(model.column("kind").to_pylist(), model.column("packed").to_pylist(), strict=True))
-            words, pairs = (_corrected(*chunk.known(kind), [x for k, x in replies if k == kind]) for kind in (WORDS, PAIRS))
+            words, pairs = (_corrected(*chunk.known(kind), [x for k, x in replies if k == kind], bits) for kind in (WORDS, PAIRS))
             n = len(chunk.words) + 1
             own_pair, own_word = chunk.own(chunk.pair, len(chunk.codes)), chunk.own(chunk.w, n)
             first = np.concatenate([[0], own_word[:-1]]) if len(own_word) else own_word
@@ -257,7 +270,7 @@ def score(docs: DataFrame, targets: DataFrame, mix: float = MIX, chunk_bytes: in
     words = stored(summed(chunks, WORDS, bits), "word-sums")
     model = words.withColumn("kind", F.lit(WORDS)).union(summed(chunks, PAIRS, bits).withColumn("kind", F.lit(PAIRS))).where("chunk >= 0")
     kinds = "doc_id long, n_tokens long, target_loss double, background_loss double"
-    rows = chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(totals(words), mix), kinds)
+    rows = chunks.groupBy("chunk").cogroup(model.groupBy("chunk")).applyInArrow(_score_chunk(totals(words), bits, mix), kinds)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
