@@ -89,9 +89,10 @@ def test_nearest_is_exact_when_small_and_handles_odd_rows(spark):
     good = {i: rng.standard_normal(8).tolist() for i in range(60)}
     for i in range(30, 50):
         good[i] = good[30]
-    odd = [(100, None), (101, [0.0] * 8), (102, [1.0, None] * 4), (103, [float("nan")] * 8), (104, [1.0]), (None, [1.0] * 8), (5, good[5])]
+    odd = [(100, None), (101, [0.0] * 8), (102, [1.0, None] * 4), (103, [float("nan")] * 8), (104, [3.0]), (105, []), (None, [1.0] * 8), (5, good[5])]
     rows = spark.createDataFrame([*good.items(), *odd], "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
     got = nn_descent.nearest(rows, F.col("vec_id") % 20 == 0, k=20, rounds=2).orderBy("query_id", "rank").collect()
+    good[104] = [3.0] + [0.0] * 7  # shorter vectors count as followed by zeros
     for q in (0, 20, 40):
         mine = [r for r in got if r.query_id == q]
         assert [r.vec_id for r in mine] == exact(good, q, 20) and [r["rank"] for r in mine] == list(range(1, 21))
@@ -126,6 +127,22 @@ def test_nearest_recall(spark):
     assert recall >= 0.9
 
 
+def test_nearest_recall_of_clusters_with_unequal_norms(spark):
+    """The defaults, on clusters (one holds a third of the rows) of vectors whose lengths differ by a factor of ten, some with -0.0."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((25, 16)) * 3
+    own = np.where(rng.random(4000) < 1 / 3, 0, rng.integers(0, 25, 4000))
+    made = (centres[own] + rng.standard_normal((4000, 16))) * rng.uniform(0.3, 3, (4000, 1))
+    made[::40, 3] = -0.0
+    vectors = {i: x.tolist() for i, x in enumerate(made)}
+    got = collections.defaultdict(list)
+    rows = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>")
+    for r in nn_descent.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 200 and all(len(set(x)) == 20 for x in got.values())
+    assert np.mean([len(set(got[q]) & set(exact(vectors, q, 20))) / 20 for q in range(0, 4000, 20)]) >= 0.95
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_shard_round_trip(kind):
     rng = np.random.default_rng(2)

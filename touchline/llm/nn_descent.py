@@ -33,7 +33,7 @@ BLOCK = 1024
 PROJECTIONS = 8
 DELTA = 0.001
 OFFERS = 10
-BEAM = 192
+BEAM, BEAM_STEP = 192, 12
 EXPAND = 96
 
 
@@ -241,10 +241,14 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("members"), pa.array(s)], ["query_id", "members", "s"])
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, rounds: int | None = None, beam: int = BEAM, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query holds, among all others."""
+def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE, rounds: int | None = None, beam: int | None = None, seed: int = 7) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query holds, among all others.
+
+    beam: BEAM, or BEAM_STEP for each doubling of the nodes where that is more.
+    """
     vectors = valid_vectors(rows)
     nodes = stored(node_table(vectors, k, seed), "nodes")
+    beam = beam or max(BEAM, BEAM_STEP * nodes.count().bit_length())
     graph = neighbour_graph(nodes, degree, rounds)
     asked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
     whole = nodes.select(F.col("id").alias("start"), "full", "q")
