@@ -69,6 +69,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(df: DataFrame, *names: str) -> DataFrame:
+    """df whose columns of these names, in any case, have exactly these names."""
+    for c in df.columns:
+        if c.lower() in names and c not in names and c.lower() not in df.columns:
+            df = df.withColumnRenamed(c, c.lower())
+    return df
+
+
 def _bytes(text: str) -> int:
     number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", text.lower()).groups()
     return int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) if int(number) >= 0 else 1 << 62

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, small_batches
+from touchline.llm.common import bounded_batches, named, small_batches
 from touchline.llm.memo import LIMIT, LONGEST, one_thread, space_starts, spaced_words
 
 BLOCK = 128
@@ -193,8 +193,9 @@ class PieceTree:
 
 def count_edits(docs: DataFrame, tokenizer_path: str, pattern: str, column: str = "edits") -> DataFrame:
     """docs(doc_id, text, edits array of EDIT) with tokens_before, n_tokens, n_chars_after, n_pieces and n_reencoded; without text and edits."""
+    docs = named(docs, "text", column)
     extra = ["tokens_before", "n_tokens", "n_chars_after", "n_pieces", "n_reencoded"]
-    rest = [f for f in docs.schema if f.name not in (column, "text", *extra)]
+    rest = [f for f in docs.schema if f.name.lower() not in (column.lower(), "text", *extra)]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

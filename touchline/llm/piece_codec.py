@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from touchline.llm.common import bounded_batches, small_batches
+from touchline.llm.common import bounded_batches, named, small_batches
 from touchline.llm.memo import MemoEncoder, as_bytes, joined_batches
 
 SPACE = "▁"
@@ -170,7 +170,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = 2, keep_ids:
     """docs with n_tokens, ids_crc32 (of little-endian 32-bit ids), parity (sentencepiece gives the same ids), decoded_ok (decoding gives
     the text back) and, if keep_ids, the ids."""
     extra = {"n_tokens": pa.int64(), "ids_crc32": pa.int64(), "parity": pa.bool_(), "decoded_ok": pa.bool_()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
-    kept = bounded_batches(docs.drop("ids", *extra))
+    kept = bounded_batches(named(docs, "text").drop("ids", *extra))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, small_batches
+from touchline.llm.common import bounded_batches, named, small_batches
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -131,7 +131,7 @@ def measure(texts: list[str | None], min_repeat: int) -> dict[str, np.ndarray]:
 
 def quality_measures(docs: DataFrame, min_repeat: int = MIN_REPEAT) -> DataFrame:
     """docs with the measures of RESULT (columns of those names replaced)."""
-    kept = bounded_batches(docs.drop(*RESULT))
+    kept = bounded_batches(named(docs, "doc_id", "text").drop(*RESULT))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

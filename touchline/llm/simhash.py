@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, fresh, small_batches, stored
+from touchline.llm.common import bounded_batches, fresh, named, small_batches, stored
 
 WORDS = 4
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs with fp, the fingerprint's 64 bits as a long."""
-    kept = bounded_batches(docs.drop("fp"))
+    kept = bounded_batches(named(docs, "text").drop("fp"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
