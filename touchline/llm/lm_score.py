@@ -39,7 +39,7 @@ CHUNK = "chunk long, doc_ids array<long>, targets array<boolean>, sizes array<in
 COUNTS = "bucket long, chunk long, packed binary"
 SUMS = "chunk long, packed binary"
 RUN, TOGETHER = 1 << 18, 1 << 21
-SMALL_TARGETS = 2_000_000
+SMALL_TARGETS = 250_000
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -103,7 +103,7 @@ def _packed(size: int):
 def packed_chunks(docs: DataFrame, targets: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """The chunks of docs(doc_id, text), stored; a document whose doc_id is in targets is a target."""
     wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    if wanted.count() <= SMALL_TARGETS:  # 16 MB of ids; more are joined by a shuffle of both sides
+    if wanted.count() <= SMALL_TARGETS:  # some 30 MB as a hash table; more are joined by a shuffle of both sides
         wanted = F.broadcast(wanted)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left")
     marked = marked.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
