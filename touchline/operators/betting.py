@@ -31,15 +31,15 @@ def opportunities(priced: DataFrame) -> DataFrame:
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
     under, over = side("under", F.col("p_under"), F.col("y_true") == 1), side("over", 1 - F.col("p_under"), F.col("y_true") == 0)
-    kept = ["match_id", "season", "competition", "dt", "margin"]
+    kept = ["match_id", "season", "competition", "dt", "margin", *(["method"] if "method" in priced.columns else [])]
     return priced.select(*kept, F.explode(F.array(under, over)).alias("o")).select(*kept, "o.*")
 
 
-def best_sides(rows: DataFrame, by: str = "edge") -> DataFrame:
-    """The better side of each match; ties go to under."""
-    columns = [c for c in rows.columns if c != "match_id"]
+def best_sides(rows: DataFrame, by: str = "edge", keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """The better side of each match (and method, if that is among keys); ties go to under."""
+    columns = [c for c in rows.columns if c not in keys]
     best = F.max_by(F.struct(*columns), F.struct(F.col(by), (F.col("side") == "under").cast("int")))
-    return rows.groupBy("match_id").agg(best.alias("b")).select("match_id", "b.*")
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
 def summarised(bets: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,3 +153,29 @@ def temporal_thresholds(best: DataFrame, thresholds: tuple[float, ...] = C.THRES
         zero("dev_bets", 0).alias("development_bets"), F.col("dev_roi").alias("development_roi"), zero("bets", 0).alias("test_bets"),
         ratio(zero("profit", 0.0), zero("bets", 0)).alias("test_roi"), zero("profit", 0.0).alias("test_profit"), zero("drawdown", 0.0).alias("test_drawdown"),
     )
+
+
+def method_betting(priced: DataFrame, thresholds: tuple[float, ...] = (0.07, 0.10), left_out: str = "bookmaker-fair") -> DataFrame:
+    """Bets of each method of priced(method, …), one for each match: thresholds on the better side, on either side or on under only."""
+    best = best_sides(opportunities(priced.where(F.col("method") != left_out)), keys=("method", "match_id"))
+    keys = ["method", "threshold", "side"]
+    cells = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("side")) for t in thresholds for s in ("all", "under")])
+    grid = best.groupBy("method").agg(F.count("*").alias("eligible")).withColumn("c", F.explode(cells)).select("method", "eligible", "c.*")
+    return on_grid(summarised(_threshold_cells(best, thresholds), keys), grid, keys, F.col("eligible"))
+
+
+def ledger(best: DataFrame, threshold: float, position: str) -> DataFrame:
+    """The bets at a threshold in the order of position, with running profit and drawdown."""
+    rows = best.where(F.col("edge") >= threshold).withColumn("_run", F.floor(F.col(position) / 4096))
+    return with_running_profit(rows, [], "_run", [position], "profit").drop("_run")
+
+
+def first_simulation(best: DataFrame, thresholds: tuple[float, ...], position: str) -> DataFrame:
+    """Of each threshold: bets, coverage, hit rate, profit, return and drawdown in the order of position; rates are 0 without a bet."""
+    reached = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("edge"))
+    cells = best.withColumn("threshold", F.explode(reached)).withColumn("_run", F.floor(F.col(position) / 4096))
+    rows = with_running_profit(cells, ["threshold"], "_run", [position], "profit")
+    got = rows.groupBy("threshold").agg(F.count("*").alias("num_bets"), F.avg(F.col("won").cast("double")).alias("hit_rate"), F.sum("profit").alias("total_profit"), F.avg("profit").alias("roi"), F.max("drawdown").alias("max_drawdown"))
+    grid = best.agg(F.count("*").alias("eligible")).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    full = grid.join(got, "threshold", "left").na.fill(0, ["num_bets", "hit_rate", "total_profit", "roi", "max_drawdown"])
+    return full.withColumn("coverage", F.col("num_bets") / F.greatest("eligible", F.lit(1)))

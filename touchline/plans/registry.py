@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import form_queries, legacy_queries, model_queries
+from touchline.plans import form_queries, legacy_queries, model_queries, report_queries
 from touchline.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return form_queries.QUERIES | model_queries.QUERIES | legacy_queries.QUERIES
+    return form_queries.QUERIES | model_queries.QUERIES | legacy_queries.QUERIES | report_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in (form_queries.SQL | model_queries.SQL | legacy_queries.SQL).items()}
+    return {name: oracle(sql) for name, sql in (form_queries.SQL | model_queries.SQL | legacy_queries.SQL | report_queries.SQL).items()}
