@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import line_dedup, mixing, piece_codec, quality_rules, registry, simhash
-from touchline.llm.common import DOCUMENT_COLUMNS, stored, table
+from touchline.llm.common import DOCUMENT_COLUMNS, deleted, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the whole of documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the whole of documents; a stage's table is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        if before is not None:
+            deleted(spark, before)
+        before = docs
     return docs
