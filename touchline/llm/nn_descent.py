@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, dropped, stored
+from touchline.llm.common import bounded_batches, deleted, dropped, stored
 
 K = 20
 DEGREE = 32
@@ -259,7 +259,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = K, degree: int = DEGREE,
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array([x.tobytes() for x in v], pa.binary())], ["query_id", "full"])
 
     queries = stored(asked.mapInArrow(packed, "query_id long, full binary").join(whole, "full").select("query_id", "start", F.col("full").alias("query"), F.col("q").alias("qq")), "queries")
-    found = search(stored(adjacency(nodes, graph), "adjacency"), queries, beam)
+    near_nodes = stored(adjacency(nodes, graph), "adjacency")
+    deleted(rows.sparkSession, graph)
+    found = search(near_nodes, queries, beam)
+    deleted(rows.sparkSession, near_nodes)
     near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "node"))
     few = found.withColumn("rn", near).where(F.col("rn") <= 2 * k + 8).select("query_id", "node")
     exact = few.join(queries.select("query_id", "query"), "query_id").join(nodes.select(F.col("id").alias("node"), "full", "members"), "node")
