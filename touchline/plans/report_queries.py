@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import config as C
-from touchline.operators import betting, league, reports
+from touchline.functions import scalars as S
+from touchline.operators import betting, form, league, metrics, quality, ratings, reports, sequential
 from touchline.plans.fixtures import tables
-from touchline.plans.form_queries import LISTED, SELECTION
-from touchline.plans.model_queries import BETS, ODDS, best, bets_sql, rounded
+from touchline.plans.form_queries import LISTED, ROUNDS, SELECTION
+from touchline.plans.model_queries import BETS, ODDS, P2, best, bets_sql, predictions, rounded, snapshots
+from touchline.sources import csv_archive
 
 KEYWORDS = ("Brushed", "TIN", "Promo")
 
@@ -81,7 +83,83 @@ def first_simulation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(betting.first_simulation(best(spark, d), C.THRESHOLDS, "match_id").select("threshold", "num_bets", "coverage", "hit_rate", "total_profit", "roi", "max_drawdown"), 9)
 
 
+def skills(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshot rows of players with a number of skill."""
+    return snapshots(spark, d).withColumn("skill_no", F.col("player_id") % 3)
+
+
+def skill_missingness(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.skill_missingness(skills(spark, d).withColumn("season", S.season_of_date(F.col("snap_date"))), ["season"]), 9)
+
+
+def adjacent_missing(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.adjacent_missing(skills(spark, d)).select("player_id", "skill_no", "snap_date")
+
+
+def nearest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    first = tables(spark, d, "fx_snapshots").agg(F.min("snap_date").alias("first"))
+    days = tables(spark, d, "fx_matches").join(F.broadcast(first)).select("match_id", F.date_add("first", (F.col("match_id") % 60 - 10).cast("int")).alias("day"))
+    return quality.nearest_snapshot(days, tables(spark, d, "fx_snapshots").where("event_id % 3 = 0"), ["match_id"]).select("match_id", "day", "snap_date")
+
+
+def cell_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("e"))
+    matrix = lambda f: F.array(F.transform(F.slice("e", 1, 32), f), F.transform(F.slice("e", 33, 32), f))
+    old, new = (rows.select("vec_id", "label", matrix(f).alias("matrix")) for f in (lambda x: F.when(x > 0.1, x).otherwise(-1.0), lambda x: F.when(x > -0.05, F.abs(x)).otherwise(-1.0)))
+    return quality.cell_comparison(old, new, ["label"], ["vec_id"])
+
+
+def chronology_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Folds over greedy rounds, some of whose matches are dated a year later than they were."""
+    matches = tables(spark, d, "fx_matches")
+    folds = sequential.rolling_folds(sequential.greedy_rounds(matches), 2)
+    late = matches.withColumn("dt", F.when(F.col("match_id") % 501 == 0, F.expr("dt + interval 365 days")).otherwise(F.col("dt")))
+    return sequential.chronology_faults(folds, late).select("fold")
+
+
+def previous_where(spark: SparkSession, d: str) -> DataFrame:
+    """Each team's last earlier match that it won."""
+    won = form.previous_where(F.col("gf") > F.col("ga"), "match_id")
+    return tables(spark, d, "fx_team_matches").select("match_id", "team_id", won["match_id"].alias("last_won"))
+
+
+def fullest(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("double")).otherwise(-1.0).alias("a"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")).alias("b"), F.col("o_orderkey").alias("c"))
+    return csv_archive.fullest(rows, ["o_custkey"])
+
+
+def text_cells(spark: SparkSession, d: str) -> DataFrame:
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.lit("no date"))
+    rows = tables(spark, d, "orders").select("o_orderkey", day.alias("day"), F.concat(F.lit("\ufeff \u00a0"), day, F.lit("\u00a0 ")).alias("cell"))
+    return rows.select("o_orderkey", S.flexible_date(F.col("day")).alias("day"), S.clean_cell(F.col("cell")).alias("cell"), S.ascii_name(F.col("day")).alias("plain"), S.season_of_date(S.flexible_date(F.col("day"))).cast("long").alias("season"))
+
+
+def prediction_faults(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).withColumn("probability", F.when(F.col("match_id") % 41 == 0, F.col("probability") + 1).otherwise(F.col("probability"))).withColumn("y_true", F.when(F.col("match_id") % 43 == 0, 2).otherwise(F.col("y_true")))
+    twice = rows.union(rows.where("match_id % 47 = 0"))
+    return metrics.prediction_faults(twice).select("model_name", "match_id", F.col("n").cast("long").alias("n"))
+
+
+SKILL_ROWS = "s AS (SELECT player_id, snap_date, arg_max(skill, event_id) AS skill, player_id % 3 AS skill_no FROM {fx_snapshots} GROUP BY player_id, snap_date)"
+
 SQL = {
+    "skill_missingness": f"""WITH {SKILL_ROWS} SELECT year(snap_date) - CAST(month(snap_date) < 7 AS INT) AS season, skill_no, count(*) FILTER (WHERE skill < 0) AS n_missing, count(*) AS n_total, count(DISTINCT snap_date) AS snapshots,
+  round(100 * count(*) FILTER (WHERE skill < 0) / count(*), 9) AS missing_pct FROM s GROUP BY ALL""",
+    "adjacent_missing": f"""WITH {SKILL_ROWS}, d AS (SELECT snap_date, row_number() OVER (ORDER BY snap_date) AS snap FROM (SELECT DISTINCT snap_date FROM s)), r AS (SELECT s.*, snap FROM s JOIN d USING (snap_date))
+SELECT a.player_id, a.skill_no, a.snap_date FROM r a JOIN r b ON a.player_id = b.player_id AND a.skill_no = b.skill_no AND a.snap = b.snap + 1 WHERE a.skill < 0 AND b.skill < 0""",
+    "nearest_snapshot": """WITH l AS (SELECT match_id, CAST((SELECT min(snap_date) FROM {fx_snapshots}) + CAST(match_id % 60 - 10 AS INT) AS DATE) AS day FROM {fx_matches}), x AS (SELECT DISTINCT day FROM l), z AS (SELECT DISTINCT snap_date FROM {fx_snapshots} WHERE event_id % 3 = 0),
+n AS (SELECT day, arg_min(snap_date, (abs(date_diff('day', snap_date, day)), snap_date)) AS snap_date FROM x, z GROUP BY day) SELECT match_id, day, snap_date FROM l JOIN n USING (day)""",
+    "cell_comparison": """WITH v AS (SELECT label, unnest(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))) AS x FROM {embeddings}), c AS (SELECT label, x > 0.1 AS o, x > -0.05 AS n, x < 0 AS neg FROM v)
+SELECT label, count(*) FILTER (WHERE o AND n) AS both, count(*) FILTER (WHERE o AND NOT n) AS old_only, count(*) FILTER (WHERE NOT o AND n) AS new_only, count(*) FILTER (WHERE NOT o AND NOT n) AS neither, count(*) FILTER (WHERE o AND n AND neg) AS differ FROM c GROUP BY ALL""",
+    "chronology_faults": f"""{ROUNDS}, m2 AS (SELECT match_id, CASE WHEN match_id % 501 = 0 THEN dt + INTERVAL 365 DAY ELSE dt END AS dt FROM {{fx_matches}}), e AS (SELECT round_index, min(dt) AS a, max(dt) AS b FROM r JOIN m2 USING (match_id) GROUP BY ALL)
+SELECT round_index AS fold FROM (SELECT round_index, a, max(b) OVER (ORDER BY round_index ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS t FROM e) WHERE round_index >= 2 AND t > a""",
+    "previous_where": "SELECT match_id, team_id, last_value(CASE WHEN gf > ga THEN match_id END IGNORE NULLS) OVER (PARTITION BY team_id ORDER BY dt, hour_utc, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_won FROM {fx_team_matches}",
+    "fullest": """WITH v AS (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey::DOUBLE ELSE -1.0::DOUBLE END AS a, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS b, o_orderkey AS c FROM {orders})
+SELECT o_custkey, a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(a <> -1 AS INT) + CAST(b IS NOT NULL AS INT) DESC, a NULLS FIRST, b NULLS FIRST, c) AS r FROM v) WHERE r = 1""",
+    "text_cells": """WITH v AS (SELECT o_orderkey, o_orderkey % 3 AS k, o_orderdate AS dt FROM {orders}), w AS (SELECT *, CASE k WHEN 0 THEN strftime(dt, '%Y-%m-%d') WHEN 1 THEN strftime(dt, '%-m/%-d/%Y') ELSE 'no date' END AS t FROM v)
+SELECT o_orderkey, CASE WHEN k < 2 THEN CAST(dt AS DATE) END AS day, t AS cell, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS plain, CASE WHEN k < 2 THEN year(dt) - CAST(month(dt) < 7 AS INT) END AS season FROM w""",
+    "prediction_faults": f"""{P2}, q AS (SELECT model_name, match_id, CASE WHEN match_id % 43 = 0 THEN 2 ELSE y_true END AS y, CASE WHEN match_id % 41 = 0 THEN probability + 1 ELSE probability END AS p FROM p), t AS (SELECT * FROM q UNION ALL SELECT * FROM q WHERE match_id % 47 = 0)
+SELECT model_name, match_id, n FROM (SELECT *, count(*) OVER (PARTITION BY model_name, match_id) AS n FROM t) WHERE n > 1 OR y NOT IN (0, 1) OR p < 0 OR p > 1""",
     "table_matches": f"""WITH m AS (SELECT *, competition || '-' || (season + CAST(match_id % 31 = 0 AS INT)) AS comp_season_id FROM {{fx_matches}})
 SELECT match_id, comp_season_id, round_id FROM m WHERE season >= 1994 AND season < 1998 AND comp_season_id = competition || '-' || season AND (competition, season, round_id) IN (SELECT (competition, season, round_id) FROM ({LISTED}))""",
     "seasons_without_rounds": f"SELECT competition, season, count(*) AS matches FROM {{fx_matches}} WHERE (competition, season) NOT IN (SELECT (competition, season) FROM ({LISTED})) GROUP BY ALL",
@@ -115,4 +193,5 @@ SELECT threshold, coalesce(n, 0) AS num_bets, round(coalesce(n, 0) / (SELECT cou
 
 QUERIES = {f.__name__: f for f in (
     table_matches, seasons_without_rounds, round_groups, zero_filled, team_match_counts, over_under, valid_share, competition_totals, highlighted, selected_bets, method_betting, first_simulation,
+    skill_missingness, adjacent_missing, nearest_snapshot, cell_comparison, chronology_faults, previous_where, fullest, text_cells, prediction_faults,
 )}
