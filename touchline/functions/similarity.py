@@ -33,6 +33,12 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(name: pd.Series, full: pd.Series, other: pd.Series, other_full: pd.Series) -> pd.Series:
+    rows = zip(name.fillna(""), full.fillna(""), other.fillna(""), other_full.fillna(""), strict=True)
+    return pd.Series([max(indel_ratio(a, b) for a in {x, y} for b in {u, v}) for x, y, u, v in rows])
+
+
 def similarity(name: Column, full: Column, other: Column, other_full: Column) -> Column:
-    """The best ratio of either name with either other name."""
-    return F.greatest(name_ratio(name, other), name_ratio(name, other_full), name_ratio(full, other), name_ratio(full, other_full))
+    """The best ratio of either name with either other name, in one pass over the rows."""
+    return best_ratio(name, full, other, other_full)

@@ -26,22 +26,25 @@ def match_teams(teams: DataFrame, clubs: DataFrame, overrides: dict[int, int] |
 def candidates(players: DataFrame, rated: DataFrame, cap: int = C.NAME_BUCKET_CAP) -> DataFrame:
     """(player_id, rated_id, stage): of the four stages the first that has candidates.
 
-    players(player_id, name, full_name, dob, club_id), rated(rated_id, r_name, r_full_name, r_dob, r_club_id). Each stage is an equi-join.
+    players(player_id, name, full_name, dob, club_id), rated(rated_id, r_name, r_full_name, r_dob, r_club_id). A player's stage is found by joins with the
+    distinct keys of rated; then each stage's players alone are joined with rated, by an equi-join. A name bucket gives its first `cap` rows, cut before the join.
     """
     own = players.withColumn("key", name_key(plain_name(F.col("full_name"))))
-    other = rated.withColumn("key", name_key(plain_name(F.col("r_full_name"))))
-    ids = ["player_id", "rated_id"]
-    stages = [
-        own.join(other, (F.col("club_id") == F.col("r_club_id")) & (F.col("dob") == F.col("r_dob"))).select(*ids, F.lit(0).alias("stage")),
-        own.join(other, F.col("club_id") == F.col("r_club_id")).select(*ids, F.lit(1).alias("stage")),
-        own.join(other, F.col("dob") == F.col("r_dob")).select(*ids, F.lit(2).alias("stage")),
-    ]
-    bucket = own.join(other.drop("r_dob"), "key").select(*ids)
-    nth = F.row_number().over(Window.partitionBy("player_id").orderBy("rated_id"))
-    stages.append(bucket.withColumn("nth", nth).where(F.col("nth") <= cap).select(*ids, F.lit(3).alias("stage")))
-    every = stages[0].union(stages[1]).union(stages[2]).union(stages[3])
-    first = F.min("stage").over(Window.partitionBy("player_id"))
-    return every.withColumn("first", first).where("stage = first").drop("first")
+    other = rated.withColumn("r_key", name_key(plain_name(F.col("r_full_name"))))
+    first = Window.partitionBy("r_key").orderBy("rated_id")
+    capped = other.where("r_key is not null").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= cap)
+    stages = [(["club_id", "dob"], other), (["club_id"], other), (["dob"], other), (["key"], capped)]
+    stage = F.lit(None).cast("int")
+    for k, (keys, _) in reversed(list(enumerate(stages))):
+        known = other.select(*[F.col(f"r_{x}").alias(x) for x in keys]).distinct().withColumn(f"has_{k}", F.lit(True))
+        own = own.join(known, keys, "left")
+        stage = F.when(F.col(f"has_{k}"), k).otherwise(stage)
+    own = own.withColumn("stage", stage).select("player_id", "club_id", "dob", "key", "stage")
+    found = []
+    for k, (keys, side) in enumerate(stages):
+        pairs = side.select("rated_id", *[F.col(f"r_{x}").alias(x) for x in keys])
+        found.append(own.where(F.col("stage") == k).join(pairs, keys).select("player_id", "rated_id", "stage"))
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 def match_players(players: DataFrame, rated: DataFrame) -> DataFrame:
