@@ -134,3 +134,25 @@ def test_queries_match_duckdb(spark):
         ours = known[name](spark, base).toPandas()
         theirs = db.sql(sql[name]).df()[list(ours.columns)]
         assert sorted(map(str, ours.itertuples(index=False))) == sorted(map(str, theirs.itertuples(index=False))), name
+
+
+def test_paged_reader_tries_again(monkeypatch):
+    import io
+    import urllib.error
+
+    from touchline.sources import paged_json
+
+    answers = [TimeoutError(), urllib.error.HTTPError("u", 503, "busy", None, None), io.BytesIO(b"[]"), urllib.error.HTTPError("u", 404, "gone", None, None)]
+
+    def answer(url, timeout):
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    monkeypatch.setattr(paged_json, "urlopen", answer)
+    monkeypatch.setattr(paged_json.time, "sleep", lambda s: None)
+    reader = paged_json.PagedJsonReader({"url": "http://x/{page}"})
+    assert reader.get(1) == "[]"
+    with pytest.raises(urllib.error.HTTPError):
+        reader.get(1)

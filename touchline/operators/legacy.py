@@ -89,6 +89,7 @@ def imitated_rows(asked: DataFrame, averages: DataFrame) -> DataFrame:
     overall = averages.where("season = -1 and team_id = -1 and role = 'goalkeeper'").select(F.first("skills").alias("_any"))
     usable = averages.join(F.broadcast(overall)).withColumn("skills", F.when((F.col("role") == "goalkeeper") & zero, F.col("_any")).otherwise(F.col("skills"))).drop("_any")
     spare = usable.where((F.col("season") == FALLBACK[0]) & (F.col("team_id") == FALLBACK[1])).select("role", F.col("skills").alias("_spare"))
+    # one row a role at most
     got = asked.join(usable, ["season", "team_id", "role"], "left").join(F.broadcast(spare.dropDuplicates(["role"])), "role", "left")
     return got.withColumn("skills", F.coalesce("skills", "_spare")).drop("_spare")
 

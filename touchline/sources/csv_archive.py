@@ -41,7 +41,7 @@ def skill_snapshots(cells: DataFrame, required: tuple[str, ...] = ("player_id",
     header = cells.where("line = 0").select("file", F.transform("cells", lambda c: F.lower(clean_cell(c))).alias("names"))
     good = header.where(F.size(F.array_intersect("names", F.array(*[F.lit(x) for x in (*required, first_skill)]))) == len(required) + 1)
     at = {x: F.array_position("names", x).cast("int") - 1 for x in (*required, first_skill)}
-    rows = cells.where("line > 0").join(F.broadcast(good.select("file", *[c.alias(f"at_{k}") for k, c in at.items()])), "file")
+    rows = cells.where("line > 0").join(good.select("file", *[c.alias(f"at_{k}") for k, c in at.items()]), "file")
     first = F.col(f"at_{first_skill}")
     number = lambda c: c.try_cast("double").isNotNull()
     tail = [_cell(first + skills - k) for k in (2, 1)]

@@ -1,13 +1,14 @@
 """A batch data source for paged JSON services: one partition for each page.
 
-options: url (with {page}), pages, token_env (environment variable with a key that is added as `key`). `get` of PagedJson can be replaced, so
-tests and offline runs read files.
+options: url (with {page}), pages, token_env (environment variable with a key that is added as `key`), timeout (seconds, 30) and retries (3, with
+growing pauses; Spark's own task retries come on top). `get` of PagedJson can be replaced, so tests and offline runs read files.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
@@ -48,8 +49,16 @@ class PagedJsonReader(DataSourceReader):
         return {"key": os.environ[name]} if name else {}
 
     def get(self, page: int) -> str:
-        with urlopen(page_url(self.options["url"], page, self.params())) as reply:  # noqa: S310
-            return reply.read().decode()
+        url, tries = page_url(self.options["url"], page, self.params()), int(self.options.get("retries") or 3)
+        for k in range(tries + 1):
+            try:
+                with urlopen(url, timeout=float(self.options.get("timeout") or 30)) as reply:  # noqa: S310
+                    return reply.read().decode()
+            except OSError as error:  # URLError, timeouts and lost connections; a client error but "too many requests" stays one
+                if k == tries or 400 <= getattr(error, "code", 500) < 500 and error.code != 429:
+                    raise
+                time.sleep(2**k)
+        raise AssertionError
 
     def partitions(self) -> list[InputPartition]:
         pages = self.options.get("pages")
