@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import edit_counts, line_dedup, lm_score, main_text, mixing, nn_descent, piece_codec, quality_rules, simhash, token_files
+from touchline.llm import bpe_codec, conversations, edit_counts, line_dedup, lm_score, main_text, mixing, nn_descent, piece_codec, quality_rules, simhash, spelling, token_files
 from touchline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +70,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), trial=spelling.TRIAL)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.reports(turns, conversations.damage(turns))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_main_text, op2_mixing, op3_lm_score, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op9_edit_counts, op10_simhash)}
+    early = (op1_main_text, op2_mixing, op3_lm_score, op4_nn_descent, op5_token_files, op6_line_dedup, op7_piece_codec, op8_quality_rules, op9_edit_counts, op10_simhash)
+    return {f.__name__: f for f in (*early, op11_spelling, op12_conversation_repair, op13_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL, "op3_lm_score": lm_score.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql()}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op3_lm_score": lm_score.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op11_spelling": spelling.ORACLE_SQL}
