@@ -107,3 +107,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
 def word_count(text: str) -> F.Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string expression's UTF-8; the table is that of the reflected polynomial 0xEDB88320."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    digits = f"hex(encode({text}))"
+    codes = f"list_transform(range(0, length({digits}), 2), lambda i: CAST(concat('0x', substr({digits}, i + 1, 2)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, ({table}::BIGINT[])[xor(a, b) % 256 + 1])))"

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, deleted, named, stored
+from touchline.llm.common import bounded_batches, crc32_sql, deleted, named, stored
 
 COSTS = {"K": 0, "R": 3, "D": 4, "I": 3}
 TRUNCATED_COST = 3
@@ -403,3 +403,54 @@ def reports(original: DataFrame, turns: DataFrame, long_rows: int = LONG_ROWS, l
     return ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
         "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256")
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the reports of the damaged conversations: a recursion over rows that holds the best label (cost and audit as one string, and the lines made) of each state."""
+
+    def label(old: str, cost: str, letter: str, line: str | None) -> str:
+        key = f"lpad(CAST(CAST(substr({old}.k, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({old}.k, 10) || '{letter}'"
+        return f"CASE WHEN {old} IS NOT NULL THEN struct_pack(k := {key}, m := {f'list_append({old}.m, {line})' if line else f'{old}.m'}) END"
+
+    def best(options: list[str]) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+    def past_row(state: int) -> str:
+        own = "CASE WHEN r.gone THEN NULL ELSE {} END".format
+        options = [label(f"p.s{state}", "4", "D", None)]
+        for (before, initial), after in KEPT.items():
+            if after == state:
+                options.append(own(f"CASE WHEN r.role[1] = '{initial}' THEN {label(f'p.s{before}', 'r.extra', 'K', chr(39) * 2 + ' || r.line')} END"))
+        for before, (role, after) in GIVEN.items():
+            if after == state:
+                options.append(own(label(f"p.s{before}", "(3 + r.extra)", "R", f"'{role}:' || r.text")))
+        return f"{best(options)} AS s{state}"
+
+    white = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    given = lambda s: label(f"s{s}", "3", "I", f"'{GIVEN[s][0]}:'")
+    first = best(["s2", *(given(s) for s in (0, 1, 3))])
+    grown = f"SELECT conv_id, i, s0, s1, s2, {best(['s3', given(2)])} AS s3 FROM (SELECT conv_id, i, s0, s1, {first} AS s2, s3 FROM ({{}}))"
+    kind = "STRUCT(k VARCHAR, m VARCHAR[])"
+    start = f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'k': '000000000', 'm': []}} AS {kind}) AS s0, CAST(NULL AS {kind}) AS s1, CAST(NULL AS {kind}) AS s2, CAST(NULL AS {kind}) AS s3 FROM placed"
+    step_rows = f"SELECT p.conv_id, r.i, {', '.join(past_row(s) for s in GIVEN)} FROM path p JOIN placed r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1"
+    return f"""WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS named FROM conversations),
+harmed AS (SELECT *, {crc32_sql("named")} % 20 AS harm FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS again FROM harmed WHERE harm <> 0),
+numbered AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen, rtrim(text, {white}) AS body FROM damaged),
+placed AS (
+  SELECT conv_id, turn, role, text, i, concat(role, ':', text) AS line, body = '' OR seen AS gone, body = '' AS blank, body <> '' AND seen AS duplicate,
+    body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS truncated, CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE {TRUNCATED_COST} END AS extra,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM numbered),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (i > 1 AND concat(earlier[1], role[1]) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM placed GROUP BY conv_id),
+path AS ({grown.format(start)} UNION ALL {grown.format(step_rows)}),
+ended AS (SELECT p.conv_id, {best(['s0', 's3'])} AS s FROM path p JOIN counted c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(substr(s.k, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(s.k, 10), '') AS audit, sha256(coalesce(array_to_string(s.m, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""

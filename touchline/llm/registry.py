@@ -90,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL, "op3_lm_score": lm_score.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op11_spelling": spelling.ORACLE_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op3_lm_score": lm_score.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op11_spelling": spelling.ORACLE_SQL, "op12_conversation_repair": conversations.oracle_sql()}

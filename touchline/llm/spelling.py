@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded_batches, deleted, named, small_batches, stored
+from touchline.llm.common import bounded_batches, crc32_sql, deleted, named, small_batches, stored
 
 RUN = re.compile(rb"[a-z\xc0-\xff]+")
 MIN_CHARS = 6
@@ -233,21 +233,11 @@ def variants(words: DataFrame, min_count: int = MIN_COUNT, ratio: int = RATIO, l
     return found.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
-def crc_table() -> list[int]:
-    """The 256 remainders of the reflected polynomial 0xEDB88320."""
-    out = list(range(256))
-    for _ in range(8):
-        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
-    return out
-
-
 #: DuckDB SQL for the variants of the whole of documents, whose runs are damaged by TRIAL.
 ORACLE_SQL = rf"""WITH RECURSIVE runs AS (
   SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
-counted AS (SELECT doc_id, run, count(*) AS c, hex(encode(concat(doc_id, ':', run))) AS h FROM runs WHERE length(run) >= {MIN_CHARS} GROUP BY doc_id, run),
-summed AS (
-  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(h), 2), lambda i: CAST(concat('0x', substr(h, i + 1, 2)) AS BIGINT))),
-    lambda a, b: xor(a >> 8, ({crc_table()}::BIGINT[])[xor(a, b) % 256 + 1]))) AS crc FROM counted),
+counted AS (SELECT run, count(*) AS c, concat(doc_id, ':', run) AS named FROM runs WHERE length(run) >= {MIN_CHARS} GROUP BY doc_id, run),
+summed AS (SELECT run, c, {crc32_sql("named")} AS crc FROM counted),
 damaged AS (SELECT c, CASE WHEN crc % {TRIAL} = 0 THEN concat(substr(run, 1, crc % length(run)), substr(run, crc % length(run) + 2)) ELSE run END AS word FROM summed),
 words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= {MIN_CHARS} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
 shorter AS (SELECT word, n, i, concat(substr(word, 1, i), substr(word, i + 2)) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
