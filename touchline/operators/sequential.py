@@ -75,12 +75,13 @@ def round_links(matches: DataFrame) -> DataFrame:
     """(match_id, i, following): each match's place in chronological order, from 0, and that of the match that ends a round which begins with it (null: none does).
 
     A round that begins with match i ends where a team plays for the second time from i on: at the least next match of a team over all
-    matches from i on. That running minimum is taken within days, and over a table with one row for each day.
+    matches from i on. That running minimum is taken within days, and over a table with one row for each day. A match of a team with itself ends no round by
+    that, and unknown teams end none.
     """
     placed = order_rank(matches.select("match_id", "home_id", "away_id", "dt", "hour_utc")).withColumn("i", F.col("rn") - 1)
-    sides = placed.select("i", F.explode(F.array("home_id", "away_id")).alias("team"))
+    sides = placed.select("i", F.explode(F.array_distinct(F.array_compact(F.array("home_id", "away_id")))).alias("team"))
     again = sides.select("i", F.lead("i").over(Window.partitionBy("team").orderBy("i")).alias("next")).groupBy("i").agg(F.min("next").alias("next"))
-    days = placed.select("i", "match_id", F.coalesce(F.col("dt").cast("date"), F.lit("0001-01-01").cast("date")).alias("day")).join(again, "i")
+    days = placed.select("i", "match_id", F.coalesce(F.col("dt").cast("date"), F.lit("0001-01-01").cast("date")).alias("day")).join(again, "i", "left")
     later = F.min("first").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))
     per_day = days.groupBy("day").agg(F.min("next").alias("first")).select("day", later.alias("later"))
     inside = F.min("next").over(Window.partitionBy("day").orderBy(F.desc("i")))

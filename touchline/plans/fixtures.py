@@ -47,6 +47,32 @@ VIEWS = {
     "fx_lineups": """
         select m.match_id, s.side, s.slot, (m.match_id * 7 + s.slot * 13 + s.side * 5) % 150 as player_id
         from {fx_matches} m cross join {fx_slots} s where not (m.match_id % 50 = 0 and s.slot = 10)""",
+    "fx_comp_seasons": """
+        select distinct league * 10000 + season as comp_season_id, competition as name, season, concat('C', cast(league as string)) as country
+        from {fx_matches} where (league * 10000 + season) % 11 <> 3""",
+    "fx_linked": """
+        select match_id, dt, hour_utc, season, competition, round_id, league, case when match_id % 61 = 1 then null when match_id % 47 = 2 then home_id else away_id end as away_id, home_id, away_goals,
+               case when match_id % 59 = 4 then -1 when match_id % 53 = 6 then null else home_goals end as home_goals,
+               case when match_id % 101 = 5 then null else league * 10000 + season + case when match_id % 89 = 7 then 1 else 0 end end as comp_season_id,
+               case when match_id % 83 = 3 then 'X' else concat('C', cast(league as string)) end as country
+        from {fx_matches}""",
+    "fx_membership": """
+        select comp_season_id, match_id from {fx_linked} where comp_season_id is not null and match_id % 67 <> 2
+        union all select comp_season_id + 1, match_id from {fx_linked} where comp_season_id is not null and match_id % 71 = 4
+        union all select comp_season_id, match_id + 1000000000 from {fx_linked} where comp_season_id is not null and match_id % 73 = 6
+        union all select comp_season_id, match_id from {fx_linked} where comp_season_id is not null and match_id % 79 = 8""",
+    "fx_rated": """
+        select distinct player_id, case when player_id % 5 = 0 then -1 else player_id + 5000 end as rated_id from {fx_lineups} where player_id % 7 <> 3""",
+    "fx_clubs": """
+        select distinct home_id as team_id, case when home_id % 9 = 4 then -1 else home_id + 100 end as club_id from {fx_matches} where home_id % 11 <> 3""",
+    "fx_listed": """
+        select match_id, side, slot, case when (match_id + slot) % 97 = 11 then 0 else player_id end as player_id,
+               case when slot = 0 and match_id % 13 <> 5 then 'Goalkeeper' when slot < 5 then 'Defender' else 'Forward' end as position
+        from {fx_lineups} where not (match_id % 41 = 9 and side = 1)""",
+    "fx_cells": """
+        select l.match_id, l.side, l.slot, k.skill_no,
+               case when (l.player_id * 3 + k.skill_no * 5 + l.match_id) % 23 < 2 or l.player_id % 29 = 7 or l.match_id % 37 = 3 then cast(-1 as double) else cast((l.player_id * 7 + k.skill_no * 13) % 100 as double) end as value
+        from {fx_lineups} l cross join (select event_id as skill_no from {events} where event_id < 4) k where not (l.match_id % 31 = 8 and l.side = 0)""",
 }
 
 

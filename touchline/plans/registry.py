@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import form_queries, legacy_queries, model_queries, report_queries
+from touchline.plans import form_queries, legacy_queries, model_queries, report_queries, validation_queries
 from touchline.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (form_queries, model_queries, legacy_queries, report_queries, validation_queries)
 
 
 def queries() -> dict[str, Query]:
-    return form_queries.QUERIES | model_queries.QUERIES | legacy_queries.QUERIES | report_queries.QUERIES
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, sql in (form_queries.SQL | model_queries.SQL | legacy_queries.SQL | report_queries.SQL).items()}
+    return {name: oracle(sql) for module in MODULES for name, sql in module.SQL.items()}
