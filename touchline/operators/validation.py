@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.functions.lineage import cut
 from touchline.functions.scalars import ratio
 
 Rule = tuple[str, str, Column]  # code, severity, condition of a breach
@@ -208,12 +209,14 @@ RATES = ("team_rate", "player_rate", "reference_rate", "cell_rate")
 
 def coverage_findings(inventory: DataFrame) -> DataFrame:
     """Laws, counts and rates of an inventory's row for all, gaps of its scopes, and whether the scopes' matches sum to it."""
+    inventory = cut(inventory)  # a row for each scope, read by several rules
     all_, scopes = inventory.where("total"), inventory.where("not total")
     scope = F.lit("selected-scope")
     laws = broken(all_, [(code, "critical", ~F.expr(law)) for code, law in LAWS.items()], "coverage", scope)
     hits = F.array_compact(F.array(*[F.when(F.expr(n) > 0, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.expr(n).cast("long").alias("n"))) for code, (severity, n) in COUNTS.items()]))
     counts = all_.select(F.explode(hits).alias("h")).select("h.code", "h.severity", F.lit("coverage").alias("entity"), scope.alias("entity_id"), "h.n")
-    rates = reduce(DataFrame.unionByName, [broken(all_, [("invalid_coverage_rate", "critical", ~F.col(r).between(0, 1))], "metric", F.lit(r)) for r in RATES])
+    listed = all_.select(F.explode(F.array(*[F.struct(F.lit(r).alias("metric"), F.col(r).alias("rate")) for r in RATES])).alias("r")).select("r.*")
+    rates = broken(listed, [("invalid_coverage_rate", "critical", ~F.col("rate").between(0, 1))], "metric", F.col("metric"))
     gaps = broken(scopes, [("competition_season_player_match_gap", "warning", F.col("reference_rate") < 1), ("competition_season_strength_gap", "warning", F.col("cell_rate") < 1)], "competition-season", F.concat_ws(" ", "competition", "season"))
     sums = inventory.agg(F.sum(F.when(F.col("total"), F.col("matches"))).alias("a"), F.coalesce(F.sum(F.when(~F.col("total"), F.col("matches"))), F.lit(0)).alias("b"))
     total = broken(sums, [("competition_season_match_total_mismatch", "critical", F.col("a") != F.col("b"))], "coverage", F.lit("competition-seasons"))

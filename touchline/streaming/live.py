@@ -47,6 +47,95 @@ def rated(stream: DataFrame) -> DataFrame:
     return stream.groupBy("competition").applyInPandasWithState(run, RATED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(hour_utc=rows.hour_utc.fillna(-1)).sort_values(["dt", "hour_utc", "match_id"])
+
+
+def running_form(stream: DataFrame, n: int = 5) -> DataFrame:
+    """Means of goals scored, conceded and points over a team's last n matches before each row of a stream of team rows (team_id, match_id, dt, hour_utc, gf, ga); null for none.
+
+    The state of a team is its last n results. Rows of a micro-batch go in chronological order; a team's batches are taken as they come. Rows without goals give means and enter no state.
+    """
+
+    def run(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        out = []
+        for r in _in_order(pd.concat(list(frames))).itertuples():
+            mean = lambda i, held=held: sum(x[i] for x in held) / len(held) if held else None
+            out.append((key[0], r.match_id, mean(0), mean(1), mean(2)))
+            if not (pd.isna(r.gf) or pd.isna(r.ga)):
+                held.append((int(r.gf), int(r.ga), 3 if r.gf > r.ga else int(r.gf == r.ga)))
+                del held[:-n]
+        state.update(tuple(list(x) for x in zip(*held, strict=True)) if held else ([], [], []))
+        yield pd.DataFrame(out, columns=["team_id", "match_id", "goals", "conceded", "points"])
+
+    kinds = "team_id long, match_id long, goals double, conceded double, points double"
+    return stream.groupBy("team_id").applyInPandasWithState(run, kinds, "gf array<long>, ga array<long>, points array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stand_in_lineups(stream: DataFrame) -> DataFrame:
+    """(team_id, competition, match_id, lineup, estimated) of a stream of sides (team_id, competition, match_id, kickoff, regular, lineup, use_previous_lineup).
+
+    The state of a team in a competition is the line-up of its last regular match that had one. A side without a line-up takes it if `upcoming` lets it;
+    otherwise its line-up stays empty. Null line-ups are empty; those of 22 are cut.
+    """
+
+    def run(key: tuple[int, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,) = state.get if state.exists else ([],)
+        out = []
+        for r in pd.concat(list(frames)).sort_values(["kickoff", "match_id"]).itertuples():
+            own = [] if r.lineup is None else [int(p) for p in r.lineup]
+            if len(own) == 2 * C.PLAYERS:
+                own = own[: C.PLAYERS]
+            if len(own) not in (0, C.PLAYERS):
+                raise ValueError(f"match {r.match_id}: a line-up is neither {C.PLAYERS} nor {2 * C.PLAYERS}")
+            estimated = not own and bool(r.use_previous_lineup) and len(last) > 0
+            out.append((*key, r.match_id, list(last) if estimated else own, estimated))
+            if own and r.regular:
+                last = own
+        state.update((list(last),))
+        yield pd.DataFrame(out, columns=["team_id", "competition", "match_id", "lineup", "estimated"])
+
+    kinds = "team_id long, competition string, match_id long, lineup array<long>, estimated boolean"
+    return stream.groupBy("team_id", "competition").applyInPandasWithState(run, kinds, "lineup array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_places(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """(season, competition, match_id, team_id, played, points, gf, ga) before each match of a stream of results (season, competition, match_id, ts, home_id, away_id, home_goals, away_goals).
+
+    Matches of one time do not count for each other, so a time is closed only when the watermark (`late` behind the newest ts) has passed it: until then its rows wait in
+    the state, beside each team's totals. Rows later than the watermark are dropped by it.
+    """
+    fields = ("match_id", "ts", "home_id", "away_id", "home_goals", "away_goals")
+
+    def run(key: tuple[int, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        teams, totals, waiting = {}, [], []
+        if state.exists:
+            ids, sums, rows = state.get
+            teams = {t: list(x) for t, x in zip(ids, sums, strict=True)}
+            waiting = [tuple(r) for r in rows]
+        for frame in frames:
+            waiting += [(int(m), int(ts.timestamp() * 1000), *map(int, x)) for m, ts, *x in frame[list(fields)].itertuples(index=False, name=None)]
+        mark = state.getCurrentWatermarkMs()
+        ready, waiting = sorted((r for r in waiting if r[1] <= mark), key=lambda r: (r[1], r[0])), [r for r in waiting if r[1] > mark]
+        for i, r in enumerate(ready):
+            if not i or r[1] != ready[i - 1][1]:
+                for m, _, home, away, hg, ag in [x for x in ready[i:] if x[1] == r[1]]:
+                    totals += [(*key, m, t, *teams.get(t, (0, 0, 0, 0))) for t in (home, away)]
+                for _, _, home, away, hg, ag in [x for x in ready[i:] if x[1] == r[1]]:
+                    for t, gf, ga in ((home, hg, ag), (away, ag, hg)):
+                        played, points, scored, conceded = teams.get(t, (0, 0, 0, 0))
+                        teams[t] = [played + 1, points + (3 if gf > ga else int(gf == ga)), scored + gf, conceded + ga]
+        state.update((list(teams), [list(x) for x in teams.values()], [list(r) for r in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(r[1] for r in waiting), mark + 1))
+        yield pd.DataFrame(totals, columns=["season", "competition", "match_id", "team_id", "played", "points", "gf", "ga"])
+
+    kinds = "season long, competition string, match_id long, team_id long, played long, points long, gf long, ga long"
+    held = "teams array<long>, totals array<array<long>>, waiting array<array<long>>"
+    return stream.withWatermark("ts", late).groupBy("season", "competition").applyInPandasWithState(run, kinds, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def board_writer(path: str):
     """foreachBatch function that replaces the board."""
 
