@@ -226,7 +226,8 @@ def coverage_findings(inventory: DataFrame) -> DataFrame:
 def combined(components: dict[str, DataFrame]) -> DataFrame:
     """component, critical, warnings, ok: a row for each component's findings and one (`overall`) for all."""
     spark = next(iter(components.values())).sparkSession
-    rows = reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("component"), "severity", "n") for name, f in components.items()])
+    sums = {name: cut(f.groupBy("severity").agg(F.sum("n").alias("n"))) for name, f in components.items()}  # two rows each; one plan after another
+    rows = reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("component"), "severity", "n") for name, f in sums.items()])
     every = spark.createDataFrame([(name,) for name in components], "component string")
     zero = every.select("component", F.lit("none").alias("severity"), F.lit(0).cast("long").alias("n"))
     counted = rows.unionByName(zero).rollup("component").agg(*[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(c) for c, s in (("critical", "critical"), ("warnings", "warning"))])
