@@ -62,12 +62,13 @@ def table_order(mean: str, gf: str, ga: str) -> list[Column]:
     return [F.desc(mean), F.desc(F.col(gf) - F.col(ga)), F.desc(gf), F.asc("team_id")]
 
 
-def pre_match_places(team_rows: DataFrame) -> DataFrame:
+def pre_match_places(team_rows: DataFrame, by_match: bool = False) -> DataFrame:
     """(match_id, team_id, place01) before each match: every team of the season is ranked at every slot (same date and hour).
 
+    by_match: every match is a slot of its own, so that matches of the same date and hour with a smaller id count too.
     Teams are put against slots within a season, which both are bounded by; each season is a partition of its own.
     """
-    slot = [*LEAGUE, "dt", "hour"]
+    slot = [*LEAGUE, "dt", "hour", *(["match_id"] if by_match else [])]
     rows = team_rows.withColumn("hour", F.coalesce("hour_utc", F.lit(-1)))
     slots = rows.select(*slot).distinct()
     teams = rows.select(*LEAGUE, "team_id").distinct()
@@ -75,14 +76,15 @@ def pre_match_places(team_rows: DataFrame) -> DataFrame:
         F.count("*").alias("played"), F.sum("gf").alias("gf"), F.sum("ga").alias("ga"), F.sum(points(F.col("gf"), F.col("ga"))).alias("points")
     )
     dense = slots.join(teams, [*LEAGUE]).join(per_slot, [*slot, "team_id"], "left")
-    before = Window.partitionBy(*LEAGUE, "team_id").orderBy("dt", "hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*LEAGUE, "team_id").orderBy(*slot[len(LEAGUE) :]).rowsBetween(Window.unboundedPreceding, -1)
     sums = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("played", "gf", "ga", "points")}
     so_far = dense.select(*slot, "team_id", *(v.alias(f"b_{k}") for k, v in sums.items())).withColumn("b_mean", ratio(F.col("b_points"), F.col("b_played"), 0.0))
     at = Window.partitionBy(*slot)
     rank = F.row_number().over(at.orderBy(*table_order("b_mean", "b_gf", "b_ga")))
     n = F.count("*").over(at)
     places = so_far.withColumn("place01", F.when(n > 1, 1 - (rank - 1) / (n - 1)).otherwise(F.lit(1.0)))
-    return rows.select("match_id", *slot, "team_id").join(places.select(*slot, "team_id", "place01"), [*slot, "team_id"]).select("match_id", "team_id", "place01")
+    asked = rows.select(*dict.fromkeys(["match_id", *slot, "team_id"]))
+    return asked.join(places.select(*slot, "team_id", "place01"), [*slot, "team_id"]).select("match_id", "team_id", "place01")
 
 
 def season_dates(matches: DataFrame) -> DataFrame:

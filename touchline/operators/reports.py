@@ -101,3 +101,55 @@ def shortened_mean(value: Column, order: Column, window: int, *partition: str) -
     whole = Window.partitionBy(*partition)
     half = window // 2
     return F.when(F.count("*").over(whole) < window, value).otherwise(F.avg(value).over(whole.orderBy(order).rowsBetween(-half, half)))
+
+
+def _listed(matches: DataFrame, listed: DataFrame) -> DataFrame:
+    """matches with kept: whether (competition, season, round_id) is listed."""
+    known = listed.select("competition", "season", "round_id", F.lit(True).alias("kept")).distinct()
+    return matches.join(known, ["competition", "season", "round_id"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def season_shares(matches: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of each (competition, season) of matches(…, regular): regular and other matches, kept or filtered by the listed rounds, distinct rounds of each, and matches a team."""
+    rows = _listed(matches, listed)
+    other = ~F.col("regular")
+    rounds = lambda keep: F.count_distinct(F.when(keep, F.col("round_id")))
+    keys = ["competition", "season"]
+    got = rows.groupBy(*keys).agg(
+        F.count("*").alias("matches"), F.count_if("regular").alias("regular_matches"), F.count_if(other).alias("other_matches"), F.count_if(other & F.col("kept")).alias("other_kept"),
+        F.count_if(other & ~F.col("kept")).alias("other_filtered"), rounds(F.lit(True)).alias("rounds"), rounds(F.col("regular")).alias("regular_rounds"), rounds(other).alias("other_rounds"),
+        rounds(F.col("kept")).alias("kept_rounds"), rounds(~F.col("kept")).alias("filtered_rounds"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"),
+    )
+    teams = rows.select(*keys, F.explode(F.array("home_id", "away_id")).alias("team_id")).where("team_id is not null").groupBy(*keys, "team_id").agg(F.count("*").alias("n"))
+    sizes = teams.groupBy(*keys).agg(F.count("*").alias("teams"), F.min("n").alias("least_matches"), F.max("n").alias("most_matches"), F.median("n").alias("median_matches"))
+    return got.join(sizes, keys, "left").withColumn("other_share", ratio(F.col("other_matches"), F.col("matches"), 0.0))
+
+
+def round_types(matches: DataFrame, listed: DataFrame, only_affected: bool = False) -> DataFrame:
+    """Of each (competition, season, round_id): matches, teams, regular and other, whether kept, and the type that follows; only_affected: seasons with other matches alone."""
+    keys = ["competition", "season"]
+    rows = _listed(matches, listed).where("round_id is not null")
+    if only_affected:
+        rows = rows.join(matches.where("not regular").select(*keys).distinct(), keys, "left_semi")
+    one = rows.groupBy(*keys, "round_id").agg(
+        F.count("*").alias("matches"), F.count_if("regular").alias("regular_matches"), F.count_if(~F.col("regular")).alias("other_matches"), F.bool_or("kept").alias("kept"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")
+    )
+    teams = rows.select(*keys, "round_id", F.explode(F.array("home_id", "away_id")).alias("team_id")).groupBy(*keys, "round_id").agg(F.count_distinct("team_id").alias("teams"))
+    kind = F.when(F.col("other_matches") == 0, "regular").when(F.col("regular_matches") == 0, "other").otherwise("mixed")
+    return one.join(teams, [*keys, "round_id"]).withColumn("round_type", kind)
+
+
+def missing_skill_rates(strength: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Of each competition and of all (null): cells, missing cells, rows and rows without any cell of strength(competition, matrix), and their shares; matrices of another shape are left out."""
+    fits = (F.size("matrix") == shape[0]) & F.forall("matrix", lambda r: F.size(r) == shape[1])
+    lost = F.transform("matrix", lambda r: F.size(F.filter(r, lambda x: F.coalesce(x < 0, F.lit(True)))))
+    rows = strength.where(fits).select("competition", F.aggregate(lost, F.lit(0), lambda a, x: a + x).alias("lost"), F.size(F.filter(lost, lambda x: x == shape[1])).alias("empty"))
+    got = rows.groupingSets([["competition"], []], "competition").agg((F.count("*") * shape[0] * shape[1]).alias("cells"), F.sum("lost").alias("missing_cells"), (F.count("*") * shape[0]).alias("player_rows"), F.sum("empty").alias("empty_rows"))
+    return got.withColumn("missing_share", ratio(F.col("missing_cells"), F.col("cells"), 0.0)).withColumn("empty_share", ratio(F.col("empty_rows"), F.col("player_rows"), 0.0))
+
+
+def variant_gains(metrics: DataFrame, baseline: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Of each group and variant but the baseline of metrics(variant, keys…, values…): the values and what they gain on the baseline's; groups that only one side has give null gains."""
+    base = metrics.where(F.col("variant") == baseline).select(*keys, *[F.col(v).alias(f"base_{v}") for v in values])
+    rows = metrics.where(F.col("variant") != baseline).select("variant", *keys, *values).join(base, keys, "left")
+    return rows.select("variant", *keys, *values, *[(F.col(v) - F.col(f"base_{v}")).alias(f"{v}_gain") for v in values])

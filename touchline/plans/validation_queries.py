@@ -37,11 +37,15 @@ def selection_findings(spark: SparkSession, d: str) -> DataFrame:
     return validation.rollup(selection(spark, d))
 
 
-def inventory(spark: SparkSession, d: str) -> DataFrame:
+def strength(spark: SparkSession, d: str) -> DataFrame:
+    """(match_id, side, matrix) from cells."""
     cells = tables(spark, d, "fx_cells").withColumn("c", F.struct("skill_no", "value"))
     rows = cells.groupBy("match_id", "side", "slot").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.value).alias("r"))
-    rows = rows.groupBy("match_id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "r"))), lambda x: x.r).alias("matrix"))
-    return validation.coverage_inventory(tables(spark, d, "fx_matches"), tables(spark, d, "fx_listed"), tables(spark, d, "fx_rated"), tables(spark, d, "fx_clubs"), rows, SHAPE)
+    return rows.groupBy("match_id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "r"))), lambda x: x.r).alias("matrix"))
+
+
+def inventory(spark: SparkSession, d: str) -> DataFrame:
+    return validation.coverage_inventory(tables(spark, d, "fx_matches"), tables(spark, d, "fx_listed"), tables(spark, d, "fx_rated"), tables(spark, d, "fx_clubs"), strength(spark, d), SHAPE)
 
 
 def coverage_inventory(spark: SparkSession, d: str) -> DataFrame:
