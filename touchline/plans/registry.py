@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import breakdown_queries, form_queries, ingest_queries, legacy_queries, model_queries, report_queries, training_queries, validation_queries
+from touchline.plans import breakdown_queries, form_queries, ingest_queries, legacy_queries, model_queries, report_queries, stream_queries, training_queries, validation_queries
 from touchline.plans.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (form_queries, model_queries, legacy_queries, report_queries, validation_queries, training_queries, ingest_queries, breakdown_queries)
+MODULES = (form_queries, model_queries, legacy_queries, report_queries, validation_queries, training_queries, ingest_queries, breakdown_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -53,6 +53,15 @@ def rolling_logistic(spark: SparkSession, d: str) -> DataFrame:
     return got.select("match_id", "fold", "y", F.round("prediction", 6).alias("probability"))
 
 
+def trial_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The trial run of a layered model: the first three folds, weights carried from one to the next, the rate falling."""
+    data = rows(spark, d).withColumn("y", (F.col("goals") <= 2).cast("double"))
+    folds = rolling.first_folds(data, WINDOW, 3)
+    rate = lambda fold: datasets.learning_rate("exponential", 0.05, fold - WINDOW, 3)
+    got = rolling.fitted_by_fold(data, folds, WINDOW, rolling.layered([2, 4, 2], rate, 10, 3))
+    return got.select("match_id", "fold", "y", F.round("probability", 3).alias("probability"))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of line-ups with their round, competition and position; unresolved ones are -1."""
     listed = tables(spark, d, "fx_cells").join(tables(spark, d, "fx_matches").select("match_id", "competition"), "match_id").join(uniform_rounds(spark, d), "match_id")
@@ -113,4 +122,4 @@ SELECT match_id, y, n, round(mean, 9) AS mean, CAST(top AS BIGINT) AS top, round
 UNION ALL SELECT 'imputed_cells', 'warning', count(*) FROM done WHERE provenance BETWEEN 3 AND 5 HAVING count(*) > 0""",
 }
 
-QUERIES = {f.__name__: f for f in (rolling_majority, rolling_ridge, rolling_metrics, rolling_logistic, fold_imputation, imputation_findings)}
+QUERIES = {f.__name__: f for f in (rolling_majority, rolling_ridge, rolling_metrics, rolling_logistic, trial_layers, fold_imputation, imputation_findings)}
