@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import config as C
-from touchline.operators import legacy, sequential
+from touchline.operators import legacy, older_strength, sequential
 from touchline.plans.fixtures import tables
 from touchline.plans.form_queries import PLACES, elo_sql
 
@@ -61,6 +61,32 @@ def history_index(spark: SparkSession, d: str) -> DataFrame:
     return sequential.team_history_index(tables(spark, d, "fx_team_matches")).select("match_id", "team_id", F.col("index").cast("long").alias("nth"))
 
 
+def birthday_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and parts as players of two feeds, matched by birthday and name."""
+    born = lambda c: F.date_add(F.lit("1990-01-01").cast("date"), (F.col(c) * 7 % 365).cast("int"))
+    players = tables(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.concat(F.lit("Élan "), F.substring("c_name", 10, 9)).alias("name"), F.col("c_name").alias("full_name"), born("c_custkey").alias("dob"))
+    rated = tables(spark, d, "part").select(F.col("p_partkey").alias("rated_id"), F.col("p_name").alias("r_name"), F.concat(F.lit("Customer "), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("r_full_name"), born("p_partkey").alias("dob"))
+    return older_strength.match_by_birthday(players, rated).select("player_id", "rated_id", F.round("score", 6).alias("score"), "reason")
+
+
+def older_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Line-up matrices of both sides of every match, with imitated players, digested."""
+    cell = lambda r, i: F.when(r % 17 == 3, 0).otherwise((r * 7 + i * (5 + r % 3)) % 90 + F.when((r % 11 == 0) == (i >= 29), 10).otherwise(0)).cast("double")
+    skills = lambda r: F.transform(F.sequence(F.lit(0), F.lit(C.SKILLS - 1)), lambda i: cell(r, i))
+    position = F.when((F.col("slot") == 0) & (F.col("match_id") % 5 > 0), "Goalkeeper").when(F.col("slot") < 5, "Defender").when(F.col("slot") < 9, "Midfielder").otherwise("Forward")
+    player = F.struct(position.alias("position"), F.when(F.col("player_id") % 6 > 0, skills(F.col("player_id"))).alias("skills"))
+    listed = tables(spark, d, "fx_lineups").groupBy("match_id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", player.alias("p")))), lambda x: x.p).alias("players"))
+    matches = tables(spark, d, "fx_matches").select("match_id", "season", F.array("home_id", "away_id").alias("ids"))
+    lineups = listed.join(matches, "match_id").select("match_id", "side", "season", F.get("ids", F.col("side").cast("int")).alias("team_id"), "players")
+    teams = tables(spark, d, "fx_matches").select("season", F.col("home_id").alias("team_id")).distinct().where("team_id % 7 > 0")
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("k")) for i, (r, _) in enumerate(legacy.FORMATION)]))
+    wide = teams.union(spark.range(1).select(F.lit(legacy.FALLBACK[0]).cast("long"), F.lit(legacy.FALLBACK[1]).cast("long"))).select("season", "team_id", roles.alias("r"))
+    averages = wide.select("season", "team_id", "r.role", skills(F.col("team_id") * 4 + F.col("r.k")).alias("skills")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit("goalkeeper"), skills(F.lit(11))))
+    made = older_strength.lineup_matrix(lineups, averages)
+    total = lambda rows: F.aggregate(F.flatten(rows), F.lit(0.0), lambda a, x: a + x)
+    return made.select("match_id", F.col("side").cast("long").alias("side"), F.size("matrix").alias("n_rows"), "imitated", total(F.slice("matrix", 1, 1)).alias("first_row"), total(F.col("matrix")).alias("total"))
+
+
 CLIP3 = "CASE WHEN {x} <= 0 THEN 0.001 WHEN {x} >= 1 THEN 0.999 ELSE {x} END"
 
 RESULT_ELO = elo_sql(
@@ -86,4 +112,4 @@ SELECT team_id, CAST(11 AS BIGINT) AS n_rows, g AS keeper, 10 * x + coalesce(odd
     "history_index": "SELECT match_id, team_id, row_number() OVER (PARTITION BY team_id ORDER BY dt, hour_utc, match_id) - 1 AS nth FROM {fx_team_matches}",
 }
 
-QUERIES = {f.__name__: f for f in (legacy_goals, legacy_places, country_windows, legacy_season_place, imitated_teams, result_elo, label_pairs, min_max_scaled, history_index)}
+QUERIES = {f.__name__: f for f in (legacy_goals, legacy_places, country_windows, legacy_season_place, imitated_teams, result_elo, label_pairs, min_max_scaled, history_index, birthday_matches, older_matrices)}
