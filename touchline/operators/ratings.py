@@ -25,18 +25,23 @@ def _candidates(lookups: DataFrame, snapshots: DataFrame, back: int, ahead: int)
     return pairs.where((F.col("age") <= back) & (F.col("age") >= -ahead))
 
 
+def _nearest(lookups: DataFrame, snapshots: DataFrame, key: list[str], back: int, ahead: int, order: list[Column], most: int) -> DataFrame:
+    """lookups with their nearest snapshots by order, numbered by date. Numbers depend on player and day alone (and on those of key's columns that snapshots have), so
+    they are found for distinct days of a player, and lookups join what was found."""
+    own = ["player_id", "day", *[k for k in key if k in snapshots.columns and k not in ("player_id", "day")]]
+    pairs = _candidates(lookups.select("player_id", "day").distinct(), snapshots, back, ahead)
+    near = pairs.withColumn("nth", F.dense_rank().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("nth") <= most)
+    return lookups.join(near, ["player_id", "day"])
+
+
 def past_snapshots(lookups: DataFrame, snapshots: DataFrame, key: list[str], days: int = C.MAX_AGE_DAYS, most: int = C.MAX_SNAPSHOTS) -> DataFrame:
-    """The nearest `most` snapshots, each date once, on or before the day and at most `days` old; nth from 1."""
-    pairs = _candidates(lookups, snapshots, days, 0)
-    nth = F.dense_rank().over(Window.partitionBy(*key).orderBy("age"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= most)
+    """The nearest `most` snapshots, each date once, on or before the day and at most `days` old; nth from 1. key names a lookup."""
+    return _nearest(lookups, snapshots, key, days, 0, [F.col("age")], most)
 
 
 def past_then_future_snapshots(lookups: DataFrame, snapshots: DataFrame, key: list[str], days: int = C.MAX_AGE_DAYS, most: int = C.MAX_SNAPSHOTS) -> DataFrame:
     """Snapshots within `days` on either side: past ones first, nearest first, then future ones, nearest first."""
-    pairs = _candidates(lookups, snapshots, days, days)
-    nth = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("age") < 0, F.abs("age")))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= most)
+    return _nearest(lookups, snapshots, key, days, days, [F.col("age") < 0, F.abs("age")], most)
 
 
 def filled_skills(candidates: DataFrame, key: list[str], skill: str = "skill") -> DataFrame:
