@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from touchline.functions.lineage import cut
 from touchline.functions.scalars import clip_probability
-from touchline.operators import sequential
 
 STEPS = 25
 TOLERANCE = 1e-8
@@ -300,11 +299,6 @@ def layered(layers: list[int], rate: Callable[[int], float], step: int = 20, epo
     return fit
 
 
-def placed(matches: DataFrame, rounds: DataFrame | None = None) -> DataFrame:
-    """matches with round_index of the rounds given, or of the greedy ones."""
-    return matches.join(rounds if rounds is not None else sequential.greedy_rounds(matches), "match_id")
-
-
 def first_folds(rounds: DataFrame, window: int, count: int, offset: int = 0) -> list[int]:
     """The first `count` folds from the offset-th on, for a trial run; their number is the caller's."""
     last = rounds.agg(F.max("round_index")).first()[0]
