@@ -104,6 +104,20 @@ def test_greedy_rounds_against_a_plain_loop(spark, block, n):
         assert got[r.match_id] == index
 
 
+def test_greedy_rounds_keep_a_block_whole_where_a_join_is_replanned(spark):
+    rows = tables(spark, "/root/testdata/sf0.001", "fx_matches")
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}  # as large tables have it
+    before = {k: spark.conf.get(k, None) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        parted = {r.match_id: r.round_index for r in sequential.greedy_rounds(rows, 400).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert parted == {r.match_id: r.round_index for r in sequential.greedy_rounds(rows).collect()}
+
+
 def test_rounds_and_ratings_of_odd_tables(spark):
     assert sequential.greedy_rounds(matches(spark, [])).count() == 0 and sequential.elo_ratings(matches(spark, [])).count() == 0
     far = matches(spark, [(i, 1 + i, 1, 2 * i, 2 * i + 1, 0, 0) for i in range(12)])  # no team plays twice: one round over all blocks
