@@ -83,3 +83,12 @@ def test_refused(tables):
 def test_empty_records(tables):
     _, raw = tables
     assert all(df.count() == 0 for df in ingest.ingest({k: v.limit(0) for k, v in raw.items()}, ("X",), ("A",)).values())
+
+
+def test_days_beyond_the_year_9999(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.functions.scalars import iso_day
+
+    days = spark.range(3).select(F.element_at(F.array(F.date_from_unix_date(F.lit(0)), F.date_from_unix_date(F.lit(8999990)), F.lit(None).cast("date")), F.col("id").cast("int") + 1).alias("d"))
+    assert [r.d for r in days.select(iso_day(F.col("d")).alias("d")).collect()] == ["1970-01-01", "26611-02-20", None]

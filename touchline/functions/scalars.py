@@ -148,6 +148,11 @@ def name_key(plain: Column) -> Column:
     return F.when((F.size(parts) >= 2) & (F.length(last) >= 2), F.concat(last, F.lit("|"), F.substring(plain, 1, 1)))
 
 
+def iso_day(day: Column) -> Column:
+    """A day as year-month-day; years beyond 9999 have their digits without the plus sign that date_format puts before them."""
+    return F.when(day.isNotNull(), F.format_string("%04d-%02d-%02d", F.year(day), F.month(day), F.dayofmonth(day)))
+
+
 def season_of_date(day: Column, first_month: int = 7) -> Column:
     return F.year(day) - (F.month(day) < first_month).cast("int")
 

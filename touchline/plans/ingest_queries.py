@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.functions.scalars import iso_day
 from touchline.plans.fixtures import tables
 from touchline.sources import ingest
 
@@ -49,7 +50,7 @@ def ingested_matches(spark: SparkSession, d: str) -> DataFrame:
 def ingested_players(spark: SparkSession, d: str) -> DataFrame:
     out = ingested(spark, d)
     clubs = out["rosters"].groupBy("player_id").agg(F.count("*").alias("rosters"), F.min("team_id").alias("least_team"))
-    return out["players"].join(clubs, "player_id").select("player_id", "full_name", F.date_format("birthday", "yyyy-MM-dd").alias("birthday"), "rosters", "least_team")
+    return out["players"].join(clubs, "player_id").select("player_id", "full_name", iso_day(F.col("birthday")).alias("birthday"), "rosters", "least_team")
 
 
 def ingested_lineups(spark: SparkSession, d: str) -> DataFrame:
