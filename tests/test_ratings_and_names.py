@@ -2,12 +2,13 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from touchline import config as C
 from touchline.functions import scalars as S
-from touchline.functions.similarity import indel_ratio
+from touchline.functions.similarity import all_ratios, indel_ratio, two_best
 from touchline.operators import ratings, resolve
 
 D = date
@@ -131,6 +132,29 @@ def test_indel_ratio(a, b):
     assert indel_ratio(a, b) == pytest.approx(want)
 
 
+def test_names_in_blocks_are_scored_as_pairs_are():
+    names = ["", "a", "ab", "aab", "ab c", "b a", "élan", "a\0", "x" * 64, "x" * 70, "y" * 300]
+    got = all_ratios(names, names)
+    assert all(got[i, j] == indel_ratio(b, a) for i, a in enumerate(names) for j, b in enumerate(names))
+    best, least, second = two_best([["ab", "zz"], ["b a"]], [["ab"], ["ab", "b"], ["q"]], np.array([7, 5, 1]), np.array([1, 1, 2]))
+    assert list(best) == [100.0, indel_ratio("b", "b a")] and list(least) == [5, 5] and list(second) == [100.0, indel_ratio("ab", "b a")]
+    assert two_best([["ab"]], [["q"]], np.array([3]), np.array([1]))[2][0] == -1
+
+
+def test_players_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PLAYER_BLOCK", 3)
+    monkeypatch.setattr(resolve, "RATED_BLOCK", 4)
+    name = lambda x: f"n{x * 37 % 101} {x % 7}"
+    players = spark.createDataFrame([(i, i % 2, [name(i)]) for i in range(40)], "player_id long, block_key long, names array<string>")
+    rated = spark.createDataFrame([(i, i % 2, [name(3 * i)]) for i in range(50)] + [(90, 1, [name(3)])], "rated_id long, block_key long, names array<string>")
+    got = {r.player_id: (r.best, r.rated_id, r.second) for r in resolve.best_names(players, rated).collect()}
+    for i in range(40):
+        scores = sorted((-indel_ratio(name(i), name(3 * j)), j) for j in range(50) if j % 2 == i % 2)
+        if i % 2:
+            scores = sorted([*scores, (-indel_ratio(name(i), name(3)), 90)])
+        assert got[i] == (-scores[0][0], scores[0][1], -scores[1][0])
+
+
 def test_team_matching_with_override(spark):
     teams = spark.createDataFrame([(1, "Anything", 9), (2, "Manchester Utd", 9), (3, "Lost", 8)], "team_id long, name string, league_id long")
     clubs = spark.createDataFrame([(200, "Manchester United", 9), (201, "Liverpool", 9)], "club_id long, name string, league_id long")

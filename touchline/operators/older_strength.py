@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from touchline import config as C
-from touchline.functions.similarity import similarity
 from touchline.operators import legacy, ratings
+from touchline.operators.resolve import best_names
 
 #: The older feed's least similarity, days around a match within which snapshots count, and where imitated rows are put (from 0).
 LEAST_SIMILARITY = 55.0
@@ -73,9 +73,10 @@ def match_by_birthday(players: DataFrame, rated: DataFrame, least: float = LEAST
 
     players(player_id, name, full_name, dob), rated(rated_id, r_name, r_full_name, dob); ties to the smaller id.
     """
-    names = [ascii_name(F.col(c)) for c in ("name", "full_name", "r_name", "r_full_name")]
-    pairs = players.join(rated.where("dob is not null"), "dob").withColumn("score", similarity(*names))
-    best = pairs.groupBy("player_id").agg(F.max_by(F.struct("rated_id", "score"), F.struct("score", -F.col("rated_id"))).alias("b"))
+    names = lambda *columns: F.array_sort(F.array_distinct(F.array(*[ascii_name(F.col(c)) for c in columns]))).alias("names")
+    asked = players.select("player_id", F.col("dob").alias("block_key"), names("name", "full_name"))
+    pairs = best_names(asked, rated.select(F.col("dob").alias("block_key"), "rated_id", names("r_name", "r_full_name")))
+    best = pairs.groupBy("player_id").agg(F.max_by(F.struct("rated_id", F.col("best").alias("score")), F.struct("best", -F.col("rated_id"))).alias("b"))
     found = players.select("player_id").distinct().join(best, "player_id", "left")
     reason = F.when(F.col("b").isNull(), "no_birthday").when(F.col("b.score") < least, "rejected").otherwise("matched")
     return found.select("player_id", F.when(reason == "matched", F.col("b.rated_id")).alias("rated_id"), F.col("b.score").alias("score"), reason.alias("reason"))
