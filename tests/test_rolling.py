@@ -97,3 +97,12 @@ def test_empty_tables_and_trial_folds(rows, spark):
     assert rolling.ridge_weights(none, WINDOW).count() == 0 and rolling.logistic_weights(none, WINDOW).count() == 0 and rolling.majority(none, WINDOW, 3).count() == 0
     assert rolling.first_folds(rows, 3, 2, 1) == [4, 5] and rolling.first_folds(rows, 8, 5) == [8] and rolling.first_folds(none, 3, 2) == []
     assert rolling.fitted_by_fold(rows, [], WINDOW, rolling.forest()).count() == 0
+
+
+def test_blocks_are_worked_on_few_at_a_time():
+    import pandas as pd
+
+    now = [{"fold": 9, "w": [0.0, 0.0], "n": 2.0, "positives": 1.0}] * 3
+    frame = pd.DataFrame({"round_index": range(150), "n": 2, "x": [[1.0, 2.0]] * 150, "t": [[0.0, 1.0]] * 150, "folds": [now] * 150})
+    made = list(rolling._curved(iter([frame]), False))
+    assert [len(f) for f in made] == [192, 192, 66]

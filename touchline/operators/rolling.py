@@ -40,6 +40,13 @@ def _matrix(block: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([np.ones(len(x)), x]), np.asarray(block.t, float)
 
 
+def _few(frames: Iterator[pd.DataFrame], most: int = 64) -> Iterator[pd.DataFrame]:
+    """Frames of at most `most` rows, since what a block sends to its folds is many times the block."""
+    for frame in frames:
+        for a in range(0, len(frame), most):
+            yield frame.iloc[a : a + most]
+
+
 def _summed(parts: DataFrame, value: str = "s") -> DataFrame:
     """Sums by fold of arrays of equal length, element by element; first within tasks, then of what they send."""
 
@@ -62,7 +69,7 @@ def moments(made: DataFrame, window: int, last: int) -> DataFrame:
     """(fold, s): of the training rows of each fold, x'x with a leading 1, x't and t't, in a row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _few(frames):
             out = []
             for b in frame.itertuples():
                 x, t = _matrix(b)
@@ -143,7 +150,7 @@ def _spread(now: DataFrame, window: int) -> DataFrame:
 
 def _curved(frames: Iterator[pd.DataFrame], balanced: bool) -> Iterator[pd.DataFrame]:
     """Curvature and gradient of each fold on a block."""
-    for frame in frames:
+    for frame in _few(frames):
         out = []
         for b in frame.itertuples():
             x, t = _matrix(b)
