@@ -19,3 +19,28 @@ def test_cells_are_made_for_rounds_of_the_folds_alone(spark):
     folds = spark.createDataFrame([(26,)], "fold long")
     got = training_queries.cells(spark, D, folds)
     assert {r[0] for r in got.select("round_index").distinct().collect()} == {r.round_index for r in imputation.fold_rounds(folds, training_queries.WINDOW).collect()} == set(range(1, 27))
+
+
+@pytest.fixture
+def asked(spark):
+    day = datetime.date(2022, 1, 1)
+    snaps = [(p, day - datetime.timedelta(days=k), s, float(p + k + s) if (p + k + s) % 3 else -1.0) for p in range(4) for k in range(0, 9, 2) for s in range(2)]
+    snaps = spark.createDataFrame(snaps, "player_id long, snap_date date, skill_no long, skill double")
+    looks = spark.createDataFrame([(m, m % 5, day - datetime.timedelta(days=m % 3)) for m in range(60)], "match_id long, player_id long, day date")
+    return looks, snaps
+
+
+def test_skills_are_filled_once_for_a_day_of_a_player(asked):
+    looks, snaps = asked
+    key = ["match_id", "skill_no"]
+    want = ratings.filled_skills(ratings.past_snapshots(looks, snaps, key), key)
+    got = ratings.filled_lookups(looks, snaps)
+    columns = [*key, "value", "snap_date", "age", "provenance"]
+    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and got.count() > 60
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and not shuffles(got)
+
+
+def test_lookups_with_snapshots_are_not_shuffled(asked):
+    looks, snaps = asked
+    for made in (ratings.past_snapshots, ratings.past_then_future_snapshots):
+        assert not shuffles(made(looks, snaps, ["match_id"]))
