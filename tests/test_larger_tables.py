@@ -44,3 +44,14 @@ def test_lookups_with_snapshots_are_not_shuffled(asked):
     looks, snaps = asked
     for made in (ratings.past_snapshots, ratings.past_then_future_snapshots):
         assert not shuffles(made(looks, snaps, ["match_id"]))
+
+
+def test_counts_of_cells_are_those_of_matrices(spark):
+    nan, inf = float("nan"), float("inf")
+    sides = {(1, 0): [[1.0, 2.0], [-1.0, None]], (1, 1): [[1.0, 2.0]], (2, 0): [[-1.0, nan], [inf, -1.0]], (2, 1): [[-1.0, -2.0], [3.0, 4.0]], (3, 0): [[1.0, 2.0], [1.0]]}
+    matrices = spark.createDataFrame([(*k, m) for k, m in sides.items()], "match_id long, side int, matrix array<array<double>>")
+    cells = spark.createDataFrame([(*k, i, j, x) for k, m in sides.items() for i, r in enumerate(m) for j, x in enumerate(r)], "match_id long, side int, slot int, skill_no int, value double")
+    want, got = validation.matrix_counts(matrices, (2, 2)), validation.cell_counts(cells, (2, 2))
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.where("ok").count() == 3
+    rates = [sorted(reports.missing_skill_rates(x.withColumn("competition", F.lit("A")), (2, 2)).collect(), key=str) for x in (matrices, got)]
+    assert rates[0] == rates[1]

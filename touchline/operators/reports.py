@@ -140,10 +140,16 @@ def round_types(matches: DataFrame, listed: DataFrame, only_affected: bool = Fal
 
 
 def missing_skill_rates(strength: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Of each competition and of all (null): cells, missing cells, rows and rows without any cell of strength(competition, matrix), and their shares; matrices of another shape are left out."""
-    fits = (F.size("matrix") == shape[0]) & F.forall("matrix", lambda r: F.size(r) == shape[1])
-    lost = F.transform("matrix", lambda r: F.size(F.filter(r, lambda x: F.coalesce(x < 0, F.lit(True)))))
-    rows = strength.where(fits).select("competition", F.aggregate(lost, F.lit(0), lambda a, x: a + x).alias("lost"), F.size(F.filter(lost, lambda x: x == shape[1])).alias("empty"))
+    """Of each competition and of all (null): cells, missing cells, rows and rows without any cell of strength(competition, matrix), and their shares; matrices of another shape are left out.
+
+    In place of matrices, strength may have what `validation.cell_counts` gives.
+    """
+    if "matrix" in strength.columns:
+        fits = (F.size("matrix") == shape[0]) & F.forall("matrix", lambda r: F.size(r) == shape[1])
+        lost = F.transform("matrix", lambda r: F.size(F.filter(r, lambda x: F.coalesce(x < 0, F.lit(True)))))
+        rows = strength.where(fits).select("competition", F.aggregate(lost, F.lit(0), lambda a, x: a + x).alias("lost"), F.size(F.filter(lost, lambda x: x == shape[1])).alias("empty"))
+    else:
+        rows = strength.where("ok").select("competition", "lost", "empty")
     got = rows.groupingSets([["competition"], []], "competition").agg((F.count("*") * shape[0] * shape[1]).alias("cells"), F.sum("lost").alias("missing_cells"), (F.count("*") * shape[0]).alias("player_rows"), F.sum("empty").alias("empty_rows"))
     return got.withColumn("missing_share", ratio(F.col("missing_cells"), F.col("cells"), 0.0)).withColumn("empty_share", ratio(F.col("empty_rows"), F.col("player_rows"), 0.0))
 

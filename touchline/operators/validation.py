@@ -138,13 +138,38 @@ def selection_findings(matches: DataFrame, config: C.Selection, in_scope: DataFr
     )
 
 
+def matrix_counts(strength: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(match_id, side, ok, observed, rows_missing, rows_partial, rows_observed) of strength(match_id, side, matrix); counts of a matrix of another shape are 0."""
+    valid = (F.size("matrix") == shape[0]) & F.forall("matrix", lambda r: F.size(r) == shape[1])
+    seen = F.transform("matrix", lambda r: F.size(F.filter(r, lambda x: F.coalesce((x >= 0) & ~F.isnan(x) & (x < float("inf")), F.lit(False)))))
+    cells = strength.select("match_id", "side", F.coalesce(valid, F.lit(False)).alias("ok"), F.when(valid, seen).alias("seen"))
+    of_rows = lambda keep: F.coalesce(F.size(F.filter("seen", keep)), F.lit(0))
+    observed = F.coalesce(F.aggregate("seen", F.lit(0), lambda a, x: a + x), F.lit(0))
+    rows = {"rows_missing": lambda x: x == 0, "rows_partial": lambda x: (x > 0) & (x < shape[1]), "rows_observed": lambda x: x == shape[1]}
+    return cells.select("match_id", "side", "ok", F.when(F.col("ok"), observed).otherwise(0).alias("observed"), *[F.when(F.col("ok"), of_rows(keep)).otherwise(0).alias(name) for name, keep in rows.items()])
+
+
+def cell_counts(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """What `matrix_counts` gives, and lost cells (below 0 or null) and rows that have no others (empty), of cells(match_id, side, slot, skill_no, value) without building the matrices."""
+    value = F.col("value")
+    seen, lost = F.coalesce((value >= 0) & ~F.isnan(value) & (value < float("inf")), F.lit(False)), F.coalesce(value < 0, F.lit(True))
+    rows = cells.groupBy("match_id", "side", "slot").agg(F.count("*").alias("width"), F.count_if(seen).alias("seen"), F.count_if(lost).alias("lost"))
+    counts = {
+        "observed": F.sum("seen"), "rows_missing": F.count_if(F.col("seen") == 0), "rows_partial": F.count_if((F.col("seen") > 0) & (F.col("seen") < shape[1])), "rows_observed": F.count_if(F.col("seen") == shape[1]),
+        "lost": F.sum("lost"), "empty": F.count_if(F.col("lost") == shape[1]),
+    }
+    ok = (F.count("*") == shape[0]) & F.bool_and(F.col("width") == shape[1])
+    made = rows.groupBy("match_id", "side").agg(ok.alias("ok"), *[c.alias(name) for name, c in counts.items()])
+    return made.select("match_id", "side", "ok", *[F.when(F.col("ok"), F.col(name)).otherwise(0).alias(name) for name in counts])
+
+
 def coverage_inventory(
     matches: DataFrame, lineups: DataFrame, rated: DataFrame, clubs: DataFrame, strength: DataFrame, shape: tuple[int, int] = (C.PLAYERS, C.SKILLS)
 ) -> DataFrame:
     """One row for each (competition, season), and one with nulls for all: what line-ups, player and team mappings and strength matrices cover.
 
     matches(match_id, competition, season, home_id, away_id), lineups(match_id, side 0/1, player_id, position), rated(player_id, rated_id; not positive: failed),
-    clubs(team_id, club_id; not positive: unmapped on purpose), strength(match_id, side, matrix). Players and teams are counted once each,
+    clubs(team_id, club_id; not positive: unmapped on purpose), strength(match_id, side, matrix) or what `cell_counts` gives. Players and teams are counted once each,
     and in the row for all only.
     """
     sides = matches.select("match_id", "competition", "season", F.posexplode(F.array("home_id", "away_id")).alias("side", "team_id"))
@@ -154,17 +179,11 @@ def coverage_inventory(
     per_side = references.groupBy("match_id", "side").agg(
         F.count("*").alias("references"), *[F.count_if(F.col("state") == s).alias(f"references_{s}") for s in REFERENCES], F.count_if(F.col("position") == "Goalkeeper").alias("keepers")
     )
-    valid = (F.size("matrix") == shape[0]) & F.forall("matrix", lambda r: F.size(r) == shape[1])
-    seen = F.transform("matrix", lambda r: F.size(F.filter(r, lambda x: F.coalesce((x >= 0) & ~F.isnan(x) & (x < float("inf")), F.lit(False)))))
-    cells = strength.select("match_id", "side", F.lit(True).alias("there"), valid.alias("valid"), F.when(valid, seen).alias("seen"))
-    of_rows = lambda keep: F.coalesce(F.size(F.filter("seen", keep)), F.lit(0))
-    observed = F.coalesce(F.aggregate("seen", F.lit(0), lambda a, x: a + x), F.lit(0))
+    cells = (matrix_counts(strength, shape) if "matrix" in strength.columns else strength).withColumn("there", F.lit(True))
     wide = sides.join(per_side, ["match_id", "side"], "left").join(cells, ["match_id", "side"], "left")
-    ok = F.coalesce("valid", F.lit(False))
     wide = wide.select(
         "competition", "season", "match_id", "side", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("references", *(f"references_{s}" for s in REFERENCES), "keepers")],
-        F.col("there").isNotNull().alias("there"), ok.alias("ok"), F.when(ok, observed).otherwise(0).alias("observed"),
-        *[F.when(ok, of_rows(keep)).otherwise(0).alias(name) for name, keep in (("rows_missing", lambda x: x == 0), ("rows_partial", lambda x: (x > 0) & (x < shape[1])), ("rows_observed", lambda x: x == shape[1]))],
+        F.col("there").isNotNull().alias("there"), F.coalesce("ok", F.lit(False)).alias("ok"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("observed", "rows_missing", "rows_partial", "rows_observed")],
     )
     n = F.col("references")
     bucket = F.when(n == 0, "empty").when(n < shape[0], "partial").when(n == shape[0], "complete").otherwise("oversized")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import betting, league, metrics, older_strength, reports
-from touchline.plans.fixtures import tables
+from touchline.operators.validation import cell_counts
+from touchline.plans.fixtures import by_match, tables
 from touchline.plans.form_queries import LISTED, PLACES
 from touchline.plans.model_queries import ODDS, metric_sql, rounded
 from touchline.plans.report_queries import listed_rounds
-from touchline.plans.validation_queries import SHAPE, strength
+from touchline.plans.validation_queries import SHAPE
 
 METRICS = ("n", "prevalence", "accuracy", "brier", "log_loss", "auc")
 
@@ -39,7 +40,8 @@ def regular_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_skill_rates(spark: SparkSession, d: str) -> DataFrame:
-    rows = strength(spark, d).join(tables(spark, d, "fx_matches").select("match_id", "competition"), "match_id")
+    matches = by_match(spark, d)
+    rows = cell_counts(tables(spark, d, "fx_cells", fx_matches=matches), SHAPE).join(matches.select("match_id", "competition"), "match_id")
     return rounded(reports.missing_skill_rates(rows, SHAPE), 9)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import config as C
-from touchline.functions.lineage import cut
+from touchline.functions.lineage import cut, written
 from touchline.operators import league, sequential, validation
-from touchline.plans.fixtures import tables
+from touchline.plans.fixtures import by_match, tables
 from touchline.plans.model_queries import rounded
 
 #: A selection with a competition that has no matches, seasons without listed rounds and an excluded season.
@@ -38,15 +38,11 @@ def selection_findings(spark: SparkSession, d: str) -> DataFrame:
     return validation.rollup(selection(spark, d))
 
 
-def strength(spark: SparkSession, d: str) -> DataFrame:
-    """(match_id, side, matrix) from cells."""
-    cells = tables(spark, d, "fx_cells").withColumn("c", F.struct("skill_no", "value"))
-    rows = cells.groupBy("match_id", "side", "slot").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x.value).alias("r"))
-    return rows.groupBy("match_id", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "r"))), lambda x: x.r).alias("matrix"))
-
-
 def inventory(spark: SparkSession, d: str) -> DataFrame:
-    return validation.coverage_inventory(tables(spark, d, "fx_matches"), tables(spark, d, "fx_listed"), tables(spark, d, "fx_rated"), tables(spark, d, "fx_clubs"), strength(spark, d), SHAPE)
+    matches = by_match(spark, d)
+    listed, cells = (tables(spark, d, name, fx_matches=matches) for name in ("fx_listed", "fx_cells"))
+    rated, clubs = (written(tables(spark, d, name)) for name in ("fx_rated", "fx_clubs"))
+    return validation.coverage_inventory(matches, listed, rated, clubs, validation.cell_counts(cells, SHAPE), SHAPE)
 
 
 def coverage_inventory(spark: SparkSession, d: str) -> DataFrame:
