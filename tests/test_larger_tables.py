@@ -55,3 +55,12 @@ def test_counts_of_cells_are_those_of_matrices(spark):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.where("ok").count() == 3
     rates = [sorted(reports.missing_skill_rates(x.withColumn("competition", F.lit("A")), (2, 2)).collect(), key=str) for x in (matrices, got)]
     assert rates[0] == rates[1]
+
+
+def test_lineup_rules_in_one_pass(spark):
+    lineups = spark.createDataFrame([(1, 0, 6), (1, 0, 6), (1, None, 6), (2, 0, 5), (2, 1, 5)], "match_id long, side long, player_id long")
+    found = validation.lineup_rules(lineups, spark.createDataFrame([(5,)], "player_id long"))
+    assert {(r.code, r.entity_id, r.n) for r in found.collect()} == {
+        ("duplicate_home_lineup_player", "1", 1), ("unknown_home_lineup_player", "1", 3), ("unknown_away_lineup_player", "1", 1), ("player_in_both_lineups", "2", 1)
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # line-ups and players are read once

@@ -86,17 +86,16 @@ def membership_rules(matches: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def lineup_rules(lineups: DataFrame, players: DataFrame) -> DataFrame:
-    """Rules on lineups(match_id, side 0/1, player_id): repeats on a side, unknown players, players on both sides."""
-    listed = lineups.groupBy("match_id", "player_id").agg(*[F.count_if(F.col("side") == i).alias(f"n_{side}") for i, side in enumerate(SIDES)])
-    known = players.select("player_id", F.lit(True).alias("known")).distinct()
-    repeats = [
-        listed.where(F.col(f"n_{side}") > 1).select(F.lit(f"duplicate_{side}_lineup_player").alias("code"), F.lit("warning").alias("severity"), F.lit("match").alias("entity"), F.col("match_id").cast("string").alias("entity_id"), (F.col(f"n_{side}") - 1).alias("n"))
-        for side in SIDES
-    ]
-    unknown = lineups.join(known, "player_id", "left").where("known is null")
-    strangers = broken(unknown, [(f"unknown_{side}_lineup_player", "critical", F.col("side") == i) for i, side in enumerate(SIDES)], "match", F.col("match_id"))
-    both = broken(listed, [("player_in_both_lineups", "warning", (F.col("n_home") > 0) & (F.col("n_away") > 0))], "match", F.col("match_id"))
-    return reduce(DataFrame.unionByName, [*repeats, strangers, both])
+    """Rules on lineups(match_id, side 0/1, player_id): repeats on a side, unknown players, players on both sides, in one pass; n counts the rows of a player in a match."""
+    here = [F.col("side") == i for i in range(len(SIDES))]
+    listed = lineups.groupBy("match_id", "player_id").agg(*[F.count_if(x).alias(f"n_{side}") for x, side in zip(here, SIDES, strict=True)], *[F.count_if(F.coalesce(x, F.lit(True))).alias(f"at_{side}") for x, side in zip(here, SIDES, strict=True)])
+    listed = listed.join(players.select("player_id", F.lit(True).alias("known")).distinct(), "player_id", "left")
+    counts = {f"duplicate_{side}_lineup_player": ("warning", F.col(f"n_{side}") - 1) for side in SIDES}
+    counts |= {f"unknown_{side}_lineup_player": ("critical", F.when(F.col("known").isNull(), F.col(f"at_{side}"))) for side in SIDES}
+    counts["player_in_both_lineups"] = ("warning", F.when((F.col("n_home") > 0) & (F.col("n_away") > 0), F.lit(1).cast("long")))
+    hits = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.alias("n"))) for code, (severity, n) in counts.items()]))
+    found = listed.select(F.col("match_id").cast("string").alias("entity_id"), F.explode(hits).alias("h"))
+    return found.select("h.code", "h.severity", F.lit("match").alias("entity"), "entity_id", "h.n")
 
 
 def domain_findings(matches: DataFrame, teams: DataFrame, comp_seasons: DataFrame, membership: DataFrame, lineups: DataFrame, players: DataFrame) -> DataFrame:

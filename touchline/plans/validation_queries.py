@@ -17,10 +17,10 @@ SHAPE = (11, 4)
 
 
 def domain(spark: SparkSession, d: str) -> DataFrame:
-    teams = tables(spark, d, "fx_matches").select(F.col("home_id").alias("team_id")).distinct().where("team_id % 17 <> 6")
-    linked, membership, lineups = (cut(tables(spark, d, name)) for name in ("fx_linked", "fx_membership", "fx_lineups"))  # views that several rules read
-    players = lineups.select("player_id").distinct().where("player_id % 37 <> 5")
-    return validation.domain_findings(linked, teams, tables(spark, d, "fx_comp_seasons"), membership, lineups, players)
+    teams = written(tables(spark, d, "fx_matches").select(F.col("home_id").alias("team_id")).distinct().where("team_id % 17 <> 6"))
+    linked, membership, comp_seasons = (written(tables(spark, d, name)) for name in ("fx_linked", "fx_membership", "fx_comp_seasons"))  # views that several rules read
+    players = written(tables(spark, d, "fx_lineups").select("player_id").distinct().where("player_id % 37 <> 5"))
+    return validation.domain_findings(linked, teams, comp_seasons, membership, tables(spark, d, "fx_lineups", fx_matches=by_match(spark, d)), players)
 
 
 def domain_findings(spark: SparkSession, d: str) -> DataFrame:
