@@ -64,3 +64,14 @@ def test_lineup_rules_in_one_pass(spark):
         ("duplicate_home_lineup_player", "1", 1), ("unknown_home_lineup_player", "1", 3), ("unknown_away_lineup_player", "1", 1), ("player_in_both_lineups", "2", 1)
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # line-ups and players are read once
+
+
+def test_queries_shuffle_matches_instead_of_what_is_made_of_them(spark):
+    counts = validation.cell_counts(fixtures.tables(spark, D, "fx_cells", fx_matches=fixtures.by_match(spark, D)), (11, 4))
+    assert len(shuffles(counts)) == 1 and "Cartesian" not in counts._jdf.queryExecution().executedPlan().toString()
+    filled = model_queries.skill_fill(spark, D)
+    assert len(shuffles(filled)) == 1
+    lineups = ingest_queries.raw(spark, D)["lineups"]
+    assert len(shuffles(lineups)) == 1
+    made = legacy_queries.older_matrices(spark, D)
+    assert len([x for x in shuffles(made) if "match_id" in x]) == 2  # matches for line-ups, and again for teams

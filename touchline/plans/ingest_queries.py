@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import iso_day
-from touchline.plans.fixtures import tables
+from touchline.plans.fixtures import by_match, tables
 from touchline.sources import ingest
 
 COUNTRIES, NAMES, FIRST = ("C0", "C1", "C2"), ("L0", "L1", "L2", "L3"), 1994
@@ -33,7 +33,7 @@ def raw(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     matches = m.select(F.col("cs").alias("season_id"), F.col("match_id").alias("ord"), F.to_json(record).alias("record"))
     odd = (F.col("match_id") % 53 == 1) & (F.col("slot") == 3)
-    listed = tables(spark, d, "fx_lineups").withColumn("p", F.when(odd, '{"player_id": "none"}').otherwise(F.concat(F.lit('{"player_id": '), F.col("player_id").cast("string"), F.lit("}"))))
+    listed = tables(spark, d, "fx_lineups", fx_matches=by_match(spark, d)).withColumn("p", F.when(odd, '{"player_id": "none"}').otherwise(F.concat(F.lit('{"player_id": '), F.col("player_id").cast("string"), F.lit("}"))))
     one = lambda side: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("side", "slot", "p")), lambda x: x.side == side)), lambda x: x.p), ", ")
     lineups = listed.groupBy("match_id").agg(F.concat(F.lit('[{"note": 1}, {"lineups": {"team_a": ['), one(0), F.lit('], "team_b": ['), one(1), F.lit("]}}]")).alias("record"))
     return {"leagues": leagues, "teams": teams, "players": players, "matches": matches, "lineups": lineups}
