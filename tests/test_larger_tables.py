@@ -2,11 +2,14 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import imputation, ratings, reports, validation
+from touchline.operators import datasets, imputation, ratings, reports, validation
+from touchline.operators.sequential import EloTable
 from touchline.plans import fixtures, ingest_queries, legacy_queries, model_queries, training_queries
+from touchline.streaming import live
 
 D = "/root/testdata/sf0.001"
 
@@ -75,3 +78,18 @@ def test_queries_shuffle_matches_instead_of_what_is_made_of_them(spark):
     assert len(shuffles(lineups)) == 1
     made = legacy_queries.older_matrices(spark, D)
     assert len([x for x in shuffles(made) if "match_id" in x]) == 2  # matches for line-ups, and again for teams
+
+
+def test_a_competition_is_packed_and_rated_in_batches(spark, tmp_path):
+    frames = [pd.DataFrame({"a": [1, 300], "b": [1.5, None], "dt": pd.to_datetime(["2022-01-02", "2022-01-01"]), "s": ["x", "y"]}), pd.DataFrame({"a": [7], "b": [2.0], "dt": pd.to_datetime(["2022-01-03"]), "s": ["z"]})]
+    held = live.packed(iter(frames), ["a", "b", "dt"])
+    assert {k: v.dtype.str for k, v in held.items()} == {"a": "<i2", "b": "<f8", "dt": "<M8[us]"} and held["a"].tolist() == [1, 300, 7]
+    rows = [("A", m, 2020 + m // 20, datetime.datetime(2022, 1, 1) + datetime.timedelta(days=(m * 7) % 40), None if m % 5 == 0 else m % 3, m % 4, (m + 1) % 4, m % 3, m % 2) for m in range(40)]
+    df = spark.createDataFrame(rows, "competition string, match_id long, season long, dt timestamp, hour_utc long, home_id long, away_id long, home_goals long, away_goals long")
+    df.write.parquet(str(tmp_path / "in"))
+    query = live.rated(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), batch=7).writeStream.format("memory").queryName("rated_in_batches").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    table, want = EloTable(), {}
+    for _, m, season, dt, hour, *x in sorted(rows, key=lambda r: (r[3], -1 if r[4] is None else r[4], r[1])):
+        want[m] = table.play(season, *x)[:2]
+    assert {r.match_id: (r.home_elo, r.away_elo) for r in spark.table("rated_in_batches").collect()} == want

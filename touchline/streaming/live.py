@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +32,34 @@ def repaired_lineup(lineup: Column) -> Column:
     return F.when(size == 2 * C.PLAYERS, F.slice(lineup, 1, C.PLAYERS)).when(size.isin(0, C.PLAYERS), lineup).otherwise(F.raise_error(F.lit("a line-up is neither 11 nor 22")))
 
 
-def rated(stream: DataFrame) -> DataFrame:
-    """Ratings before each match of a stream of results, by competition; the state holds each team's last rating and season."""
+def packed(frames: Iterator[pd.DataFrame], columns: list[str]) -> dict[str, np.ndarray]:
+    """Columns of all frames as arrays of the least whole numbers (dates: microseconds) that hold them; of each frame nothing else is kept."""
+    held = {c: [] for c in columns}
+    for frame in frames:
+        for c in columns:
+            x = frame[c]
+            held[c].append(x.to_numpy().astype("datetime64[us]") if x.dtype.kind not in "iufb" else pd.to_numeric(x, downcast="integer").to_numpy())
+    return {c: np.concatenate(held.pop(c)) for c in columns}
+
+
+def rated(stream: DataFrame, batch: int = 65536) -> DataFrame:
+    """Ratings before each match of a stream of results, by competition; the state holds each team's last rating and season.
+
+    A competition's matches of a micro-batch are ordered as packed numbers (some 30 bytes each), and rated `batch` at a time.
+    """
+    fields = ["season", "home_id", "away_id", "home_goals", "away_goals"]
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         table = EloTable()
         if state.exists:
             table.state = {t: (r, s) for t, r, s in zip(*state.get, strict=True)}
-        rows = pd.concat(list(frames))
-        rows = rows.assign(hour_utc=rows.hour_utc.fillna(-1)).sort_values(["dt", "hour_utc", "match_id"])
-        made = [(key[0], m, *table.play(*x)[:2]) for m, *x in rows[["match_id", "season", "home_id", "away_id", "home_goals", "away_goals"]].itertuples(index=False, name=None)]
+        held = packed(frames, ["dt", "hour_utc", "match_id", *fields])
+        order = np.lexsort((held["match_id"], np.nan_to_num(held["hour_utc"], nan=-1), held["dt"]))
+        for i in range(0, len(order), batch):
+            part = order[i : i + batch]
+            made = [(key[0], m, *table.play(*x)[:2]) for m, *x in zip(*[held[c][part].tolist() for c in ("match_id", *fields)], strict=True)]
+            yield pd.DataFrame(made, columns=["competition", "match_id", "home_elo", "away_elo"])
         state.update((list(table.state), [r for r, _ in table.state.values()], [s for _, s in table.state.values()]))
-        yield pd.DataFrame(made, columns=["competition", "match_id", "home_elo", "away_elo"])
 
     return stream.groupBy("competition").applyInPandasWithState(run, RATED, STATE, "append", GroupStateTimeout.NoTimeout)
 
