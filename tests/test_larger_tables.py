@@ -93,3 +93,8 @@ def test_a_competition_is_packed_and_rated_in_batches(spark, tmp_path):
     for _, m, season, dt, hour, *x in sorted(rows, key=lambda r: (r[3], -1 if r[4] is None else r[4], r[1])):
         want[m] = table.play(season, *x)[:2]
     assert {r.match_id: (r.home_elo, r.away_elo) for r in spark.table("rated_in_batches").collect()} == want
+
+
+def test_a_trial_run_writes_the_rounds_of_its_folds(spark):
+    data = training_queries.trial_rows(spark, D)
+    assert data.agg(F.max("round_index")).first()[0] == training_queries.WINDOW + training_queries.TRIAL - 1 and len(data.inputFiles()) > 0
