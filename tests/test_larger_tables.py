@@ -80,6 +80,17 @@ def test_queries_shuffle_matches_instead_of_what_is_made_of_them(spark):
     assert len([x for x in shuffles(made) if "match_id" in x]) == 2  # matches for line-ups, and again for teams
 
 
+def test_equal_rows_are_fitted_once(spark):
+    rows = [(1000 * s + i, 2000 + s, i * 7 % 3 > 0, (i % 10 + 1) / 12, (i % 7 + 1) / 9) for s in range(3) for i in range(600)]
+    df = spark.createDataFrame(rows, "match_id long, season long, y boolean, probability double, fair_under double").withColumn("y_true", F.col("y").cast("int"))
+    assert datasets.grouped(df, ["season", "probability", "y_true"]).count() == 60
+    pair = [x.withColumn("features", F.array("probability", "fair_under")) for x in (df.where("season < 2002"), df.where("season = 2002"))]
+    kept = [x.withColumnRenamed("probability", "_raw") for x in (datasets.grouped(pair[0], ["features", "probability", "fair_under", "y_true"]), pair[1], pair[0])]
+    for c in (1.0, 1e9):
+        got, want = ({r.match_id: r.probability for r in fit.collect()} for fit in (datasets.fit_weighted(kept[0], kept[1], c=c), datasets.fit_logistic(kept[2], kept[1], c=c)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_a_competition_is_packed_and_rated_in_batches(spark, tmp_path):
     frames = [pd.DataFrame({"a": [1, 300], "b": [1.5, None], "dt": pd.to_datetime(["2022-01-02", "2022-01-01"]), "s": ["x", "y"]}), pd.DataFrame({"a": [7], "b": [2.0], "dt": pd.to_datetime(["2022-01-03"]), "s": ["z"]})]
     held = live.packed(iter(frames), ["a", "b", "dt"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import config as C
+from touchline.functions.lineage import written
 from touchline.functions.scalars import clip_probability, logit, strength_mask, strength_values
 
 
@@ -36,6 +37,26 @@ def role_means(matrix: Column, roles: Column, role: int, width: int = C.SKILLS)
     return F.transform(sums, lambda s: s / F.greatest(F.size(rows), F.lit(1)))
 
 
+def grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal rows of columns once, with their number as weight."""
+    return rows.groupBy(*columns).agg(F.count("*").cast("double").alias("weight"))
+
+
+def fit_weighted(training: DataFrame, validation: DataFrame, features: str = "features", c: float = 1.0) -> DataFrame:
+    """`fit_logistic` for training rows that count `weight` times each."""
+    n, positives = training.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("y_true"))).first()
+    if not n or positives in (0, n):
+        return validation.withColumn("probability", F.lit(positives / n if n else 0.5))
+    each = training.select("weight", F.posexplode(F.col(features).cast("array<double>")).alias("i", "x")).groupBy("i")
+    sums = {r.i: (r.s / n, r.q) for r in each.agg(F.sum(F.col("weight") * F.col("x")).alias("s"), F.sum(F.col("weight") * F.col("x") * F.col("x")).alias("q")).collect()}  # a row for each feature
+    scale = [(mean, (max(q - n * mean * mean, 0.0) / max(n - 1, 1)) ** 0.5) for _, (mean, q) in sorted(sums.items())]
+    own = F.array(*[(F.get(F.col(features), F.lit(i)) - mean) / std if std else F.lit(0.0) for i, (mean, std) in enumerate(scale)])
+    vectors = [x.withColumn("_s", array_to_vector(own)) for x in (training, validation)]
+    model = LogisticRegression(featuresCol="_s", labelCol="y_true", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False).fit(vectors[0])
+    scored = model.transform(vectors[1])
+    return scored.withColumn("_p", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "_s").withColumnRenamed("_p", "probability")
+
+
 def fit_logistic(training: DataFrame, validation: DataFrame, features: str = "features", c: float = 1.0) -> DataFrame:
     """validation with probability of y_true = 1: standardised features, L2 strength 1/c over the rows; the constant share for one class."""
     n, positives = training.agg(F.count("*"), F.sum(F.col("y_true").cast("long"))).first()
@@ -49,17 +70,22 @@ def fit_logistic(training: DataFrame, validation: DataFrame, features: str = "fe
 
 
 def walk_forward(rows: DataFrame, seasons: list[int], method: str = "platt") -> DataFrame:
-    """Each season but the first, with `calibrated`: fitted on earlier seasons by Platt scaling, isotonic regression or model and market together."""
+    """Each season but the first, with `calibrated`: fitted on earlier seasons by Platt scaling, isotonic regression or model and market together.
+
+    Fits read equal rows of a season once, with their number as weight, which leaves sums and optima as they are.
+    """
     out = None
+    inputs = ["probability", "fair_under"] if method == "hybrid" else ["probability"]
+    past = written(grouped(rows, ["season", *inputs, "y_true"]), "grouped")
     for season in seasons[1:]:
-        earlier, now = rows.where(F.col("season") < season), rows.where(F.col("season") == season)
+        earlier, now = past.where(F.col("season") < season), rows.where(F.col("season") == season)
         if method == "isotonic":
-            model = IsotonicRegression(featuresCol="_x", labelCol="y_true").fit(earlier.withColumn("_x", F.col("probability")).withColumn("y_true", F.col("y_true").cast("double")))
+            model = IsotonicRegression(featuresCol="_x", labelCol="y_true", weightCol="weight").fit(earlier.withColumn("_x", F.col("probability")).withColumn("y_true", F.col("y_true").cast("double")))
             got = model.transform(now.withColumn("_x", F.col("probability"))).withColumn("calibrated", clip_probability(F.col("prediction"))).drop("prediction", "_x")
         else:
-            own = [logit(clip_probability(F.col(x))) for x in (["probability"] if method == "platt" else ["probability", "fair_under"])]
+            own = [logit(clip_probability(F.col(x))) for x in inputs]
             kept = [x.withColumn("features", F.array(*own)).withColumnRenamed("probability", "_raw") for x in (earlier, now)]
-            got = fit_logistic(kept[0], kept[1], c=1e9).withColumn("calibrated", clip_probability(F.col("probability"))).drop("features", "probability").withColumnRenamed("_raw", "probability")
+            got = fit_weighted(kept[0], kept[1], c=1e9).withColumn("calibrated", clip_probability(F.col("probability"))).drop("features", "probability").withColumnRenamed("_raw", "probability")
         got = got.select(*rows.columns, "calibrated")
         out = got if out is None else out.unionByName(got)
     return out
