@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import datasets, imputation, ratings, reports, validation
+from touchline import config as C
+from touchline.operators import datasets, features, form, imputation, ratings, reports, validation
 from touchline.operators.sequential import EloTable
 from touchline.plans import fixtures, ingest_queries, legacy_queries, model_queries, training_queries
 from touchline.streaming import live
@@ -109,3 +110,78 @@ def test_a_competition_is_packed_and_rated_in_batches(spark, tmp_path):
 def test_a_trial_run_writes_the_rounds_of_its_folds(spark):
     data = training_queries.trial_rows(spark, D)
     assert data.agg(F.max("round_index")).first()[0] == training_queries.WINDOW + training_queries.TRIAL - 1 and len(data.inputFiles()) > 0
+
+
+def odd_matches(spark):
+    """Matches of few teams, with repeated rows, unknown days, hours and statistics, many on one day, and teams that change sides."""
+    day = datetime.datetime(2022, 1, 1)
+    rows = [(m, None if m % 23 == 0 else day + datetime.timedelta(days=m * m % 29), None if m % 6 == 0 else m % 5, 2021 + m % 2, "AB"[m % 2], m % 4, (m + 1 + m % 3) % 4, m % 4, m * 7 % 3) for m in range(150)]
+    rows += [r for r in rows if r[0] % 10 == 3]
+    df = spark.createDataFrame(rows, "match_id long, dt timestamp, hour_utc long, season long, competition string, home_id long, away_id long, home_goals long, away_goals long")
+    for i, x in enumerate(features.SIDE_STATS):
+        for j, side in enumerate(("home", "away")):
+            value = F.when(F.col("match_id") % 7 == i % 7, None).when(F.col("match_id") % 11 == j, -1.0).when((F.col("match_id") == 60) & (F.col("match_id") % 3 == i % 3), float("nan"))
+            df = df.withColumn(f"{side}_{x}", value.otherwise((F.col("match_id") * (i + 3) % 17) / 3.0))
+    return df
+
+
+def test_form_in_batches_is_that_of_windows(spark):
+    names = {x: (f"home_{x}", f"away_{x}") for x in features.SIDE_STATS}
+    sides = form.team_matches(odd_matches(spark).where("match_id % 10 <> 3"), {k: v[0] for k, v in names.items()}, {k: v[1] for k, v in names.items()})
+    want = {}
+    stats = [form.stat_mean(f"own_{x}", n, C.SCALES[s]) for x, s in features.SIDE_STATS.items() for n in features.LAST]
+    stats += [form.total_mean(f"own_{x}", f"opp_{x}", n, C.SCALES[s]) for x, s in features.TOTAL_STATS.items() for n in features.LAST]
+    stats += [make(n) for make in (form.points_mean, form.goals_mean) for n in features.LAST] + [form.role_goals(n)[i] for i in (0, 1) for n in features.LAST]
+    stats += [form.match_load(n, C.SCALES["load"]) for n in features.LOAD_DAYS]
+    for r in sides.select("match_id", "role", F.array(*stats).alias("x")).collect():
+        want[r.match_id, features.FORM + (r.role == "away")] = r.x
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.match_id, r.part): r["values"] for r in features.history(sides, features.FORM, True, features.LOAD_DAYS).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
+def test_load_runs_on_over_a_day_of_many_matches(spark):
+    day = datetime.datetime(2022, 1, 1)
+    rows = [(m, None if m < 3 else day + datetime.timedelta(days=m // 20 * 3), None if m % 6 == 0 else m % 5, m % 2) for m in range(200)]
+    df = spark.createDataFrame(rows, "match_id long, dt timestamp, hour_utc long, team_id long")
+    made = df.select("match_id", (form.match_load(7) * 7).alias("x"))
+    assert "unboundedfollowing" not in made._jdf.queryExecution().analyzed().toString().lower()  # Spark reads such a frame anew for each row
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or day, -1 if r[2] is None else r[2], r[0]))
+    want = {}
+    for i, (m, d, _, team) in enumerate(ordered):
+        earlier = [r[1] for r in ordered[:i] if r[3] == team]
+        want[m] = sum((x is None) if d is None else (x is not None and (d - x).days <= 7) for x in earlier)
+    assert {r.match_id: round(r.x) for r in made.collect()} == want
+
+
+def test_features_deal_out_each_side_once_by_team_and_once_by_match(spark):
+    table = fixtures.tables(spark, D, "fx_full_stats")
+    plan = features.match_features(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "avg(" not in plan and "max(CASE" not in plan
+    wide = [x for x in shuffles(features.match_features(table)) if "REPARTITION" in x]
+    assert len(wide) == 3  # sides by team, competitions for ratings, parts by match
+
+
+def test_features_of_repeated_rows_and_of_load_from_other_matches(spark):
+    df = odd_matches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.match_id: r for r in features.match_features(df, digits=6).collect()}
+        busy = df.unionByName(df.withColumn("match_id", F.col("match_id") + 1000))
+        apart = {r.match_id: r for r in features.match_features(df, busy.where("match_id <> 5")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == apart.keys() == set(range(150))
+    assert all(r[x] is not None for r in got.values() for x in features.feature_names())
+    rows = form.team_matches(busy.where("match_id <> 5"))
+    load = {}
+    for r in rows.select("match_id", "role", form.match_load(10, C.SCALES["load"]).alias("x")).collect():
+        load[r.match_id, r.role] = max(r.x, load.get((r.match_id, r.role), 0))
+    once = [m for m in range(150) if m % 10 != 3]
+    assert apart[5].home_load_10 == apart[5].away_load_25 == C.ALMOST_ZERO
+    assert all(apart[m].home_load_10 == load[m, "home"] and apart[m].away_load_10 == load[m, "away"] for m in once if m != 5)
+    assert all(abs(got[m][x] - apart[m][x]) <= 5.1e-7 for m in once for x in features.feature_names() if "load" not in x)

@@ -62,13 +62,17 @@ def table_order(mean: str, gf: str, ga: str) -> list[Column]:
     return [F.desc(mean), F.desc(F.col(gf) - F.col(ga)), F.desc(gf), F.asc("team_id")]
 
 
-def pre_match_places(team_rows: DataFrame, by_match: bool = False) -> DataFrame:
-    """(match_id, team_id, place01) before each match: every team of the season is ranked at every slot (same date and hour).
+def slot_keys(by_match: bool = False) -> list[str]:
+    return [*LEAGUE, "dt", "hour", *(["match_id"] if by_match else [])]
+
+
+def slot_places(team_rows: DataFrame, by_match: bool = False) -> DataFrame:
+    """(slot_keys, team_id, place01) of every team of the season before every slot (same date and hour, the unknown hour -1).
 
     by_match: every match is a slot of its own, so that matches of the same date and hour with a smaller id count too.
     Teams are put against slots within a season, which both are bounded by; each season is a partition of its own.
     """
-    slot = [*LEAGUE, "dt", "hour", *(["match_id"] if by_match else [])]
+    slot = slot_keys(by_match)
     rows = team_rows.withColumn("hour", F.coalesce("hour_utc", F.lit(-1)))
     slots = rows.select(*slot).distinct()
     teams = rows.select(*LEAGUE, "team_id").distinct()
@@ -83,8 +87,14 @@ def pre_match_places(team_rows: DataFrame, by_match: bool = False) -> DataFrame:
     rank = F.row_number().over(at.orderBy(*table_order("b_mean", "b_gf", "b_ga")))
     n = F.count("*").over(at)
     places = so_far.withColumn("place01", F.when(n > 1, 1 - (rank - 1) / (n - 1)).otherwise(F.lit(1.0)))
-    asked = rows.select(*dict.fromkeys(["match_id", *slot, "team_id"]))
-    return asked.join(places.select(*slot, "team_id", "place01"), [*slot, "team_id"]).select("match_id", "team_id", "place01")
+    return places.select(*slot, "team_id", "place01")
+
+
+def pre_match_places(team_rows: DataFrame, by_match: bool = False) -> DataFrame:
+    """(match_id, team_id, place01) before each match: its teams' places of slot_places."""
+    slot = slot_keys(by_match)
+    asked = team_rows.withColumn("hour", F.coalesce("hour_utc", F.lit(-1))).select(*dict.fromkeys(["match_id", *slot, "team_id"]))
+    return asked.join(slot_places(team_rows, by_match), [*slot, "team_id"]).select("match_id", "team_id", "place01")
 
 
 def season_dates(matches: DataFrame) -> DataFrame:
