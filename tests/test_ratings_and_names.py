@@ -171,6 +171,16 @@ def test_player_cascade_does_not_fall_through(spark):
     assert (got[3].rated_id, got[3].reason) == (13, "name_bucket_pass") and got[4].reason == "no_candidates"
 
 
+def test_all_of_a_name_bucket_are_candidates(spark):
+    first = lambda i: "a" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    players = spark.createDataFrame([(1, f"{first(449)} smith", f"{first(449)} smith", None, None)], "player_id long, name string, full_name string, dob date, club_id long")
+    rated = spark.createDataFrame([(i, f"{first(i)} smith", f"{first(i)} smith", D(1980, 1, 1), 1) for i in range(450)], "rated_id long, r_name string, r_full_name string, r_dob date, r_club_id long")
+    found = resolve.match_players(players, rated).first()
+    scores = sorted(indel_ratio(f"{first(449)} smith", f"{first(i)} smith") for i in range(450))
+    assert (found.rated_id, found.best, found.second, found.reason) == (449, 100.0, scores[-2], "name_bucket_pass")
+    assert resolve.candidates(players, rated).count() == 450
+
+
 def test_name_keys(spark):
     row = spark.createDataFrame([("O'Neil-Smith, J.", "X")], "a string, b string").select(S.plain_name(F.col("a")).alias("p"), S.name_key(S.plain_name(F.col("a"))).alias("k"), S.name_key(S.plain_name(F.col("b"))).alias("n")).first()
     assert (row.p, row.k, row.n) == ("o neil smith j", None, None)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import config as C
@@ -74,13 +74,11 @@ def match_teams(teams: DataFrame, clubs: DataFrame, overrides: dict[int, int] |
     return teams.select("team_id").join(best, "team_id", "left").select("team_id", F.coalesce(own.cast("long"), F.col("b.club_id"), F.lit(-1)).alias("club_id"), F.col("b.score").alias("score"))
 
 
-def _staged(players: DataFrame, rated: DataFrame, cap: int) -> tuple[DataFrame, list[tuple[list[str], DataFrame]]]:
+def _staged(players: DataFrame, rated: DataFrame) -> tuple[DataFrame, list[tuple[list[str], DataFrame]]]:
     """players(…, key, stage) with the first stage that has candidates, and for each stage its keys and the rated rows that it may give."""
     own = players.withColumn("key", name_key(plain_name(F.col("full_name"))))
     other = rated.withColumn("r_key", name_key(plain_name(F.col("r_full_name"))))
-    first = Window.partitionBy("r_key").orderBy("rated_id")
-    capped = other.where("r_key is not null").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= cap)
-    stages = [(["club_id", "dob"], other), (["club_id"], other), (["dob"], other), (["key"], capped)]
+    stages = [(["club_id", "dob"], other), (["club_id"], other), (["dob"], other), (["key"], other)]
     stage = F.lit(None).cast("int")
     for k, (keys, _) in reversed(list(enumerate(stages))):
         known = other.select(*[F.col(f"r_{x}").alias(x) for x in keys]).distinct().withColumn(f"has_{k}", F.lit(True))
@@ -89,13 +87,13 @@ def _staged(players: DataFrame, rated: DataFrame, cap: int) -> tuple[DataFrame,
     return own.withColumn("stage", stage), stages
 
 
-def candidates(players: DataFrame, rated: DataFrame, cap: int = C.NAME_BUCKET_CAP) -> DataFrame:
+def candidates(players: DataFrame, rated: DataFrame) -> DataFrame:
     """(player_id, rated_id, stage): of the four stages the first that has candidates.
 
     players(player_id, name, full_name, dob, club_id), rated(rated_id, r_name, r_full_name, r_dob, r_club_id). A player's stage is found by joins with the
-    distinct keys of rated; then each stage's players alone are joined with rated, by an equi-join. A name bucket gives its first `cap` rows, cut before the join.
+    distinct keys of rated; then each stage's players alone are joined with rated, by an equi-join. A name bucket gives all of its rows.
     """
-    own, stages = _staged(players, rated, cap)
+    own, stages = _staged(players, rated)
     own = own.select("player_id", "club_id", "dob", "key", "stage")
     found = []
     for k, (keys, side) in enumerate(stages):
@@ -108,8 +106,9 @@ def match_players(players: DataFrame, rated: DataFrame) -> DataFrame:
     """(player_id, rated_id or null, best, second, used_dob, reason): the best name of the first stage with candidates, if it is similar enough.
 
     A stage that fails its threshold does not fall through to the next; a single candidate has second -1; ties go to the smaller rated_id.
+    A stage's candidates are all compared, those of a name bucket too.
     """
-    own, stages = _staged(players, rated, C.NAME_BUCKET_CAP)
+    own, stages = _staged(players, rated)
     blank = lambda keys, of: [(F.col(of(x)) if x in keys else F.lit(None).cast(own.schema[x].dataType)).alias(x) for x in ("club_id", "dob", "key")]
     part = F.lit(None)
     sides = []
