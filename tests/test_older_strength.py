@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import older_strength as O
+from touchline.plans import legacy_queries
 
 WIDTH = 34
 NAMES = ["Élan Özil", "Müller-Lüdenscheidt", "St. Étienne FC", "", None, "Ørsted", "AC  Milan", "ac milan", "İstanbul", "Ｆｕｌｌ"]
@@ -112,6 +113,45 @@ def test_lineup_matrix(spark):
         O.lineup_matrix(spark.createDataFrame([(1, 0, 2021, 1, [("Forward", [1.0] * WIDTH)] * 12)], table.schema), averages).collect()
 
 
+def test_lineup_matrix_by_player(spark, monkeypatch):
+    rng = random.Random(5)
+    plain, averages = averages_of(spark)
+    skills = {p: [float(rng.randint(1, 99)) for _ in range(WIDTH)] for p in range(60)}
+    sides = [(i, i % 2, rng.choice([2021, None]), rng.choice([1, 2, 77, None]), [(rng.choice([*O.PLACES, "Other", None]), rng.choice([*range(70), None])) for _ in range(rng.choice([0, 1, 4, 9, 11]))]) for i in range(80)]
+    sides += [(90, 0, 2021, 1, [("Goalkeeper", 99), ("Forward", 98)]), (91, 1, 2021, 1, None)]
+    table = spark.createDataFrame(sides, "match_id long, side long, season long, team_id long, players array<struct<position: string, player_id: long>>")
+    own = spark.createDataFrame([*skills.items(), (69, None)], "player_id long, skills array<double>")
+    for most in (O.SHIPPED, 0):
+        monkeypatch.setattr(O, "SHIPPED", most)
+        got = {r.match_id: r for r in O.lineup_matrix_by_player(table, own, averages).collect()}
+        sums = {r.match_id: r for r in O.lineup_matrix_by_player(table, own, averages, made=O.TOTALS).collect()}
+        assert got.keys() == sums.keys() == {s[0] for s in sides} and got[91].matrix is got[91].imitated is sums[91].total is None
+        for i, _, season, team, players in sides[:-1]:
+            want = plain_matrix(plain, season, team, [(p, skills.get(x)) for p, x in players])
+            assert got[i].matrix == want and got[i].imitated == 11 - sum(x in skills for _, x in players)
+            assert (sums[i].n_rows, sums[i].first_row, sums[i].total, sums[i].imitated) == (11, sum(want[0]), sum(map(sum, want)), got[i].imitated)
+    none = spark.createDataFrame([], own.schema)
+    assert O.lineup_matrix_by_player(table.where("match_id = 90"), none, averages).first().imitated == 11
+    assert O.lineup_matrix_by_player(table.where("match_id = 3"), own, averages.where("season < 0")).count() == 1
+    with pytest.raises(Exception, match="too many"):
+        O.lineup_matrix_by_player(spark.createDataFrame([(1, 0, 2021, 1, [("Forward", 1)] * 12)], table.schema), own, averages).collect()
+
+
+def test_a_matrix_keeps_nulls_and_short_rows(spark):
+    averages = averages_of(spark)[1]
+    odd = [5.0] * 20 + [None] * 9 + [9.0] * 5
+    short = [1.0, 2.0]
+    table = spark.createDataFrame([(1, 0, 2021, 1, [("Goalkeeper", [1.0] * 29 + [9.0] * 5), ("Defender", odd), ("Forward", short), None])], "match_id long, side long, season long, team_id long, players array<struct<position: string, skills: array<double>>>")
+    got = O.lineup_matrix(table, averages).first()
+    assert got.imitated == 8 and odd in got.matrix and short in got.matrix and len(got.matrix) == 11
+    assert O.lineup_matrix(table, averages, made=O.TOTALS).first().total is None
+
+
+def test_line_ups_do_not_carry_skills(spark):
+    plan = legacy_queries.older_matrices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan
+
+
 def test_lookups(spark):
     rounds = spark.createDataFrame([("A", 2021, "1st Round", 5), ("A", 2021, "Final", 6), ("A", 2021, "2nd Round - 1", 7), ("A", 2021, "2nd Round", 8)], "competition string, season long, round_name string, round_id long")
     asked = spark.createDataFrame([(1, "A", 2021, "1st Round - 12"), (2, "A", 2021, "Final"), (3, "A", 2021, "2nd Round - 1"), (4, "A", 2021, "2nd Round – 3"), (5, "A", 2021, "Group - 1"), (6, "A", 2022, "Final"), (7, "A", 2021, None)], "i long, competition string, season long, name string")

@@ -1,6 +1,6 @@
 """The older feed's team strength: players by birthday and name, nearest skills filled from further snapshots, imitated players, and its look-ups.
 
-Everything is joins on ids, birthdays and seasons with array expressions inside a row; only name ratios leave the JVM (Arrow batches).
+Everything is joins on ids, birthdays and seasons with array expressions inside a row; only name ratios and line-up matrices leave the JVM (Arrow batches).
 
 Defined results: null names are empty; an empty line-up gives the imitated 4-4-2 as it is; a team without averages takes the fallback team's; repeated line-up rows count each; empty
 tables give no rows.
@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -138,44 +142,173 @@ def nearest_skills(lookups: DataFrame, snapshots: DataFrame, averages: DataFrame
     return rows.select(*lookups.columns, F.when(none, _role(F.col("position"))).otherwise(filled).alias("skills"), F.when(none, "imitated").when(n_filled > 0, "filled").otherwise("observed").alias("source"), F.when(none, 0).otherwise(n_filled).alias("filled_skills"))
 
 
-def missing_order(positions: Column) -> Column:
-    """The line-up positions, those that a 4-4-2 lacks most first (equal ones in line-up order); no goalkeeper if there is one."""
-
-    def listed(name: str) -> Column:
-        return F.size(F.filter(positions, lambda p: p == name))
+class SkillRows:
+    """Rows of skills as one matrix, short rows padded with zeros: which have a null, and how far each looks like a goalkeeper's (NaN where that is null)."""
+
+    def __init__(self, rows: pa.ListArray) -> None:
+        self.rows = rows
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        self.cells = np.zeros((len(rows), max(33, int(lengths.max(initial=0)))))
+        inside = np.arange(self.cells.shape[1]) < lengths[:, None]
+        values = rows.flatten()
+        self.cells[inside] = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+        gone = np.zeros(self.cells.shape, bool)
+        gone[inside] = values.is_null().to_numpy(zero_copy_only=False)
+        gone[rows.is_null().to_numpy(zero_copy_only=False)] = True
+        self.null = gone.any(1)
+        sums = [np.zeros(len(rows)), np.zeros(len(rows))]  # one skill after another, so that sums are those of a loop
+        for i in range(33):
+            sums[i >= 29] += self.cells[:, i]
+        keeper = sums[1] / 4 - sums[0] / 29
+        known = ~gone[:, :33].any(1)
+        self.clumsy, self.keeping = known & (keeper < 0), known & ((keeper > 0) | np.isnan(keeper))
+
+
+def _placed(batch: pa.RecordBatch, own: np.ndarray, roles: np.ndarray, table: SkillRows, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line-up the numbers of its matrix's rows in the table (-1 beyond its end), how many rows it has, and how many players have skills.
+
+    own: the row of each player (-1: no skills), line-up after line-up; roles: the rows of each line-up's averages, goalkeeper to attacker.
+    """
+    n, names = len(batch), list(PLACES)
+    players = batch["players"]
+    lengths = pc.fill_null(pc.list_value_length(players), 0).to_numpy(zero_copy_only=False)
+    if (lengths > size).any():
+        raise ValueError("a line-up has too many players")
+    rank = pc.fill_null(pc.index_in(pc.struct_field(players.flatten(), "position"), pa.array(names)), len(names)).to_numpy(zero_copy_only=False)
+    seen = np.nonzero(own >= 0)[0]
+    line = np.repeat(np.arange(n), lengths)[seen]
+    seen = seen[np.argsort(line * 8 + rank[seen], kind="stable")]
+    count = np.bincount(line, minlength=n)
+    first = np.cumsum(count) - count
+    blank = roles[:, [names.index(x) for x in ("Goalkeeper", *["Defender"] * 4, *["Midfielder"] * 4, *["Forward"] * 2)]]
+    place = np.arange(max(size, blank.shape[1]))
+    at = np.full((n, len(place)), -1)
+    at[line, np.arange(len(line)) - first[line]] = own[seen]
+    have = np.bincount(line * 8 + rank[seen], minlength=n * 8).reshape(n, 8)[:, : len(names)]
+    over = have - [EXPECTED.get(x, 0) for x in names]
+    over[have[:, 0] > 0, 0] = size + 1  # behind all others, and in no turn
+    order = np.argsort(over * len(names) + np.arange(len(names)), axis=1)
+    turns = len(names) - (have[:, 0] > 0)
+    spot = np.array(list(PLACES.values()))
+    grown = count.copy()
+    for step in range(size):  # in turns of those that a 4-4-2 lacks most, equal ones in line-up order; no goalkeeper if there is one
+        some = np.nonzero((grown < size) & (lengths > 0))[0]
+        if not len(some):
+            break
+        name = order[some, step % turns[some]]
+        put = np.minimum(spot[name], grown[some])
+        moved = np.take_along_axis(at[some], np.maximum(place - (place > put[:, None]), 0), 1)
+        moved[np.arange(len(some)), put] = roles[some, name]
+        at[some] = moved
+        grown[some] += 1
+    spare = np.full_like(at, -1)
+    spare[:, : blank.shape[1]] = blank
+    wrong = np.where(place == 0, table.clumsy[at], table.keeping[at]) & (at >= 0)
+    at = np.where(wrong | (lengths == 0)[:, None], spare, at)
+    return at, np.where(lengths == 0, blank.shape[1], size), count
+
+
+def _matrices(at: np.ndarray, height: np.ndarray, table: SkillRows) -> list[pa.Array]:
+    """The matrices themselves."""
+    inside = np.arange(at.shape[1]) < height[:, None]
+    rows = table.rows.take(pa.array(np.where(at < 0, None, at)[inside], pa.int64()) if (at[inside] < 0).any() else pa.array(at[inside]))
+    return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(height)]), pa.int32()), rows)]
+
+
+#: What is made of a batch's matrices: columns from the rows' numbers, the numbers of rows and the table, and their schema.
+Made = tuple[Callable[[np.ndarray, np.ndarray, SkillRows], list[pa.Array]], str]
+WHOLE: Made = (_matrices, "matrix array<array<double>>")
+AT_ONCE = 2048
+
+
+def totals(at: np.ndarray, height: np.ndarray, table: SkillRows) -> list[pa.Array]:
+    """The number of rows of each matrix, the sum of its first row and of all rows; a null in them gives null."""
+    cells, null = table.cells[at], table.null[at]
+    if (beyond := at < 0).any():
+        cells[beyond], null[beyond] = 0.0, False
+    return [pa.array(height, pa.int32()), pa.array(cells[:, 0].sum(1), mask=null[:, 0]), pa.array(cells.sum((1, 2)), mask=null.any(1))]
+
+
+TOTALS: Made = (totals, "n_rows int, first_row double, total double")
+
+
+def _columns(batch: pa.RecordBatch, own: np.ndarray, roles: np.ndarray, table: SkillRows, size: int, made: Made) -> list[pa.Array]:
+    at, height, count = _placed(batch, own, roles, table, size)
+    gone = batch["players"].is_null()
+    out = [*made[0](at, height, table), pa.array(size - count, pa.int32())]
+    return [batch["match_id"], batch["side"], *[pc.if_else(gone, pa.scalar(None, x.type), x) if gone.true_count else x for x in out]]
+
+
+def _made(rows: DataFrame, run: Callable[[pa.RecordBatch], list[pa.Array]], made: Made) -> DataFrame:
+    """run over a few line-ups of rows at once."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("match_id", "side"))
+    schema = f"{kinds}, {made[1]}, imitated int"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), AT_ONCE):
+                yield pa.RecordBatch.from_arrays(run(pa.RecordBatch.from_arrays([pa.concat_arrays([x.slice(a, AT_ONCE)]) for x in batch.columns], batch.schema.names)), names)
+
+    return rows.mapInArrow(each, schema)
+
+
+def lineup_matrix(lineups: DataFrame, averages: DataFrame, size: int = C.PLAYERS, made: Made = WHOLE) -> DataFrame:
+    """(match_id, side, matrix, imitated): of lineups(match_id, side, season, team_id, players array<struct(position, skills)>) the rows in line-up order, completed and balanced.
 
-    every = F.array(*[F.struct((listed(name) - EXPECTED.get(name, 0)).alias("over"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, name in enumerate(PLACES)])
-    return F.filter(F.transform(F.array_sort(every), lambda x: x["name"]), lambda n: (n != "Goalkeeper") | ~F.array_contains(positions, "Goalkeeper"))
+    Players without skills are left out and imitated; an empty line-up is the 4-4-2 of averages, unbalanced; more than `size` players are an error.
+    Rows stay numbers of rows until all are placed. made: what is given of a matrix in place of itself.
+    """
 
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        skills = pc.struct_field(batch["players"].flatten(), "skills")
+        own = np.where(skills.is_null().to_numpy(zero_copy_only=False), -1, np.arange(len(skills)))
+        table = SkillRows(pa.concat_arrays([skills, *[batch[r] for r in ROLES.values()]]))
+        roles = len(skills) + np.arange(len(ROLES) * len(batch)).reshape(len(ROLES), -1).T
+        return _columns(batch, own, roles, table, size, made)
 
-def completed(rows: Column, positions: Column, size: int = C.PLAYERS) -> Column:
-    """Skill rows with imitated ones put in, in turns of `missing_order`, until there are `size`; uses the four roles' columns."""
-    order = missing_order(positions)
+    return _made(with_averages(lineups, averages), run, made)
 
-    def put(rows: Column, step: Column) -> Column:
-        name = F.get(order, F.pmod(step, F.size(order)))
-        at = F.lit(PLACES["Forward"])
-        for p, i in PLACES.items():
-            at = F.when(name == p, F.lit(i)).otherwise(at)
-        grown = F.concat(F.slice(rows, F.lit(1), at), F.array(_role(name)), F.slice(rows, at + 1, F.lit(2 * size)))
-        return F.when(F.size(rows) < size, grown).otherwise(rows)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), rows, put)
+#: Most rows of skills and averages that go to each worker as they are (some 35 MB).
+SHIPPED = 1 << 17
 
 
-def lineup_matrix(lineups: DataFrame, averages: DataFrame, size: int = C.PLAYERS) -> DataFrame:
-    """(match_id, side, matrix, imitated): of lineups(match_id, side, season, team_id, players array<struct(position, skills)>) the rows in line-up order, completed and balanced.
+def lineup_matrix_by_player(lineups: DataFrame, skills: DataFrame, averages: DataFrame, size: int = C.PLAYERS, made: Made = WHOLE) -> DataFrame:
+    """`lineup_matrix` of lineups(…, players array<struct(position, player_id)>) with skills(player_id, skills), one row a player; both tables are read more than once.
 
-    Players without skills are left out and imitated; an empty line-up is the 4-4-2 of averages, unbalanced; more than `size` players are an error.
+    Tables of up to SHIPPED rows go to the workers, so that no line-up carries skills; with larger ones each line-up is given its players' skills by a join.
     """
-    rank = {p: i for i, p in enumerate(PLACES)}
-    marked = F.transform("players", lambda p, i: F.struct(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), p["position"]), F.lit(4)).alias("r"), i.alias("i"), p["position"].alias("position"), p["skills"].alias("skills")))
-    rows = with_averages(lineups.withColumn("_p", F.filter(F.array_sort(marked), lambda p: p["skills"].isNotNull())), averages)
-    blank = F.array(*[_role(F.lit(name)) for name, n in (("Goalkeeper", 1), ("Defender", 4), ("Midfielder", 4), ("Forward", 2)) for _ in range(n)])
-    rows = rows.withColumn("_blank", blank)
-    full = completed(F.transform("_p", lambda p: p["skills"]), F.transform("_p", lambda p: p["position"]), size)
-    own = F.when(F.size("players") > size, F.raise_error(F.lit("a line-up has too many players")).cast("array<array<double>>")).when(F.size("players") == 0, F.col("_blank")).otherwise(legacy.balanced(full, F.col("_blank")))
-    return rows.select("match_id", "side", own.alias("matrix"), (size - F.size("_p")).alias("imitated"))
+    wide = wide_averages(averages)
+    if skills.count() + len(ROLES) * wide.count() > SHIPPED:
+        players = lineups.select("match_id", "side", "season", "team_id", F.posexplode_outer("players").alias("_i", "_p"), F.col("players").isNull().alias("_gone"))
+        listed = players.select("*", F.col("_p.player_id").alias("player_id")).join(skills, "player_id", "left")
+        own = F.when(F.col("_i").isNotNull(), F.struct("_i", F.struct(F.col("_p.position").alias("position"), "skills").alias("p")))
+        found = listed.groupBy("match_id", "side", "season", "team_id", "_gone").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["p"]).alias("players"))
+        return lineup_matrix(found.withColumn("players", F.when(~F.col("_gone"), F.col("players"))), averages, size, made)
+    wide = wide.where("team_id is not null")
+    held, teams = skills.toArrow(), wide.toArrow()
+    parts = [x.combine_chunks().cast(pa.list_(pa.float64())) for x in (held["skills"], *[teams[r] for r in ROLES.values()])]
+    table = SkillRows(pa.concat_arrays([*parts, pa.array([None], pa.list_(pa.float64()))]))
+    ids, seasons, clubs = (x.to_numpy() for x in (held["player_id"], teams["season"], teams["team_id"]))
+    lacks = table.rows.is_null().to_numpy(zero_copy_only=False)
+    found = len(ids) + np.arange(len(ROLES) * len(clubs)).reshape(len(ROLES), -1)
+    common = found[:, (seasons == legacy.FALLBACK[0]) & (clubs == legacy.FALLBACK[1])] if len(clubs) else found
+    common = common if common.shape[1] else np.full((len(ROLES), 1), len(lacks) - 1)
+    of_team = np.concatenate([np.where(lacks[found], common, found), common], axis=1).T  # the fallback team's, where a team lacks a role; last those of other teams
+    places, teams_at = pd.Index(ids), pd.MultiIndex.from_arrays([seasons, clubs])
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        asked = pc.struct_field(batch["players"].flatten(), "player_id")
+        known = asked.is_valid().to_numpy(zero_copy_only=False)
+        own = np.where(known, places.get_indexer(pc.fill_null(asked, 0).to_numpy(zero_copy_only=False)), -1)
+        own = np.where(lacks[own], -1, own)
+        key = [pc.fill_null(batch[c], -1).to_numpy(zero_copy_only=False) for c in ("season", "team_id")]
+        whole = batch["season"].is_valid().to_numpy(zero_copy_only=False) & batch["team_id"].is_valid().to_numpy(zero_copy_only=False)
+        roles = of_team[np.where(whole, teams_at.get_indexer(pd.MultiIndex.from_arrays(key)), -1)]
+        return _columns(batch, own, roles, table, size, made)
+
+    return _made(lineups, run, made)
 
 
 def round_of(asked: DataFrame, rounds: DataFrame) -> DataFrame:
