@@ -68,6 +68,22 @@ def test_logistic(rows, data, c, balanced, free):
             assert got[r, i] == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("limits", [{"HELD": 0}, {"STRETCH": 1}, {"STRETCH": 2, "AT_ONCE": 1}, {"HELD": 8 * 11 * 6 * (WINDOW + 2)}])
+def test_logistic_by_sums_and_in_stretches(rows, data, limits, monkeypatch):
+    whole = {r.fold: r.w for r in rolling.logistic_weights(rows, WINDOW, 0.3, True, False).collect()}
+    for k, v in limits.items():
+        monkeypatch.setattr(rolling, k, v)
+    got = {r.fold: r.w for r in rolling.logistic_weights(rows, WINDOW, 0.3, True, False).collect()}
+    assert got.keys() == whole.keys() == set(folds(data))
+    assert all(got[k] == pytest.approx(whole[k], abs=1e-6) for k in got)
+
+
+def test_newton_steps_of_a_stretch_need_one_shuffle(rows):
+    made = rolling.logistic_weights(rows, WINDOW, free_intercept=False)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rolling.logistic_weights(rows.where("round_index <> 4"), 1).where("fold = 5").count() == 0  # no training rows
+
+
 def test_majority_and_metrics(rows, data):
     got = {r.match_id: r for r in rolling.majority(rows, WINDOW, 2).collect()}
     assert len(got) == sum(r >= WINDOW for r, *_ in data)

@@ -2,8 +2,9 @@
 
 A round's rows (no team plays twice in it, so that teams bound their number) become one block. What a model needs of its training rows are sums over blocks:
 counts, moments, gradients and curvatures. A block sends each sum to the `window` folds that train on it, the sums of a fold are added up with a combine on
-the map side, and a small linear system is solved for each fold in the task that holds its sums. Ridge regression takes one such pass,
-logistic regression one for each Newton step, whatever the number of folds; predictions are a join of validation rows with their fold's weights.
+the map side, and a small linear system is solved for each fold in the task that holds its sums. Ridge regression takes one such pass.
+Logistic regression deals rounds out to stretches of folds: a task holds a stretch's rounds and the `window` before them and takes all Newton steps of its folds there.
+Only where these rounds are too many rows for a task, blocks send their sums anew for each step. Predictions are a join of validation rows with their fold's weights.
 
 Boosted or layered models have no such sums: `fitted_by_fold` runs Spark's own estimators fold by fold for chosen folds.
 
@@ -17,6 +18,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ from touchline.functions.scalars import clip_probability
 STEPS = 25
 TOLERANCE = 1e-8
 
+#: Folds of a stretch, at most; bytes of the rows that a task holds for it; and numbers of training rows that are worked on at once.
+STRETCH, HELD, AT_ONCE = 256, 1 << 27, 1 << 15
+
 
 def blocks(rows: DataFrame, features: str = "features", target: str = "y") -> DataFrame:
     """(round_index, n, x, t): a round's features, row after row, and targets of its rows that have one."""
@@ -116,9 +122,83 @@ def _made(rows: DataFrame) -> tuple[DataFrame, int]:
 def logistic_weights(rows: DataFrame, window: int, c: float = 1.0, balanced: bool = False, free_intercept: bool = True, steps: int = STEPS) -> DataFrame:
     """(fold, w) of logistic regressions on standardised features: L2 strength 1 / c, classes weighted to equal sums if balanced.
 
-    free_intercept: without a penalty on it, as most solvers have it; otherwise it is penalised like a weight. Newton steps for all folds at
-    once, until no weight moves by more than TOLERANCE; a fold of one class gets the weights 0 and, as intercept, infinity of its sign.
+    free_intercept: without a penalty on it, as most solvers have it; otherwise it is penalised like a weight. Newton steps of each fold until no weight
+    moves by more than TOLERANCE; a fold of one class gets the weights 0 and, as intercept, infinity of its sign. rows are read twice.
     """
+    per_round = rows.groupBy("round_index").agg(F.count("y").alias("n"), F.max(F.size("features")).alias("width"))
+    last, most, width = per_round.agg(F.max("round_index"), F.max("n"), F.max("width")).first()
+    stretch = min(STRETCH, HELD // (8 * max(most or 0, 1) * (max(width or 0, 0) + 3)) - window)
+    if stretch < 1:
+        return _by_sums(rows, window, c, balanced, free_intercept, steps)
+
+    def run(held: pa.Table) -> pa.Table:
+        number = held["stretch"][0].as_py()
+        folds = np.arange(max(number * stretch, window), min(number * stretch + stretch - 1, last) + 1)
+        kept, w = _fitted(held, folds, window, c, balanced, free_intercept, steps)
+        return pa.table({"fold": pa.array(kept, pa.int64()), "w": pa.array(list(w), pa.list_(pa.float64()))})
+
+    x = F.transform("features", lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+    reach = F.sequence(F.floor((F.col("round_index") + 1) / stretch), F.floor((F.col("round_index") + window) / stretch))
+    dealt = rows.where("y is not null").select(F.explode(reach).alias("stretch"), F.col("round_index").cast("long").alias("round_index"), x.alias("x"), F.col("y").cast("double").alias("t"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "stretch").groupBy("stretch").applyInArrow(run, "fold long, w array<double>")
+
+
+def _fitted(held: pa.Table, folds: np.ndarray, window: int, c: float, balanced: bool, free_intercept: bool, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The folds that have training rows among held(round_index, x, t), and their weights; some folds at once."""
+    rounds = held["round_index"].to_numpy()
+    order = np.argsort(rounds, kind="stable")
+    rounds, t = rounds[order], held["t"].to_numpy()[order]
+    x = np.vstack([np.ones(len(t)), pc.list_flatten(held["x"]).to_numpy().reshape(len(t), -1)[order].T])
+    begin, end = np.searchsorted(rounds, folds - window), np.searchsorted(rounds, folds)
+    some = end > begin
+    folds, begin, n = folds[some], begin[some], (end - begin)[some]
+    out = np.zeros((len(folds), len(x)))
+    few = max(1, AT_ONCE // max(int(n.max(initial=1)), 1))
+    for a in range(0, len(folds), few):
+        part = slice(a, a + few)
+        at = np.arange(int(n[part].max()))
+        inside = at < n[part, None]
+        rows = np.where(inside, begin[part, None] + at, 0)
+        out[part] = _newton(np.stack([v[rows] * inside for v in x], 1), t[rows] * inside, inside, c, balanced, free_intercept, steps)
+    return folds, out
+
+
+def _newton(x: np.ndarray, t: np.ndarray, inside: np.ndarray, c: float, balanced: bool, free_intercept: bool, steps: int) -> np.ndarray:
+    """Weights of folds with x (fold, feature with a leading 1, row) and targets t (fold, row); rows that are not inside are zeros."""
+    n, positives, d = inside.sum(1), t.sum(1), x.shape[1]
+    mean = x.sum(2) / n[:, None]
+    spread = np.sqrt((((x - mean[:, :, None]) * inside[:, None, :]) ** 2).sum(2) / n[:, None])
+    spread = np.where(spread < 1e-12, 1.0, spread)
+    spread[:, 0] = 0.0
+    penalty = np.eye(d) * (spread**2)[:, :, None]
+    if not free_intercept:
+        penalty += mean[:, :, None] * mean[:, None, :]
+    weight = inside * 1.0
+    if balanced:
+        weight = inside * np.where(t > 0, (n / (2 * np.maximum(positives, 1)))[:, None], (n / (2 * np.maximum(n - positives, 1)))[:, None])
+    out = np.zeros((len(x), d))
+    one = (positives == 0) | (positives == n)
+    out[one, 0] = np.where(positives[one] > 0, np.inf, -np.inf)
+    left = np.nonzero(~one)[0]  # folds that still move
+    x, t, weight, penalty = (v[left] for v in (x, t, weight, penalty))
+    for _ in range(steps):
+        if not len(left):
+            break
+        w = out[left]
+        p = 1 / (1 + np.exp(-np.clip((w[:, None, :] @ x)[:, 0, :], -500, 500)))
+        curve = (x * (weight * p * (1 - p))[:, None, :]) @ np.swapaxes(x, 1, 2)
+        slope = (x @ (weight * (p - t))[:, :, None])[:, :, 0]
+        step = np.linalg.solve(curve + penalty / c + 1e-12 * np.eye(d), (slope + (penalty @ w[:, :, None])[:, :, 0] / c)[:, :, None])[:, :, 0]
+        out[left] = w - step
+        moves = np.abs(step).max(1) > TOLERANCE
+        if not moves.all():
+            left, x, t, weight, penalty = (v[moves] for v in (left, x, t, weight, penalty))
+    return out
+
+
+def _by_sums(rows: DataFrame, window: int, c: float, balanced: bool, free_intercept: bool, steps: int) -> DataFrame:
+    """`logistic_weights` where a window's rows are too many for a task: sums of blocks for each Newton step, for all folds at once."""
     made, last = _made(rows)
     sums = cut(moments(made, window, last))
     now = cut(_started(sums))
